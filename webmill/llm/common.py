@@ -91,6 +91,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         i = j
 
 
+def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
+    """df through fn, which takes slices of rows (texts in the column _s_text) and yields batches."""
+    return df.mapInArrow(lambda batches: (out for whole in batches for part in slices(whole, "_s_text") for out in fn(part)), schema)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse, modulo 2**64, for i < n."""
     if len(_powers[0]) < n:

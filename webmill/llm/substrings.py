@@ -70,10 +70,6 @@ class Runs:
         return run, order[place]
 
 
-def _arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    return df.mapInArrow(lambda batches: (out for whole in batches for part in C.slices(whole, "_s_text") for out in fn(part)), schema)
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with _s_k, the key of a row, and _s_text. Rows of one id and text have one key and one result."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
@@ -98,7 +94,7 @@ def _repeated(docs: DataFrame, unit: str, window: int, gram: int, across: bool,
         row = pa.array(r.row[one])
         yield pa.RecordBatch.from_arrays([pa.array(r.anchor[one]), pa.array(r.context[one]), batch.column("_s_k").take(row), batch.column("_s_id").take(row), pa.array(n, pa.int64())], ["a", "c", "k", "id", "n"])
 
-    runs = C.table(_arrow(docs, work, "a long, c long, k long, id long, n long"))
+    runs = C.table(C.map_texts(docs, work, "a long, c long, k long, id long, n long"))
     anchors = runs.groupBy("a").agg(*([F.min("id").alias("lo"), F.max("id").alias("hi")] if across else [F.sum("n").alias("lo")]))
     anchors = anchors.filter("lo < hi" if across else "lo > 1").select(_other("a").alias("a2"), (F.lit(False) if across else F.col("lo") > group).alias("hot"))
     return C.table(runs.join(anchors, _other("a") == F.col("a2")).select("c", "k", "id", "n", "hot"))
@@ -142,7 +138,7 @@ def _cut(texts: DataFrame, verdicts: DataFrame, unit: str, window: int, gram: in
     joined = texts.join(verdicts, F.col("_s_k") == F.col("k"), "left").select("_s_text", *columns, "v")
     kinds = dict(texts.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "_s_size long, _s_removed long", "_s_spans long, _s_kept string" if digests else "_s_spans array<array<long>>, _s_kept binary"])
-    return _arrow(joined, work, schema)
+    return C.map_texts(joined, work, schema)
 
 
 # -- operator 3 ----------------------------------------------------------------------------------------------
@@ -286,7 +282,7 @@ def _windows(texts: DataFrame, reps: DataFrame, unit: str, window: int, gram: in
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r.context[run], n)), pa.array(off.astype(np.int32)), pa.array(w), pa.array(np.repeat(lo, n))], ["c", "off", "w", "lo"])
 
     joined = texts.join(reps, F.col("_s_k") == F.col("k")).select("_s_text", "v")
-    return _arrow(joined, work, "c long, off int, w long, lo long")
+    return C.map_texts(joined, work, "c long, off int, w long, lo long")
 
 
 def _window_ranges(windows: DataFrame, by: list[str]) -> DataFrame:
@@ -322,7 +318,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays([pa.array(r.anchor[run]), pa.array(r.context[run]), pa.array(r.back[run].astype(np.int32)), pa.array(span, pa.binary())], ["a", "c", "back", "span"])
 
     joined = texts.join(reps, F.col("_s_k") == F.col("k")).select("_s_text", "v")
-    spread = _arrow(joined, spans, "a long, c long, back int, span binary")
+    spread = C.map_texts(joined, spans, "a long, c long, back int, span binary")
     found = spread.repartition("a").sortWithinPartitions("a").mapInArrow(lambda b: _compare(b, window), "c long, lo long, hi long")
     windows = _windows(texts, hot, "bytes", window, gram)
     again = windows.groupBy("w").count().filter("count > 1").select(_other("w").alias("w2"))
