@@ -7,6 +7,7 @@ from webmill.llm.jaccard import op5_jaccard_join
 from webmill.llm.mixing import op10_source_mixing
 from webmill.llm.quality import OP4_SQL, op4_quality_rules
 from webmill.llm.substrings import op3_suffix_dedup, op7_substring_dedup
+from webmill.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_suffix_dedup, op4_quality_rules, op5_jaccard_join, op7_substring_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_suffix_dedup, op4_quality_rules, op5_jaccard_join, op6_toxicity, op7_substring_dedup, op10_source_mixing)}
 ORACLE_SQL = {"op4_quality_rules": OP4_SQL}
