@@ -82,7 +82,7 @@ def _other(column: str):
 
 
 def _repeated(docs: DataFrame, unit: str, window: int, gram: int, across: bool, group: int = GROUP) -> DataFrame:
-    """(c, k, id, n, hot) of runs whose anchor occurs again (across: in another id); n: times that this row has the
+    """(a, c, k, id, n, hot) of runs whose anchor occurs again (across: in another id); n: times that this row has the
     context; hot: the anchor occurs more than `group` times."""
 
     def work(batch):
@@ -97,7 +97,14 @@ def _repeated(docs: DataFrame, unit: str, window: int, gram: int, across: bool,
     runs = C.table(C.map_texts(docs, work, "a long, c long, k long, id long, n long"))
     anchors = runs.groupBy("a").agg(*([F.min("id").alias("lo"), F.max("id").alias("hi")] if across else [F.sum("n").alias("lo")]))
     anchors = anchors.filter("lo < hi" if across else "lo > 1").select(_other("a").alias("a2"), (F.lit(False) if across else F.col("lo") > group).alias("hot"))
-    return C.table(runs.join(anchors, _other("a") == F.col("a2")).select("c", "k", "id", "n", "hot"))
+    return C.table(runs.join(anchors, _other("a") == F.col("a2")).select("a", "c", "k", "id", "n", "hot"))
+
+
+def _contexts(dup: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct contexts, and those of them whose anchor has several: no other window can occur in two contexts."""
+    contexts = C.table(dup.groupBy("c").agg(F.first("a").alias("a"), F.min("k").alias("k"), F.min("id").alias("lo"), F.sum("n").alias("n"), F.max("hot").alias("hot")))
+    many = contexts.groupBy("a").count().filter("count > 1").select(_other("a").alias("a2"))
+    return contexts, contexts.join(many, _other("a") == F.col("a2")).drop("a2")
 
 
 def _cut(texts: DataFrame, verdicts: DataFrame, unit: str, window: int, gram: int, digests: bool, columns: list[str]) -> DataFrame:
@@ -305,9 +312,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _texts(docs, id_col, text_col)
     columns = [c for c in docs.columns if c != text_col]
     dup = _repeated(texts.select("_s_k", "_s_text", F.lit(0).cast("long").alias("_s_id")), "bytes", window, gram, across=False, group=group)
-    contexts = C.table(dup.groupBy("c").agg(F.min("k").alias("k"), F.sum("n").alias("n"), F.max("hot").alias("hot")))
+    contexts, several = _contexts(dup)
     by_row = lambda d: d.groupBy("k").agg(F.collect_list(F.struct("c", F.col("n").alias("lo"))).alias("v"))
-    reps, hot = by_row(contexts.filter("NOT hot")), by_row(contexts.filter("hot"))
+    reps, hot = by_row(several.filter("NOT hot")), by_row(several.filter("hot"))
 
     def spans(batch):
         r = Runs(batch.column("_s_text"), "bytes", window, gram)
@@ -332,7 +339,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _apply(texts, dup, found, unit, window, gram, digests, columns) -> DataFrame:
     at = dup.join(found.withColumn("c2", _other("c")).drop("c"), _other("c") == F.col("c2"))
     if unit == "words":
-        at = at.filter("lo_id < id")
+        at = at.filter("id >= from")
     verdicts = at.groupBy("k").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("v"))
     return _cut(texts, verdicts, unit, window, gram, digests, columns)
 
@@ -352,13 +359,17 @@ def seed_and_extend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = [c for c in docs.columns if c != text_col]
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_s_id")
     dup = _repeated(texts.select("_s_k", "_s_text", ids), "words", window, gram, across=True)
-    contexts = dup.groupBy("c").agg(F.min("k").alias("k"), F.min("id").alias("lo"))
-    reps = contexts.groupBy("k").agg(F.collect_list(F.struct("c", "lo")).alias("v"))
+    contexts, several = _contexts(dup)
+    reps = several.groupBy("k").agg(F.collect_list(F.struct("c", "lo")).alias("v"))
     # Each seed is extended to both sides to all windows over it; the first owner of each is a minimum.
     windows = _windows(texts, reps, "words", window, gram)
     first = windows.groupBy("w").agg(F.min("lo").alias("lo_id")).select(_other("w").alias("w2"), "lo_id")
-    owned = windows.join(first, _other("w") == F.col("w2")).select("c", "off", "lo_id")
-    found = _window_ranges(owned, ["lo_id"])
+    owned = windows.join(first, _other("w") == F.col("w2")).filter("lo_id < lo").select("c", "off", "lo")
+    found = _window_ranges(owned.withColumnRenamed("lo", "first"), ["first"])
+    # A context's first owner loses the windows that others own; every later one loses them all.
+    found = found.select("c", "lo", "hi", F.col("first").alias("from"))
+    whole = contexts.select("c", F.lit(0).cast("long").alias("lo"), F.lit(2**40).cast("long").alias("hi"), F.when(F.col("lo") < 2**63 - 1, F.col("lo") + 1).alias("from"))
+    found = found.unionByName(whole.filter("from IS NOT NULL"))
     return _apply(texts, dup, found, "words", window, gram, digests, columns)
 
 
