@@ -104,9 +104,9 @@ def _flow(words: dict[tuple[str, ...], int], quota: dict[str, float], repeats: i
     return taken
 
 
-def select(rows: DataFrame, take: dict[str, float], words: dict[str, int]) -> DataFrame:
-    """rows (_m_key, _m_size, _m_hash, ...) with _m_taken: whole passes over the pattern, and one more over the
-    documents of least hash that come nearest to the rest. Rows of equal hash are taken alike."""
+def choose(rows: DataFrame, take: dict[str, float], words: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """For each pattern of rows (_m_key, _m_size, _m_hash) how many whole passes it takes, and below which hash the
+    documents lie that, taken once more, come nearest to the rest. Rows of equal hash are taken alike."""
     spark = rows.sparkSession
     full = {k: int(take[k] // words[k]) if words[k] else 0 for k in words}
     rest = {k: take[k] - full[k] * words[k] for k in words}
@@ -132,13 +132,12 @@ def select(rows: DataFrame, take: dict[str, float], words: dict[str, int]) -> Da
     for key in at:  # the bucket that crosses the rest: with it or without, whichever is nearer
         n = last[key].get(at[key], 0)
         at[key] += n > 0 and n - rest[key] < rest[key]
-    plan = spark.createDataFrame([(k, full[k], at[k]) for k in words], "_m_key string, _m_full int, _m_at long")
-    h = F.shiftrightunsigned("_m_hash", 64 - 3 * BITS)
-    return rows.join(plan, "_m_key").withColumn("_m_taken", F.col("_m_size") * (F.col("_m_full") + (h < F.col("_m_at")).cast("int"))).drop("_m_full", "_m_at")
+    return {k: (full[k], at[k]) for k in words}
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, whole: bool = False) -> DataFrame:
     """Per row of docs: id, source, size (words), source_size, target (of its source) and taken (words the mix takes).
+    With `whole`: the rows of docs themselves, as often as the mix takes them.
 
     source_col is a string, or an array of strings for documents of several sources; then size and target are
     summed over them. Sources in code point order take the weights in turn, null (or an empty array) last as a
@@ -147,11 +146,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The driver holds one total for each membership pattern.
     """
     kind = dict(docs.dtypes)[source_col]
-    one = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col))) if kind == "string" else None
-    key = one if one is not None else F.when(F.coalesce(F.size(source_col), F.lit(0)) <= 0, F.lit("-")).otherwise(F.to_json(F.array_sort(F.array_distinct(source_col))))
+    source = F.col(source_col)
+    if kind == "string":
+        key = F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
+    else:
+        key = F.when(F.coalesce(F.size(source), F.lit(0)) <= 0, F.lit("-")).otherwise(F.to_json(F.array_sort(F.array_distinct(source))))
     size = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
-    rows = docs.select(F.col(id_col).alias("_m_id"), F.col(source_col).alias("_m_source"), key.alias("_m_key"), size.alias("_m_size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("_m_hash"))
-    rows = C.table(rows)
+    marked = docs.withColumns({"_m_key": key, "_m_size": size, "_m_hash": F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))})
+    rows = C.table(marked.select(F.col(id_col).alias("_m_id"), source.alias("_m_source"), "_m_key", "_m_size", "_m_hash"))
     words = {k: n for k, n in rows.groupBy("_m_key").agg(F.sum("_m_size")).collect()}
     names = _names(words, kind)
     of = defaultdict(int)
@@ -162,10 +164,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
     quota = quotas(dict(of), weight, share * sum(words.values()), repeats)
     taken = route({names[k]: n for k, n in words.items()}, quota, repeats)
-    out = select(rows, {k: taken[names[k]] for k in words}, words)
-    told = rows.sparkSession.createDataFrame([(k, sum(of[s] for s in names[k]), sum(quota[s] for s in names[k])) for k in words], "_m_key string, _m_of long, _m_target double")
-    out = out.join(told, "_m_key")
-    return out.select(F.col("_m_id").alias(id_col), F.col("_m_source").alias("source"), F.col("_m_size").alias("size"), F.col("_m_of").alias("source_size"), F.col("_m_target").alias("target"), F.col("_m_taken").cast("long").alias("taken"), F.col("_m_hash").alias("row_hash"))
+    chosen = choose(rows, {k: taken[names[k]] for k in words}, words)
+    plan = [(k, *chosen[k], sum(of[s] for s in names[k]), sum(quota[s] for s in names[k])) for k in words]
+    plan = rows.sparkSession.createDataFrame(plan, "_m_key string, _m_full int, _m_at long, _m_of long, _m_target double")
+    passes = F.col("_m_full") + (F.shiftrightunsigned("_m_hash", 64 - 3 * BITS) < F.col("_m_at")).cast("int")
+    if whole:
+        out = marked.join(plan, "_m_key").filter((F.col("_m_size") > 0) & (passes > 0))
+        return out.withColumn("_m_pass", F.explode(F.sequence(F.lit(1), passes))).select(*docs.columns)
+    out = rows.join(plan, "_m_key")
+    return out.select(F.col("_m_id").alias(id_col), F.col("_m_source").alias("source"), F.col("_m_size").alias("size"), F.col("_m_of").alias("source_size"), F.col("_m_target").alias("target"), (F.col("_m_size") * passes).cast("long").alias("taken"))
 
 
 def _names(words: dict[str, int], kind: str) -> dict[str, tuple[str, ...]]:

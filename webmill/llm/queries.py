@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from webmill.llm.bpe import op1_token_counts, op2_bpe
 from webmill.llm.ctw import op8_lm_scoring
 from webmill.llm.jaccard import op5_jaccard_join
@@ -11,5 +12,5 @@ from webmill.llm.quality import OP4_SQL, op4_quality_rules
 from webmill.llm.substrings import op3_suffix_dedup, op7_substring_dedup
 from webmill.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_suffix_dedup, op4_quality_rules, op5_jaccard_join, op6_toxicity, op7_substring_dedup, op8_lm_scoring, op9_embedding_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_suffix_dedup, op4_quality_rules, op5_jaccard_join, op6_toxicity, op7_substring_dedup, op8_lm_scoring, op9_embedding_near_dedup, op10_source_mixing)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op4_quality_rules": OP4_SQL}

@@ -108,11 +108,11 @@ def _contexts(dup: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cut(texts: DataFrame, verdicts: DataFrame, unit: str, window: int, gram: int, digests: bool, columns: list[str]) -> DataFrame:
-    """texts with the outcome of verdicts (k, v: array of c, lo, hi: windows lo..hi of a run of context c go)."""
+    """texts with the outcome of verdicts (_s_j, a key, and _s_v: array of c, lo, hi: windows lo..hi of a run of context c go)."""
 
     def work(batch):
         r = Runs(batch.column("_s_text"), unit, window, gram)
-        lists = batch.column("v").to_pylist()
+        lists = batch.column("_s_v").to_pylist()
         run, place = r.wanted(lists, "c")
         lo, hi = (np.array([y[f] for x in lists if x for y in x], np.int64)[place] for f in ("lo", "hi"))
         first, last = r.first[run] + lo, r.first[run] + np.minimum(hi, r.n[run] - 1) + window
@@ -137,14 +137,14 @@ def _cut(texts: DataFrame, verdicts: DataFrame, unit: str, window: int, gram: in
             if digests:
                 out["sha"].append(hashlib.sha256(kept).hexdigest())
             else:
-                out["kept"].append(kept)
+                out["kept"].append(kept.decode("utf-8", "ignore"))
         res = [pa.array(out["size"], pa.int64()), pa.array(out["removed"], pa.int64())]
-        res += [pa.array(out["spans"], pa.int64()), pa.array(out["sha"], pa.string())] if digests else [pa.array(out["spans"], pa.list_(pa.list_(pa.int64()))), pa.array(out["kept"], pa.binary())]
+        res += [pa.array(out["spans"], pa.int64()), pa.array(out["sha"], pa.string())] if digests else [pa.array(out["spans"], pa.list_(pa.list_(pa.int64()))), pa.array(out["kept"], pa.string())]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *res], [*columns, "_s_size", "_s_removed", "_s_spans", "_s_kept"])
 
-    joined = texts.join(verdicts, F.col("_s_k") == F.col("k"), "left").select("_s_text", *columns, "v")
+    joined = texts.join(verdicts, F.col("_s_k") == F.col("_s_j"), "left").select("_s_text", *columns, "_s_v")
     kinds = dict(texts.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "_s_size long, _s_removed long", "_s_spans long, _s_kept string" if digests else "_s_spans array<array<long>>, _s_kept binary"])
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "_s_size long, _s_removed long", "_s_spans long, _s_kept string" if digests else "_s_spans array<array<long>>, _s_kept string"])
     return C.map_texts(joined, work, schema)
 
 
@@ -288,7 +288,7 @@ def _windows(texts: DataFrame, reps: DataFrame, unit: str, window: int, gram: in
         lo = np.array([y["lo"] for x in lists if x for y in x], np.int64)[place]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r.context[run], n)), pa.array(off.astype(np.int32)), pa.array(w), pa.array(np.repeat(lo, n))], ["c", "off", "w", "lo"])
 
-    joined = texts.join(reps, F.col("_s_k") == F.col("k")).select("_s_text", "v")
+    joined = texts.join(reps.toDF("_s_j", "_s_v"), F.col("_s_k") == F.col("_s_j")).select("_s_text", F.col("_s_v").alias("v"))
     return C.map_texts(joined, work, "c long, off int, w long, lo long")
 
 
@@ -303,7 +303,8 @@ def _window_ranges(windows: DataFrame, by: list[str]) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = BYTES, gram: int = BYTE_GRAM, group: int = GROUP, digests: bool = False) -> DataFrame:
     """docs (without text_col) and: _s_size, bytes of the text; _s_removed; _s_spans, the removed [start, end)
-    (with digests, how many); _s_kept, what is left as bytes (with digests, its SHA-256).
+    (with digests, how many); _s_kept, what is left as text, without characters that were cut in two (with
+    digests, the SHA-256 of all bytes left).
 
     A byte goes if a string of `window` bytes over it starts anywhere else too, in any row. Null and empty texts
     keep nothing and lose nothing. Ids may be null or repeated: each row is a text of its own, so a row that
@@ -324,7 +325,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         span = [data[a:b] for a, b in zip(r.first[run].tolist(), (r.first[run] + r.n[run] - 1 + window).tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(r.anchor[run]), pa.array(r.context[run]), pa.array(r.back[run].astype(np.int32)), pa.array(span, pa.binary())], ["a", "c", "back", "span"])
 
-    joined = texts.join(reps, F.col("_s_k") == F.col("k")).select("_s_text", "v")
+    joined = texts.join(reps.toDF("_s_j", "_s_v"), F.col("_s_k") == F.col("_s_j")).select("_s_text", F.col("_s_v").alias("v"))
     spread = C.map_texts(joined, spans, "a long, c long, back int, span binary")
     found = spread.repartition("a").sortWithinPartitions("a").mapInArrow(lambda b: _compare(b, window), "c long, lo long, hi long")
     windows = _windows(texts, hot, "bytes", window, gram)
@@ -340,7 +341,7 @@ def _apply(texts, dup, found, unit, window, gram, digests, columns) -> DataFrame
     at = dup.join(found.withColumn("c2", _other("c")).drop("c"), _other("c") == F.col("c2"))
     if unit == "words":
         at = at.filter("id >= from")
-    verdicts = at.groupBy("k").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("v"))
+    verdicts = at.groupBy(F.col("k").alias("_s_j")).agg(F.collect_list(F.struct("c", "lo", "hi")).alias("_s_v"))
     return _cut(texts, verdicts, unit, window, gram, digests, columns)
 
 
