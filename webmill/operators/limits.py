@@ -1,0 +1,90 @@
+"""Rate limits: a token bucket for each domain, folded over its requests in order of time.
+
+The fold is sequential within a domain, so requests are grouped by domain and read as a stream of sorted rows: a
+domain of any size takes constant memory. Domains run side by side.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from webmill.functions.patterns import RATE_WINDOW_MS
+
+
+@dataclass(frozen=True)
+class Limits:
+    per_second: float = 10
+    per_minute: int = 300
+    burst: int = 5
+    min_delay_ms: float = 100
+    max_delay_ms: float = 60_000
+
+
+class Bucket:
+    """One domain's limiter. A request goes at once if there is a token, whatever the minute says; else it waits."""
+
+    def __init__(self, limits: Limits, now: float):
+        self.limits, self.tokens, self.at, self.times = limits, float(limits.burst), now, deque()
+
+    def _refill(self, now: float) -> None:
+        self.tokens = min(self.limits.burst, self.tokens + (now - self.at) * self.limits.per_second / 1000)
+        self.at = now
+
+    def wait(self, now: float) -> float:
+        """The wait that a request without a token has: for a token or the minute, within the limits of delays."""
+        slide = self.times[0] + RATE_WINDOW_MS - now if len(self.times) >= self.limits.per_minute else 0.0
+        need = (1 - self.tokens) * 1000 / self.limits.per_second if self.tokens < 1 else 0.0
+        return max(self.limits.min_delay_ms, min(self.limits.max_delay_ms, max(need, slide)))
+
+    def can_proceed(self, now: float) -> bool:
+        self._refill(now)
+        return self.tokens >= 1 and len(self.times) < self.limits.per_minute
+
+    def acquire(self, now: float) -> tuple[float, float]:
+        """When the request goes, and the tokens then left."""
+        self._refill(now)
+        if self.tokens < 1:
+            now += self.wait(now)
+            self._refill(now)
+        if self.tokens >= 1:
+            self.tokens -= 1
+        self.times.append(now)
+        while self.times[0] < now - RATE_WINDOW_MS:
+            self.times.popleft()
+        return now, self.tokens
+
+
+def token_bucket(requests: DataFrame, limits: Limits = Limits(), domain: str = "domain", ts_ms: str = "ts_ms", seq: str = "seq") -> DataFrame:
+    """(domain, seq, ts_ms, sent_ms, waited_ms, tokens) of requests in order of (ts_ms, seq). A request that comes
+    while another waits is served after it."""
+
+    def work(batches):
+        name, bucket, free = object(), None, 0.0
+        for b in batches:
+            out = []
+            for d, s, t in zip(*(b.column(c).to_pylist() for c in ("d", "s", "t")), strict=True):
+                if d != name:
+                    name, bucket, free = d, Bucket(limits, t), t
+                sent, tokens = bucket.acquire(max(t, free))
+                free = sent
+                out.append((d, s, t, sent, sent - t, tokens))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["d", "s", "t", "sent", "waited", "tokens"])
+
+    rows = requests.select(F.col(domain).cast("string").alias("d"), F.col(seq).cast("long").alias("s"), F.col(ts_ms).cast("long").alias("t"))
+    rows = rows.repartition("d").sortWithinPartitions("d", "t", "s")
+    return rows.mapInArrow(work, "d string, s long, t long, sent double, waited double, tokens double").toDF(domain, seq, ts_ms, "sent_ms", "waited_ms", "tokens")
+
+
+def limiter_stats(sent: DataFrame, now_ms: int, domain: str = "domain", limits: Limits = Limits()) -> DataFrame:
+    """Per domain: requests in the last second and minute (both ends included), whole tokens left, throttled."""
+    t, ago = F.col("sent_ms"), lambda ms: F.col("sent_ms") >= now_ms - ms
+    last = F.max_by("tokens", t)
+    tokens = F.floor(F.least(F.lit(float(limits.burst)), last + (now_ms - F.max(t)) * limits.per_second / 1000))
+    stats = sent.groupBy(domain).agg(F.count_if(ago(1000)).alias("last_second"), F.count_if(ago(RATE_WINDOW_MS)).alias("last_minute"), tokens.alias("tokens"))
+    return stats.withColumn("throttled", (F.col("tokens") < 1) | (F.col("last_minute") >= limits.per_minute))
