@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from webmill.llm import common as C
 
 #: Pre-tokens that a worker remembers; beyond it starts anew. It bounds memory and changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pre-tokens of more bytes than this go through the scalar form of the same dynamic program.
 PADDED = 48
 #: The pattern of this vocabulary's pre-tokenizer (a fixed value), with white space written out as Unicode has it.
@@ -283,14 +283,19 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(4)
-def _known(path: str, what: str) -> dict:
-    return {}
+_known: dict[tuple[str, str], dict] = {}
+
+
+def _forget(path: str) -> None:
+    """At the end of a task the worker keeps the vocabulary, but neither pre-tokens nor the automaton."""
+    _known.clear()
+    vocabulary(path)._goto = None
+    C.tidy()
 
 
 def _learn(path: str, what: str, lists: list[list[str]], work) -> dict:
     """What the worker knows of pre-tokens, with those of these texts added."""
-    known, v = _known(path, what), vocabulary(path)
+    known, v = _known.setdefault((path, what), {}), vocabulary(path)
     new = set(chain.from_iterable(lists)).difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()
@@ -322,7 +327,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 n = [sum(map(known.__getitem__, x)) for x in lists]
                 size = np.diff(C.text_arrays(batch.column("t"))[1])
                 yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(n, np.int64) > limit)], ["i", "n_bytes", "n_tokens", "over_limit"])
+        _forget(path)
 
+    C.small_batches(docs.sparkSession)
     kind = docs.select(id_col).dtypes[0][1]
     got = docs.selectExpr(f"`{id_col}` AS i", f"`{text_col}` AS t").mapInArrow(work, f"i {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return got.withColumnRenamed("i", id_col)
@@ -352,7 +359,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     yield pa.RecordBatch.from_arrays([batch.column("i"), *cols], ["i", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["i", "ids", "decoded"])
+        _forget(path)
 
+    C.small_batches(docs.sparkSession)
     kind = docs.select(id_col).dtypes[0][1]
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return docs.selectExpr(f"`{id_col}` AS i", f"`{text_col}` AS t").mapInArrow(work, f"i {kind}, {schema}").withColumnRenamed("i", id_col)

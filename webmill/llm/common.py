@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 #: Texts are handled in slices of about so many bytes, so temporary arrays stay small whatever Spark's batches hold.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SEPARATORS)] = False
@@ -91,9 +93,34 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         i = j
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows: a batch of texts is held by the JVM and by Python at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def tidy() -> None:
+    """Gives memory back at the end of a task: Spark keeps Python workers for later tasks, and they share a budget with the JVM."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
     """df through fn, which takes slices of rows (texts in the column _s_text) and yields batches."""
-    return df.mapInArrow(lambda batches: (out for whole in batches for part in slices(whole, "_s_text") for out in fn(part)), schema)
+    small_batches(df.sparkSession)
+
+    def work(batches):
+        for whole in batches:
+            for part in slices(whole, "_s_text"):
+                yield from fn(part)
+        tidy()
+
+    return df.mapInArrow(work, schema)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
