@@ -82,7 +82,7 @@ def parse(url: Column | str) -> Column:
         user = F.regexp_extract(s.authority, r"(?s)^(.*)@", 1)
         place = F.regexp_extract(s.authority, r"(?s)([^@]*)\z", 1)
         host = F.lower(F.regexp_extract(place, r"(?s)^(\[[^\]]*\]|[^:]*)", 1))
-        port = F.regexp_replace(F.regexp_extract(place, r"(?s)^(?:\[[^\]]*\]|[^:]*):(.*)\z", 1), "^0+(?=[0-9])", "")
+        port = F.regexp_replace(F.regexp_extract(place, r"(?s)^(?:\[[^\]]*\]|[^:\[]*):(.*)\z", 1), "^0+(?=[0-9])", "")
         good = (
             s.scheme.isin(*PORTS)
             & host.rlike(r"^(\[[0-9a-f:.]+\]|[^\x00-\x20\x7f-\x{10ffff}#%/:<>?@\[\\\]^|`{}\"]+)\z")
