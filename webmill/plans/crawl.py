@@ -6,8 +6,6 @@ rounds' results are written to the shared folder, so plans stay short and a lost
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -19,6 +17,7 @@ from webmill.functions.predicates import Router, is_success, should_retry
 from webmill.operators import robots as R
 from webmill.operators.links import enqueue_links
 from webmill.operators.queue import after_failure, make_requests, new_requests, next_requests
+from webmill.sources.shared import keep
 from webmill.sources.tables import fetch
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -69,19 +68,6 @@ class Result:
     rounds: int
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back; a folder of our own only where spark.checkpoint.dir is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="webmill-crawl-"))
-        at = sc.getCheckpointDir()
-    path = f"{at}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crawl(seeds: DataFrame, corpus: DataFrame, config: Config = Config(), robots: DataFrame | None = None, router: Router | None = None, before: Hook | None = None, after: Hook | None = None, transform: Hook | None = None, failed: Callable[[DataFrame], None] | None = None) -> Result:
     """Crawls from seeds (url) over a corpus (sources.tables.corpus).
 
@@ -92,13 +78,13 @@ def crawl(seeds: DataFrame, corpus: DataFrame, config: Config = Config(), robots
     failed gets the requests that failed for good.
     """
     start = make_requests(seeds, max_retries=config.max_retries)
-    waiting = _kept(new_requests(start, start.limit(0)), "waiting")
+    waiting = keep(new_requests(start, start.limit(0)), "waiting")
     seen = waiting.select("unique_key")
     done, responses, links = [], [], []
     left, n = config.max_pages, 0
     while True:
         batch = waiting if left is None else next_requests(waiting, left)
-        batch = _kept(before(batch) if before else batch, "batch")
+        batch = keep(before(batch) if before else batch, "batch")
         size = batch.count()
         if not size:
             break
@@ -106,10 +92,10 @@ def crawl(seeds: DataFrame, corpus: DataFrame, config: Config = Config(), robots
         rest = waiting.join(batch.select("id"), "id", "left_anti").select(*waiting.columns)
         allowed = R.is_allowed(batch, robots, config.user_agent) if config.respect_robots and robots is not None else batch.withColumn("allowed", F.lit(True))
         got = fetch(allowed.filter("allowed"), corpus)
-        got = _kept((after(got) if after else got).withColumn("round", F.lit(n)), "responses")
+        got = keep((after(got) if after else got).withColumn("round", F.lit(n)), "responses")
         retry = should_retry("status") & F.col("no_retry").eqNullSafe(False) & (F.col("retry_count") < F.col("max_retries"))
         moved = after_failure(got.withColumn("state", F.lit("completed")), retry, 2 if config.double_retry else 1).select(*waiting.columns)
-        moved = _kept(moved, "moved")
+        moved = keep(moved, "moved")
         blocked = allowed.filter("NOT allowed").withColumn("state", F.lit("blocked")).select(*waiting.columns)
         again = moved.filter("state = 'retrying'")
         done += [moved.filter("state <> 'retrying'"), blocked]
@@ -117,7 +103,7 @@ def crawl(seeds: DataFrame, corpus: DataFrame, config: Config = Config(), robots
         if failed:
             failed(moved.filter("state = 'failed'"))
         pages = got.filter(is_success("status") & F.col("html").isNotNull()).select(F.col("id").alias("page_id"), "url", "html", "depth", "status")
-        found = _kept(enqueue_links(pages, config.strategy, config.same_domain_only, config.query, config.max_depth, None, config.options), "links")
+        found = keep(enqueue_links(pages, config.strategy, config.same_domain_only, config.query, config.max_depth, None, config.options), "links")
         links.append(found)
         children = found.select("url", "depth", F.col("page_id").alias("parent_id"), (F.lit(n) * F.lit(1 << 40) + F.col("rank") * F.lit(1 << 20) + F.col("pos")).cast("long").alias("seq"))
         children = make_requests(children, max_retries=config.max_retries)
@@ -125,9 +111,9 @@ def crawl(seeds: DataFrame, corpus: DataFrame, config: Config = Config(), robots
             children = children.withColumn("label", router.route("url", "label"))
         if transform:
             children = transform(children)
-        fresh = _kept(new_requests(children, seen), "fresh")
-        seen = _kept(seen.unionByName(fresh.select("unique_key")), "seen") if n % 8 == 0 else seen.unionByName(fresh.select("unique_key"))
-        waiting = _kept(rest.unionByName(again).unionByName(fresh), "waiting")
+        fresh = keep(new_requests(children, seen), "fresh")
+        seen = keep(seen.unionByName(fresh.select("unique_key")), "seen") if n % 8 == 0 else seen.unionByName(fresh.select("unique_key"))
+        waiting = keep(rest.unionByName(again).unionByName(fresh), "waiting")
         if left is not None:
             left -= size - blocked.count()
             if left <= 0:

@@ -1,0 +1,44 @@
+"""Callbacks for what happens during a crawl. One that fails does not keep others from being called."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Callable
+
+from webmill.functions.validate import logger
+
+Listener = Callable[[object], None]
+
+
+class Events:
+    def __init__(self):
+        self._listeners: dict[str, list[tuple[Listener, bool]]] = defaultdict(list)
+
+    def on(self, event: str, listener: Listener) -> Callable[[], None]:
+        """Calls listener at each event; returns a function that ends this."""
+        self._listeners[event].append((listener, False))
+        return lambda: self.off(event, listener)
+
+    def once(self, event: str, listener: Listener) -> None:
+        """Calls listener until it has succeeded once."""
+        self._listeners[event].append((listener, True))
+
+    def off(self, event: str, listener: Listener) -> None:
+        self._listeners[event] = [x for x in self._listeners[event] if x[0] is not listener]
+
+    def emit(self, event: str, payload: object = None) -> int:
+        """Calls the event's listeners; returns how many succeeded."""
+        good = 0
+        for listener, once in list(self._listeners[event]):
+            try:
+                listener(payload)
+            except Exception as e:
+                logger("events", "error").error("%s: %s", event, e)
+                continue
+            good += 1
+            if once:
+                self.off(event, listener)
+        return good
+
+    def count(self, event: str | None = None) -> int:
+        return len(self._listeners[event]) if event else sum(map(len, self._listeners.values()))
