@@ -243,7 +243,7 @@ def w7_latest(spark, d):
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY substr(o_orderpriority, 1, 1), o_orderkey) AS place FROM orders")
 def l1_priority_order(spark, d):
     r = _orders_as_requests(spark, d)
-    return queue.positions(r, "custkey", F.desc("priority"), F.asc("seq")).select(F.col("id").alias("o_orderkey"), "place")
+    return queue.positions(r, "custkey", F.desc("priority"), F.asc("seq")).select(F.col("id").alias("o_orderkey"), F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY substr(o_orderpriority, 1, 1), o_orderkey LIMIT 100")
@@ -327,7 +327,7 @@ def t2_token_bucket(spark, d):
 @query("SELECT agent_id, count(*) AS n FROM (SELECT unnest(range(1, 1 + c_nationkey % 5 + 1)) AS agent_id FROM customer) GROUP BY agent_id")
 def j7_agents(spark, d):
     rows = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("running").alias("status"), (F.col("c_nationkey") % 5 + 1).cast("int").alias("agent_count"))
-    return jobs.agents(rows).groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.agents(rows).groupBy(F.col("agent_id").cast("long").alias("agent_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN lower(role) IN ('debug', 'info', 'warn', 'error') THEN upper(role) ELSE 'INFO' END AS label FROM conversations")
