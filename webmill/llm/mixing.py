@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,17 +105,20 @@ def _flow(words: dict[tuple[str, ...], int], quota: dict[str, float], repeats: i
     return taken
 
 
+def _small(spark: SparkSession, columns: dict[str, tuple]) -> DataFrame:
+    """A table of what the driver holds. Spark knows its size, and so whether a join may broadcast it."""
+    return spark.createDataFrame(pa.table([pa.array(v, kind) for v, kind in columns.values()], names=list(columns)))
+
+
 def choose(rows: DataFrame, take: dict[str, float], words: dict[str, int]) -> dict[str, tuple[int, int]]:
     """For each pattern of rows (_m_key, _m_size, _m_hash) how many whole passes it takes, and below which hash the
     documents lie that, taken once more, come nearest to the rest. Rows of equal hash are taken alike."""
-    spark = rows.sparkSession
     full = {k: int(take[k] // words[k]) if words[k] else 0 for k in words}
     rest = {k: take[k] - full[k] * words[k] for k in words}
     at = dict.fromkeys(words, 0)  # the settled leading bits of each pattern's threshold
     level = rows.select("_m_key", "_m_size", F.shiftrightunsigned("_m_hash", 64 - 3 * BITS).alias("_m_h"))
-    schema = "_m_key string, _m_at long"
     for k in (2, 1, 0):
-        cut = spark.createDataFrame(list(at.items()), schema)
+        cut = _small(rows.sparkSession, {"_m_key": (list(at), pa.string()), "_m_at": (list(at.values()), pa.int64())})
         inside = level if k == 2 else level.join(cut, "_m_key").filter(F.shiftright("_m_h", (k + 1) * BITS) == F.col("_m_at"))
         found = defaultdict(dict)
         for key, b, n in inside.groupBy("_m_key", F.shiftright("_m_h", k * BITS).alias("b")).agg(F.sum("_m_size")).collect():
@@ -165,8 +169,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quota = quotas(dict(of), weight, share * sum(words.values()), repeats)
     taken = route({names[k]: n for k, n in words.items()}, quota, repeats)
     chosen = choose(rows, {k: taken[names[k]] for k in words}, words)
-    plan = [(k, *chosen[k], sum(of[s] for s in names[k]), sum(quota[s] for s in names[k])) for k in words]
-    plan = rows.sparkSession.createDataFrame(plan, "_m_key string, _m_full int, _m_at long, _m_of long, _m_target double")
+    keys = list(words)
+    plan = {
+        "_m_key": (keys, pa.string()),
+        "_m_full": ([chosen[k][0] for k in keys], pa.int32()),
+        "_m_at": ([chosen[k][1] for k in keys], pa.int64()),
+        "_m_of": ([sum(of[s] for s in names[k]) for k in keys], pa.int64()),
+        "_m_target": ([sum(quota[s] for s in names[k]) for k in keys], pa.float64()),
+    }
+    plan = _small(rows.sparkSession, plan)
     passes = F.col("_m_full") + (F.shiftrightunsigned("_m_hash", 64 - 3 * BITS) < F.col("_m_at")).cast("int")
     if whole:
         out = marked.join(plan, "_m_key").filter((F.col("_m_size") > 0) & (passes > 0))
