@@ -170,3 +170,14 @@ def _links(nodes: DataFrame, rotated, cosine: float, axes: int, chunk: int) -> D
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(C.read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+f AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+c AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT e.b, c.root FROM c JOIN e ON c.vec_id = e.a WHERE c.root < e.b)
+SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, min(root) AS component_id, min(root) = c.vec_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a GROUP BY c.vec_id, n
+"""
