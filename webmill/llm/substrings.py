@@ -100,10 +100,12 @@ def _repeated(docs: DataFrame, unit: str, window: int, gram: int, across: bool,
     return C.table(runs.join(anchors, _other("a") == F.col("a2")).select("a", "c", "k", "id", "n", "hot"))
 
 
-def _contexts(dup: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct contexts, and those of them whose anchor has several: no other window can occur in two contexts."""
+def _contexts(dup: DataFrame, single: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct contexts, and those of them whose anchor has several: no other window can occur in two contexts.
+    single: leaves out anchors all of whose contexts occur more than once, as nothing is left to find out of these."""
     contexts = C.table(dup.groupBy("c").agg(F.first("a").alias("a"), F.min("k").alias("k"), F.min("id").alias("lo"), F.sum("n").alias("n"), F.max("hot").alias("hot")))
-    many = contexts.groupBy("a").count().filter("count > 1").select(_other("a").alias("a2"))
+    many = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+    many = many.filter("m > 1 AND least = 1" if single else "m > 1").select(_other("a").alias("a2"))
     return contexts, contexts.join(many, _other("a") == F.col("a2")).drop("a2")
 
 
@@ -313,7 +315,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _texts(docs, id_col, text_col)
     columns = [c for c in docs.columns if c != text_col]
     dup = _repeated(texts.select("_s_k", "_s_text", F.lit(0).cast("long").alias("_s_id")), "bytes", window, gram, across=False, group=group)
-    contexts, several = _contexts(dup)
+    contexts, several = _contexts(dup, single=True)
     by_row = lambda d: d.groupBy("k").agg(F.collect_list(F.struct("c", F.col("n").alias("lo"))).alias("v"))
     reps, hot = by_row(several.filter("NOT hot")), by_row(several.filter("hot"))
 
@@ -360,7 +362,7 @@ def seed_and_extend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = [c for c in docs.columns if c != text_col]
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_s_id")
     dup = _repeated(texts.select("_s_k", "_s_text", ids), "words", window, gram, across=True)
-    contexts, several = _contexts(dup)
+    contexts, several = _contexts(dup, single=False)
     reps = several.groupBy("k").agg(F.collect_list(F.struct("c", "lo")).alias("v"))
     # Each seed is extended to both sides to all windows over it; the first owner of each is a minimum.
     windows = _windows(texts, reps, "words", window, gram)
