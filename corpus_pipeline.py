@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +45,23 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode(docs, bpe.vocabulary_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
+def _stage(f):
+    """f as a stage: tables that the stage before made for itself are removed when this one begins."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with common.stage():
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("suffix-array dedup", suffix_array_dedup),
-    ("mixing sources to target weights", source_mixing),
-    ("BPE encoding and decoding", bpe_encoding),
+    ("quality rules", _stage(quality_rules)),
+    ("n-gram Jaccard join", _stage(near_duplicates)),
+    ("suffix-array dedup", _stage(suffix_array_dedup)),
+    ("mixing sources to target weights", _stage(source_mixing)),
+    ("BPE encoding and decoding", _stage(bpe_encoding)),
 ]
 
 #: No SQL form: components, suffix orders, flow and BPE are tested against brute-force versions instead.

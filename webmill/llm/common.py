@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -47,15 +48,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Tables made while a stage of a pipeline is set up, by the stage's owner.
+_of_stage: list[tuple[SparkSession, str]] = []
+_in_stage: list[bool] = []
+
+
 def table(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends here, and a lost executor costs nothing before it. Removed when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webmill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    if _in_stage:
+        _of_stage.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def stage():
+    """Within it tables belong to a stage of a pipeline. Those of the stage before are removed now: its result has been
+    written by the time that the next stage begins."""
+    while _of_stage:
+        _remove(*_of_stage.pop())
+    _in_stage.append(True)
+    try:
+        yield
+    finally:
+        _in_stage.pop()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
