@@ -14,9 +14,16 @@ from webmill.llm.components import components
 
 SHINGLE = 3
 PERCENT = 90
-#: Second-level partitions, and how many of them a signature may leave out.
+#: Second-level partitions (under 90 percent, where parts hold fewer elements: WIDE), and how many of them a signature
+#: may leave out.
 PARTS = 2
+WIDE = 3
 LEFT_OUT = 1
+#: Under 90 percent single common shingles make signatures, which would tie most documents into one group: signatures
+#: of up to so many sets give pairs instead, each compared by itself.
+FEW = 64
+#: Shingles whose signatures meet in one task there, each about 20 bytes.
+MET = 1_000_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +64,7 @@ def bands(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     return ends, (100 - percent) * 2 * ends // (100 + percent)
 
 
-def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT, parts: int = PARTS, left_out: int = LEFT_OUT) -> tuple[np.ndarray, np.ndarray]:
+def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT, parts: int | None = None, left_out: int = LEFT_OUT) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of each set.
 
     For a band in which linked sets differ in at most k elements the domain falls into n1 parts, each of `parts`
@@ -70,6 +77,7 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT, parts:
     size = np.diff(at)
     if not len(grams):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    parts = parts or (PARTS if percent >= PERCENT else WIDE)
     ends, differ = bands(int(size.max()), percent)
     own = np.searchsorted(ends, size)
     row = np.repeat(np.arange(len(size)), size)
@@ -83,7 +91,8 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT, parts:
         k = differ[band]
         out_of = np.minimum(k, left_out)  # equal sets only: one signature of the whole set
         need = k // (left_out + 1)
-        n1 = np.where(out_of > 0, need + 1 + np.minimum(2, k // 10), 1)
+        more = np.minimum(2, k // 10) if percent >= PERCENT else 3 * need // 20 + np.minimum(5, k // 4)
+        n1 = np.where(out_of > 0, need + 1 + more, 1)
         cells = n1 * parts
         base = np.concatenate(([0], np.cumsum(np.where(size > 0, cells, 0))))
         part = (spread * cells[row].astype(np.uint64)) >> np.uint64(31)
@@ -177,6 +186,64 @@ def _verify(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]])], ["u", "v"])
 
 
+def _name(grams, at):
+    """One hash for each whole set."""
+    pre = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(grams ^ np.uint64(0x1234567)), dtype=np.uint64)))
+    return C.mix((pre[at[1:]] - pre[:-1][at[:-1]] if len(grams) else np.zeros(len(at) - 1, np.uint64)) ^ C.mix(np.diff(at).astype(np.uint64))).view(np.int64)
+
+
+def _met(texts: DataFrame, total: int, size: int, percent: int) -> DataFrame:
+    """(sig, s) of signatures that several sets have. Signatures are moved once, packed by part of their domain."""
+    n = total // MET + 1
+
+    def pack(batch):
+        grams, at = shingle_sets(batch.column("_s_text"), size)
+        row, sig = signatures(grams, at, percent)
+        p = (sig >> np.uint64(32)) % np.uint64(4 * n)
+        by = np.lexsort((row, p))
+        p, sig, s = p[by], sig[by], _name(grams, at)[row[by]]
+        cut = np.flatnonzero(np.diff(p, prepend=p[:1] + np.uint64(1))).tolist() + [len(p)]
+        runs = list(zip(cut[:-1], cut[1:], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]].astype(np.int64)), *[pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (sig, s)]], ["p", "sigs", "sets"])
+
+    def meet(batches):
+        sigs, sets = [], []
+        for b in batches:
+            sigs += [np.frombuffer(x, np.int64) for x in b.column("sigs").to_pylist()]
+            sets += [np.frombuffer(x, np.int64) for x in b.column("sets").to_pylist()]
+        if sigs:
+            sig, s = np.concatenate(sigs), np.concatenate(sets)
+            del sigs, sets
+            by = np.lexsort((s, sig))
+            sig, s = sig[by], s[by]
+            new = np.append(True, (sig[1:] != sig[:-1]) | (s[1:] != s[:-1]))
+            sig, s = sig[new], s[new]
+            same = sig[1:] == sig[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            sig, s = sig[keep], s[keep]
+            for a in range(0, len(sig), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + (1 << 16)]), pa.array(s[a : a + (1 << 16)])], ["sig", "s"])
+        C.tidy()
+
+    return C.map_texts(texts.select("_s_text"), pack, "p long, sigs binary, sets binary").repartition(n, "p").mapInArrow(meet, "sig long, s long")
+
+
+def _by_pair(shared: DataFrame, groups: DataFrame, few: int) -> DataFrame:
+    """(g, i, j, b, s): the two sets of each pair that shares a signature of at most `few` sets and is in no group
+    together, as a candidate group of one block."""
+    one = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("s").alias("a"), F.max("s").alias("z")).filter(f"times BETWEEN 2 AND {few}")
+    two = one.filter("times = 2").select(F.col("a").alias("u"), F.col("z").alias("v"))
+    more = one.filter("times > 2").select(F.col("sig").bitwiseXOR(F.lit(1)).alias("sig2"))
+    sets = shared.join(more, F.col("sig").bitwiseXOR(F.lit(1)) == F.col("sig2")).groupBy("sig").agg(F.sort_array(F.collect_list("s")).alias("a")).select("a").distinct()
+    listed = sets.select("a", F.posexplode("a").alias("at", "u")).select("u", F.explode(F.expr("slice(a, at + 2, size(a))")).alias("v"))
+    pairs = two.unionByName(listed).distinct()
+    roots = lambda x: groups.select(F.col("node").alias(f"{x}2"), F.col("root").alias(f"root_{x}"))
+    for x in ("u", "v"):
+        pairs = pairs.join(roots(x), F.col(x) == F.col(f"{x}2"), "left").drop(f"{x}2")
+    pairs = pairs.filter("root_u IS NULL OR root_v IS NULL OR root_u <> root_v").withColumn("g", F.xxhash64("u", "v"))
+    return pairs.select("g", F.explode(F.array("u", "v")).alias("s")).select("g", *[F.lit(0).alias(c) for c in ("i", "j", "b")], "s")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: id, n_shingles and component_id, the least id that links lead to, its own included.
 
@@ -186,19 +253,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_s_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"), F.col(id_col).cast("long").alias("_s_id"))
 
-    def name(grams, at):
-        """One hash for each whole set."""
-        pre = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(grams ^ np.uint64(0x1234567)), dtype=np.uint64)))
-        return C.mix((pre[at[1:]] - pre[:-1][at[:-1]] if len(grams) else np.zeros(len(at) - 1, np.uint64)) ^ C.mix(np.diff(at).astype(np.uint64))).view(np.int64)
-
     def describe(batch):
         grams, at = shingle_sets(batch.column("_s_text"), size)
-        yield pa.RecordBatch.from_arrays([batch.column("_s_id"), batch.column("_s_k"), pa.array(name(grams, at)), pa.array(np.diff(at))], ["id", "k", "s", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("_s_id"), batch.column("_s_k"), pa.array(_name(grams, at)), pa.array(np.diff(at))], ["id", "k", "s", "n"])
 
     def sign(batch):
         grams, at = shingle_sets(batch.column("_s_text"), size)
         row, sig = signatures(grams, at, percent)
-        yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(name(grams, at)[row])], ["sig", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(_name(grams, at)[row])], ["sig", "s"])
 
     def sets(batch):
         grams, at = shingle_sets(batch.column("_s_text"), size)
@@ -206,19 +268,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("g", "i", "j", "b", "s")], pa.array(data, pa.binary())], ["g", "i", "j", "b", "s", "set"])
 
     info = C.table(C.map_texts(texts, describe, "id long, k long, s long, n long"))
-    signed = C.map_texts(texts.select("_s_text"), sign, "sig long, s long")
-    # Most signatures occur once: a count of them is all that is moved of those, besides their rows.
-    often = signed.groupBy("sig").count().filter("count > 1").select(F.col("sig").bitwiseXOR(F.lit(1)).alias("sig2"))
-    shared = C.table(signed.join(often, F.col("sig").bitwiseXOR(F.lit(1)) == F.col("sig2")).select("sig", "s").distinct())
-    first = shared.groupBy("sig").agg(F.min("s").alias("u"), F.max("s").alias("most")).filter("u < most").select(F.col("sig").bitwiseXOR(F.lit(1)).alias("sig2"), "u")
+    few = FEW if percent < PERCENT else 1
+    if few > 1:
+        shared = C.table(_met(texts, int(info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), size, percent))
+    else:
+        signed = C.map_texts(texts.select("_s_text"), sign, "sig long, s long")
+        # Most signatures occur once: a count of them is all that is moved of those, besides their rows.
+        often = signed.groupBy("sig").count().filter("count > 1").select(F.col("sig").bitwiseXOR(F.lit(1)).alias("sig2"))
+        shared = C.table(signed.join(often, F.col("sig").bitwiseXOR(F.lit(1)) == F.col("sig2")).select("sig", "s").distinct())
+    first = shared.groupBy("sig").agg(F.min("s").alias("u"), F.count(F.lit(1)).alias("times")).filter(f"times > {few}").select(F.col("sig").bitwiseXOR(F.lit(1)).alias("sig2"), "u")
     stars = shared.join(first, F.col("sig").bitwiseXOR(F.lit(1)) == F.col("sig2")).select("u", F.col("s").alias("v"))
     groups = components(stars)  # sets that signatures connect: links are sought within these
+    if few > 1:
+        groups = C.table(groups)
     chosen = info.filter("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"))
     members = C.table(groups.join(chosen, F.col("node") == F.col("s")).select(F.col("root").alias("g"), "s", "k", "n"))
     blocks = members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nb")).select(F.col("g").bitwiseXOR(F.lit(1)).alias("g2"), "nb")
     placed = members.join(blocks, F.col("g").bitwiseXOR(F.lit(1)) == F.col("g2")).withColumn("b", F.pmod(F.xxhash64("s"), F.col("nb")).cast("int"))
     pairs = placed.select("g", "s", "k", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     pairs = pairs.select("g", "s", "k", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    pairs = pairs.select("g", "i", "j", "b", "s", "k")
+    if few > 1:
+        pairs = pairs.unionByName(_by_pair(shared, groups, few).join(chosen.withColumnRenamed("s", "s2"), F.col("s") == F.col("s2")).select("g", "i", "j", "b", "s", "k"))
     wanted = pairs.join(texts, F.col("k") == F.col("_s_k")).select("g", "i", "j", "b", "s", "_s_text")
     dealt = C.map_texts(wanted, sets, "g long, i int, j int, b int, s long, set binary").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     links = dealt.mapInArrow(lambda b: _verify(b, percent), "u long, v long")
