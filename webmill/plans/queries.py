@@ -136,6 +136,19 @@ def p10_scope_counts(spark, d):
     return pairs.agg(F.count_if(Q.same_domain("url", "other")).alias("same_domain"), F.count_if(Q.same_hostname("url", "other")).alias("same_hostname"), F.count_if(Q.same_origin("url", "other")).alias("same_origin"))
 
 
+@query(_SQL_LINKS + r"""
+, u AS (SELECT DISTINCT page_id, page_url, url FROM p),
+h AS (SELECT *, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS a, regexp_extract(page_url, '^https?://([^/?#:]+)', 1) AS b FROM u),
+z AS (SELECT *, regexp_extract(a, '([^.]+\.[^.]+)$', 1) AS ra, regexp_extract(b, '([^.]+\.[^.]+)$', 1) AS rb FROM h)
+SELECT page_id, url, CASE WHEN ra = '' THEN a ELSE ra END = CASE WHEN rb = '' THEN b ELSE rb END AS same_domain, a = b AS same_hostname,
+       regexp_extract(url, '^(https?://[^/?#]+)', 1) = regexp_extract(page_url, '^(https?://[^/?#]+)', 1) AS same_origin FROM z
+""")
+def p10_link_scopes(spark, d):
+    """Every link of every page against the page that it stands on."""
+    found = links.extract_links(_read(spark, d, "pages"))
+    return found.select("page_id", "url", Q.same_domain("url", "page_url").alias("same_domain"), Q.same_hostname("url", "page_url").alias("same_hostname"), Q.same_origin("url", "page_url").alias("same_origin"))
+
+
 _FILTER = 'req.host.cont:"." AND req.path.ncont:"?" AND req.url.regex:"^https" and req.method.eq:GET AND nonsense'
 
 
