@@ -288,6 +288,13 @@ def o1_seed_union(spark, d):
     return queue.seeds(p.filter("page_id % 2 = 0").select("url"), p.filter("page_id % 3 = 0").select("url", F.timestamp_seconds("page_id").alias("created_at"))).select("url")
 
 
+@query(_SQL_LINKS + "SELECT url FROM p UNION SELECT url FROM pages")
+def o1_all_seeds(spark, d):
+    """The links of all pages as targets, all pages as history."""
+    p = _read(spark, d, "pages")
+    return queue.seeds(links.extract_links(p).select("url"), p.select("url", F.timestamp_seconds("page_id").alias("created_at"))).select("url")
+
+
 @query(r"WITH h AS (SELECT url, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages) SELECT url FROM h WHERE host = (SELECT min(host) FROM h)")
 def s3_history_seeds(spark, d):
     h = _read(spark, d, "pages").select(U.url_host("url").alias("host"), F.lit("GET").alias("method"), "url", F.timestamp_seconds("page_id").alias("created_at"))
