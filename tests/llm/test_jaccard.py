@@ -52,14 +52,45 @@ def test_near_copies_around_the_threshold(spark):
             for _ in range(rnd.randint(0, max(1, len(w) // 40))):
                 w[rnd.randrange(len(w))] = f"v{rnd.randrange(10**6)}"
             rows.append((1000 * family + copy, " ".join(w)))
-    old, J.BLOCK = J.BLOCK, 700  # groups of several blocks
+    old = J.BLOCK, J.CHUNK
+    J.BLOCK, J.CHUNK = 5, 3  # signatures of several blocks, sets in several chunks
     try:
         got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     finally:
-        J.BLOCK = old
+        J.BLOCK, J.CHUNK = old
     assert Counter(map(tuple, got)) == brute(rows)
 
 
+def test_words_whose_polynomial_hashes_agree_do_not_link(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]  # the Thue-Morse word and its complement
+    rows = [(1, "".join("ab"[x] for x in bits)), (2, "".join("ba"[x] for x in bits))]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter({(1, 1, 1): 1, (2, 1, 2): 1})
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rnd = random.Random(4)
+    for _ in range(100):
+        n = rnd.choice([1, 5, 31, 33, 200, 700])
+        a = rnd.sample(range(2**62), n)
+        b = a[: n - rnd.randint(0, n // 8)] + rnd.sample(range(2**62), rnd.randint(0, n // 8))
+        grams = np.concatenate([np.sort(np.array(x, np.uint64)) for x in (a, b)])
+        bits = J.bitmaps(grams, np.array([0, len(a), len(a) + len(b)]))
+        both = len(set(a) & set(b))
+        found = list(J.possible([(0, 0, len(a), bits[0])], [(1, 1, len(b), bits[1])], False, 90))
+        if 100 * both >= 90 * (len(a) + len(b) - both):
+            assert found
+        assert J.most(np.array([len(a)]), np.array([len(b)]), 90)[0] >= len(a) + len(b) - 2 * both or 100 * both < 90 * (len(a) + len(b) - both)
+
+
+def test_many_short_texts_of_one_template(spark):
+    rnd = random.Random(8)
+    rows = [(i, "the same five words here " + " ".join(f"u{rnd.randrange(10**6)}" for _ in range(7))) for i in range(20_000)]
+    rows += [(50_000 + i, rows[i][1]) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (i - 50_000 if i >= 50_000 else i) for i in got)
+
+
 def test_linked_sets_share_a_signature():
     rnd = random.Random(9)
     for _ in range(300):

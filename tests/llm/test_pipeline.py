@@ -18,7 +18,7 @@ def test_stages_against_brute_force(spark, docs, cases):
     two = table(P.near_duplicates(spark, one, ""))
     stay = {i for i, _, low in components_of([c[:2] for c in good]) if i == low}
     got = Counter(r.doc_id for r in two.collect())
-    assert got.pop(None) == 2  # rows without an id can't be named, so they stay
+    assert got.pop(None) == 1  # of the rows without an id one is a copy of row 1
     assert set(got) == stay - {None} and set(got.values()) == {1}
     two = table(two.filter("doc_id IS NOT NULL"))
     texts = {r.doc_id: r.text for r in two.collect()}
@@ -36,5 +36,17 @@ def test_stages_against_brute_force(spark, docs, cases):
     assert len(rows) == four.count() and all(v.decode(r.ids) == r.decoded == by_id[r.doc_id] and len(r.ids) == r.n_tokens for r in rows)
 
 
+def test_rows_go_and_not_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    x, y, z = text("x"), text("y"), text("z")
+    near = z.replace("z59", "other")
+    rows = [(1, x), (3, x), (3, y), (7, z), (7, near), (None, y), (None, text("n")), (9, ""), (9, None), (8, text("w")), (8, text("w"))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, "").collect())
+    seven = [k for k in got if k[0] == 7]
+    assert len(seven) == 1 and got.pop(seven[0]) == 1
+    assert got == Counter([(1, x), (3, y), (None, text("n")), (9, ""), (9, None), (8, text("w"))])
+
+
 def test_run_over_a_table(spark):
     assert P.run(spark, "/root/testdata/sf0.001").count() > 0

@@ -6,11 +6,14 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import hashlib
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +28,10 @@ IS_WORD[list(SEPARATORS)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240229)
-#: A random 64-bit weight for each byte value: the terms of the polynomial hashes.
-BYTE_WEIGHT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: An odd multiplier: what is folded into a hash first is spread before the next comes.
+FOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Words of up to so many bytes are hashed together, eight bytes at a time; longer ones one by one.
+LONG_WORD = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +39,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own if Spark runs in
+    this one process, as in tests; on a cluster that is an error, as no other machine would see its files."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="webmill-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -122,7 +126,6 @@ def small_batches(spark: SparkSession) -> None:
 
 def tidy() -> None:
     """Gives memory back at the end of a task: Spark keeps Python workers for later tasks, and they share a budget with the JVM."""
-    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -144,17 +147,6 @@ def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse, modulo 2**64, for i < n."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(32))
@@ -165,18 +157,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Sums of values[i] * BASE**i before each position, from which any range's hash follows."""
-    pw, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * pw[:-1], out=out[1:])
-    return out
+def fold(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A hash of what h stands for, followed by x: each step spreads all bits, so no sums of powers can cancel out."""
+    return mix(h * FOLD ^ x)
 
 
-def range_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the same values stand."""
-    _, inv = powers(len(pre))
-    return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(np.uint64))
+def eight_bytes(buf: np.ndarray) -> np.ndarray:
+    """At each position the eight bytes that begin there, as one number; zeros follow the last."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray(len(buf) + 1, "<u8", padded.tobytes(), strides=(1,))
+
+
+def runs(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` consecutive values, by doubling."""
+    if len(values) < width:
+        return values[:0]
+    out, done, span, h = None, 0, 1, values
+    while True:
+        if width & span:
+            part = h[done : len(values) - width + 1 + done]
+            out = mix(part + np.uint64(span)) if out is None else fold(out, part)
+            done += span
+        span *= 2
+        if span > width:
+            return out
+        h = fold(h[: -(span // 2)], h[span // 2 :])
+
+
+def span_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each range values[first:last], whatever its length."""
+    data, size = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize
+    found = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip((first * size).tolist(), (last * size).tolist(), strict=True)]
+    return np.array(found, np.uint64).view(np.int64)
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +208,22 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return range_hash(prefix(BYTE_WEIGHT[buf]), begin, end)
+    size = (end - begin).astype(np.uint64)
+    out = mix(size + np.uint64(1))
+    eight = eight_bytes(buf)
+    live = np.flatnonzero(size <= LONG_WORD)
+    step = 0
+    while len(live):
+        at, left = begin[live] + step, (size[live] - np.uint64(step))
+        x = eight[np.minimum(at, len(buf))]
+        part = left < 8
+        x[part] &= (np.uint64(1) << (left[part] * np.uint64(8))) - np.uint64(1)
+        out[live] = fold(out[live], x)
+        step += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def window_min(keys: np.ndarray, width: int) -> np.ndarray:

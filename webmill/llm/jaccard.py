@@ -1,4 +1,15 @@
-"""Operator 5: n-gram Jaccard join by PartEnum signatures, as components of linked documents."""
+"""Operator 5: n-gram Jaccard join by PartEnum signatures, as components of linked documents.
+
+1. One map over the texts gives each row its number, its set's name (128 bits), size and parity bitmap.
+2. A second map signs the sets; signatures are packed by part of their domain and meet in tasks.
+3. Each set is compared with the least set that it shares a signature with. Rows of one least set are dealt to tasks
+   in chunks, so no group is held whole. What links so far is contracted to components.
+4. Signatures whose sets are in several components are looked at once more: pairs across components whose bitmaps
+   differ in no more bits than linked sets may differ in elements are compared as well. No pair within a component is.
+
+A bitmap's bits are parities of hashed elements, so two sets differ in at least as many elements as their bitmaps in
+bits: what the bitmaps rule out can't link. All that remains is verified on the sets themselves.
+"""
 
 from __future__ import annotations
 
@@ -15,15 +26,17 @@ from webmill.llm.components import components
 SHINGLE = 3
 PERCENT = 90
 #: Second-level partitions (under 90 percent, where parts hold fewer elements: WIDE), and how many of them a signature
-#: may leave out.
+#: may leave out. Small sets, which may differ in few elements only, have more: FINE, by the most they may differ in.
 PARTS = 2
 WIDE = 3
 LEFT_OUT = 1
-#: Under 90 percent single common shingles make signatures, which would tie most documents into one group: signatures
-#: of up to so many sets give pairs instead, each compared by itself.
-FEW = 64
-#: Shingles whose signatures meet in one task there, each about 20 bytes.
-MET = 1_000_000
+FINE = {1: 8, 2: 8, 3: 6, 4: 4, 5: 4, 6: 4}
+#: Signatures that meet at once.
+MET = 1_500_000
+#: Rows of one least set that are compared with it in one task.
+CHUNK = 4_000
+#: Sets of one signature whose bitmaps are compared in one task; more are compared block by block.
+BLOCK = 4_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,12 +47,16 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     buf, off = C.text_arrays(column)
     begin, end, at = C.words(buf, off)
-    pre = C.prefix(C.word_hashes(C.LOWER[buf], begin, end))
+    word = C.word_hashes(C.LOWER[buf], begin, end)
     n = np.diff(at)
     count = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
     row = np.repeat(np.arange(len(n)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[:-1], count)
-    grams = C.range_hash(pre, start, np.minimum(start + size, at[row + 1]))
+    grams = C.mix(np.minimum(n, size).astype(np.uint64)[row] + np.uint64(1))
+    stop = at[row + 1]
+    for j in range(size):
+        on = np.flatnonzero(start + j < stop)
+        grams[on] = C.fold(grams[on], word[start[on] + j])
     order = np.lexsort((grams, row))
     grams, row = grams[order], row[order]
     new = np.ones(len(row), bool)
@@ -47,6 +64,27 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.searchsorted(row[new], np.arange(len(n) + 1))
 
 
+def names(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each whole set, as two numbers."""
+    size = np.diff(at).astype(np.uint64)
+    out = []
+    for salt in (0x1234567, 0x89ABCDEF01):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(grams ^ np.uint64(salt)), dtype=np.uint64)))
+        out.append(C.mix((sums[at[1:]] - sums[at[:-1]]) ^ C.mix(size + np.uint64(salt))).view(np.int64))
+    return tuple(out)
+
+
+def bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The parity bitmap of each set, of two bits or more for each element: a power of two, 64 at least."""
+    size = np.diff(at)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(bits)))
+    spot = np.repeat(base[:-1], size) + (C.mix(grams ^ np.uint64(0x5EED)) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=base[-1]) & 1).astype(np.uint8)
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
+
+
 def bands(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The last size of each band, and the most elements in which two linked sets up to that size can differ.
 
@@ -67,7 +105,7 @@ def bands(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
 def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT, parts: int | None = None, left_out: int = LEFT_OUT) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of each set.
 
-    For a band in which linked sets differ in at most k elements the domain falls into n1 parts, each of `parts`
+    For a band in which linked sets differ in at most k elements the domain falls into n1 parts, each of some
     smaller ones: in one of the n1 they differ in at most `left_out` elements, so all but so many of its smaller
     parts are equal, and one of the signatures made of all such choices is shared. A set has the signatures of its
     own band and of the next, where it may meet larger sets. A choice of parts that are all empty says nothing; a
@@ -77,171 +115,263 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT, parts:
     size = np.diff(at)
     if not len(grams):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    parts = parts or (PARTS if percent >= PERCENT else WIDE)
     ends, differ = bands(int(size.max()), percent)
+    ends, differ = bands(int(ends[-1]) + 1, percent)  # and the band after the last
     own = np.searchsorted(ends, size)
-    row = np.repeat(np.arange(len(size)), size)
-    spread = C.mix(grams ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)
+    usual = parts or (PARTS if percent >= PERCENT else WIDE)
     rows, out = [], []
     for step in (0, 1):
-        band = own + step
-        band = np.minimum(band, len(ends) - 1) if step == 0 else band
-        if step and int(band.max()) >= len(ends):
-            ends, differ = bands(int(ends[-1]) + 1, percent)
-        k = differ[band]
-        out_of = np.minimum(k, left_out)  # equal sets only: one signature of the whole set
-        need = k // (left_out + 1)
-        more = np.minimum(2, k // 10) if percent >= PERCENT else 3 * need // 20 + np.minimum(5, k // 4)
-        n1 = np.where(out_of > 0, need + 1 + more, 1)
-        cells = n1 * parts
-        base = np.concatenate(([0], np.cumsum(np.where(size > 0, cells, 0))))
-        part = (spread * cells[row].astype(np.uint64)) >> np.uint64(31)
-        cell = base[row] + part.astype(np.int64)
-        sums = np.zeros(base[-1], np.uint64)
-        np.add.at(sums, cell, C.mix(grams))
-        owner = np.repeat(np.arange(len(size)), np.diff(base))
-        place = np.arange(base[-1]) - base[owner]
-        filled = np.bincount(cell, minlength=base[-1]) > 0
-        sums, filled = sums.reshape(-1, parts), filled.reshape(-1, parts)
-        owner, place = owner[::parts], place[::parts] // parts
-        tag = C.mix(band[owner].astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
-        whole = out_of[owner] == 0
-        solid = np.ones(len(owner), bool)
-        for number, chosen in enumerate(combinations(range(parts), parts - left_out)):
-            some = filled[:, chosen].any(1)
-            solid &= some
-            s = C.mix(tag + np.uint64(number))
-            for c in chosen:
-                s = C.mix(s ^ sums[:, c])
-            rows.append(owner[some & ~whole])
-            out.append(s[some & ~whole])
-        all_of = C.mix(tag ^ C.mix(sums.sum(1)))
-        rows.append(owner[whole])
-        out.append(all_of[whole])
-        # At most `need` first-level parts differ in more than left_out elements. If more than that have no empty
-        # choice, one of those agrees in a choice that says something, for this set and any that it links with.
-        bare = (size > 0) & (out_of > 0) & (np.bincount(owner[solid], minlength=len(size)) <= need)
-        rows.append(np.flatnonzero(bare))
-        out.append(C.mix(band[bare].astype(np.uint64) + np.uint64(0xABCD << 40)))
+        k = differ[own + step]
+        fine = np.array([usual if parts else FINE.get(x, usual) for x in range(int(k.max()) + 1)])[k]
+        for n2 in np.unique(fine[size > 0]).tolist():
+            some = np.flatnonzero((fine == n2) & (size > 0))
+            n = size[some]
+            sub = np.concatenate(([0], np.cumsum(n)))
+            mine = grams[np.arange(sub[-1]) - np.repeat(sub[:-1], n) + np.repeat(at[:-1][some], n)]
+            r, s = _sign(mine, sub, own[some] + step, k[some], n2, left_out, percent)
+            rows.append(some[r])
+            out.append(s)
     return np.concatenate(rows), np.concatenate(out)
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """left x right: whether these two sets link, from the sizes of all intersections at once."""
-    size = np.array([len(s) for s in sets], np.int64)
-    grams = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, ids, times = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = times[ids] > 1  # what one set has alone is in no intersection
-    ids, owner = ids[shared], owner[shared]
-    _, ids = np.unique(ids, return_inverse=True)
-    both = np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
-    width = max(64, 4_000_000 // max(1, len(sets)))
-    for first in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
-        a, b = np.searchsorted(ids, [first, first + width])
-        has = np.zeros((len(sets), int(ids[b - 1]) - first + 1), np.float32)
-        has[owner[a:b], ids[a:b] - first] = 1
-        both += has[left] @ has[right].T
-    both = both.astype(np.int64)
-    return 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
-
-
-def forest(link: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """For each of n sets the first that these links lead to."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, left, np.where(link, root[right][None, :], n).min(1))
-        np.minimum.at(new, right, np.where(link, root[left][:, None], n).min(0))
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-#: Elements of the sets that make one block: two blocks are compared in one task's memory.
-BLOCK = 250_000
+def _sign(grams: np.ndarray, at: np.ndarray, band: np.ndarray, k: np.ndarray, parts: int, left_out: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets that are not empty, for the given bands, with so many second-level parts."""
+    size, rows, out = np.diff(at), [], []
+    row = np.repeat(np.arange(len(size)), size)
+    spread = C.mix(grams ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)
+    out_of = np.minimum(k, left_out)  # equal sets only: one signature of the whole set
+    need = k // (left_out + 1)
+    more = np.minimum(2, k // 10) if percent >= PERCENT else 3 * need // 20 + np.minimum(5, k // 4)
+    n1 = np.where(out_of > 0, need + 1 + more, 1)
+    cells = n1 * parts
+    base = np.concatenate(([0], np.cumsum(cells)))
+    part = (spread * cells[row].astype(np.uint64)) >> np.uint64(31)
+    cell = base[row] + part.astype(np.int64)
+    sums = np.zeros(base[-1], np.uint64)
+    np.add.at(sums, cell, C.mix(grams))
+    owner = np.repeat(np.arange(len(size)), cells)
+    place = np.arange(base[-1]) - base[owner]
+    filled = np.bincount(cell, minlength=base[-1]) > 0
+    sums, filled = sums.reshape(-1, parts), filled.reshape(-1, parts)
+    owner, place = owner[::parts], place[::parts] // parts
+    tag = C.mix(band[owner].astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
+    whole = out_of[owner] == 0
+    solid = np.ones(len(owner), bool)
+    for number, chosen in enumerate(combinations(range(parts), parts - left_out)):
+        some = filled[:, chosen].any(1)
+        solid &= some
+        s = C.mix(tag + np.uint64(number))
+        for c in chosen:
+            s = C.fold(s, sums[:, c])
+        rows.append(owner[some & ~whole])
+        out.append(s[some & ~whole])
+    all_of = C.fold(tag, sums.sum(1))
+    rows.append(owner[whole])
+    out.append(all_of[whole])
+    # At most `need` first-level parts differ in more than left_out elements. If more than that have no empty
+    # choice, one of those agrees in a choice that says something, for this set and any that it links with.
+    bare = (out_of > 0) & (np.bincount(owner[solid], minlength=len(size)) <= need)
+    rows.append(np.flatnonzero(bare))
+    out.append(C.mix(band[bare].astype(np.uint64) + np.uint64(0xABCD << 40)))
+    return np.concatenate(rows), np.concatenate(out)
 
 
-def _verify(batches, percent: int):
-    """Rows sorted by (g, i, j): the sets of blocks i and j of a candidate group -> links (u, v) that connect what links."""
+def most(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """In how many elements linked sets of these sizes may differ."""
+    both = -(-percent * (a + b) // (100 + percent))
+    return a + b - 2 * both
 
-    def rows():
-        for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("g", "i", "j", "b", "s", "set")), strict=True)
 
-    for (_, i, j), members in groupby(rows(), lambda r: r[:3]):
-        one = {s: (b, np.frombuffer(x, np.uint64)) for _, _, _, b, s, x in members}
-        if len(one) < 2:
-            continue
-        names, block = np.array(list(one)), np.array([b for b, _ in one.values()])
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if not len(left) or not len(right):
-            continue
-        root = forest(linked([x for _, x in one.values()], left, right, percent), left, right, len(names))
-        at = np.flatnonzero(root != np.arange(len(names)))
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]])], ["u", "v"])
+def _numbered(docs: DataFrame, id_col: str, text_col: str, size: int, carry: list[str]) -> DataFrame:
+    """_j_row, a number for each row of docs; _j_id, _j_text; the set's name _j_s, _j_t, size _j_n and bitmap _j_bits."""
+    source = docs.select(F.monotonically_increasing_id().alias("_j_row"), F.col(id_col).cast("long").alias("_j_id"), F.col(text_col).alias("_j_text"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"), *carry)
 
+    def describe(batch):
+        grams, at = shingle_sets(batch.column("_s_text"), size)
+        s, t = names(grams, at)
+        found = [pa.array(s), pa.array(t), pa.array(np.diff(at)), pa.array(bitmaps(grams, at), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_j_row", "_j_id", "_j_text", *carry)], *found], ["_j_row", "_j_id", "_j_text", *carry, "_j_s", "_j_t", "_j_n", "_j_bits"])
 
-def _name(grams, at):
-    """One hash for each whole set."""
-    pre = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(grams ^ np.uint64(0x1234567)), dtype=np.uint64)))
-    return C.mix((pre[at[1:]] - pre[:-1][at[:-1]] if len(grams) else np.zeros(len(at) - 1, np.uint64)) ^ C.mix(np.diff(at).astype(np.uint64))).view(np.int64)
+    kinds = dict(docs.dtypes)
+    carried = "".join(f"`{c}` {kinds[c]}, " for c in carry)
+    return C.table(C.map_texts(source, describe, f"_j_row long, _j_id long, _j_text string, {carried}_j_s long, _j_t long, _j_n long, _j_bits binary"))
 
 
-def _met(texts: DataFrame, total: int, size: int, percent: int) -> DataFrame:
-    """(sig, s) of signatures that several sets have. Signatures are moved once, packed by part of their domain."""
-    n = total // MET + 1
+def _met(rows: DataFrame, total: int, size: int, percent: int) -> DataFrame:
+    """(sig, node, rep): the sets that share a signature with others, each by its least row, and the least of them all.
 
-    def pack(batch):
-        grams, at = shingle_sets(batch.column("_s_text"), size)
-        row, sig = signatures(grams, at, percent)
-        p = (sig >> np.uint64(32)) % np.uint64(4 * n)
-        by = np.lexsort((row, p))
-        p, sig, s = p[by], sig[by], _name(grams, at)[row[by]]
-        cut = np.flatnonzero(np.diff(p, prepend=p[:1] + np.uint64(1))).tolist() + [len(p)]
-        runs = list(zip(cut[:-1], cut[1:], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]].astype(np.int64)), *[pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (sig, s)]], ["p", "sigs", "sets"])
+    Signatures are moved packed: 4 bytes and a place in the list of sets of the slice that they come from.
+    """
+    parts = PARTS if percent >= PERCENT else WIDE
+    a_shingle = 3.5 * parts * (100 - percent) / (100 + percent)
+    n = int(total * a_shingle) // MET + 1
+
+    def pack(whole):
+        for first in range(0, whole.num_rows, 1 << 16):
+            batch = whole.slice(first, 1 << 16)
+            grams, at = shingle_sets(batch.column("_s_text"), size)
+            row, sig = signatures(grams, at, percent)
+            name, ids = names(grams, at)[0], np.array(batch.column("_j_row"), np.int64)
+            p = (sig >> np.uint64(32)) % np.uint64(n)
+            by = np.lexsort((row, p, ids[row] >> 32))
+            p, sig, row = p[by], sig[by], row[by]
+            high = ids[row] >> 32
+            new = np.append(True, (p[1:] != p[:-1]) | (high[1:] != high[:-1])) if len(p) else np.zeros(0, bool)
+            cut = np.flatnonzero(new).tolist() + [len(p)]
+            out = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                who, at_who = np.unique(row[a:b], return_inverse=True)
+                out.append((int(p[a]), int(high[a]), sig[a:b].astype(np.uint32).tobytes(), at_who.astype(np.uint16).tobytes(), ids[who].astype(np.uint32).tobytes(), name[who].tobytes()))
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], ["p", "high", "sigs", "at", "who", "names"])
+
+    def shared(p, blobs):
+        sig = np.concatenate([np.frombuffer(x[0], np.uint32) for x in blobs])
+        place = [np.frombuffer(x[1], np.uint16) for x in blobs]
+        by = np.argsort(sig, kind="stable")
+        same = sig[by[1:]] == sig[by[:-1]]
+        keep = by[np.append(False, same) | np.append(same, False)] if len(by) else by
+        node = np.concatenate([np.frombuffer(x[2], np.uint32)[k].astype(np.int64) | x[4] << 32 for x, k in zip(blobs, place, strict=True)])[keep]
+        name = np.concatenate([np.frombuffer(x[3], np.int64)[k] for x, k in zip(blobs, place, strict=True)])[keep]
+        sig = sig[keep]
+        by = np.lexsort((node, name, sig))
+        sig, name, node = sig[by], name[by], node[by]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])) if len(sig) else np.zeros(0, bool)
+        sig, node = sig[new], node[new]  # copies of a set go by the least of their rows
+        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+        times = np.diff(np.append(begin, len(sig)))
+        rep = np.repeat(np.minimum.reduceat(node, begin), times) if len(begin) else node
+        on = np.repeat(times > 1, times)
+        sig = (np.int64(p) << 32 | sig.astype(np.int64))[on]
+        for a in range(0, len(sig), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (sig, node[on], rep[on])], ["sig", "node", "rep"])
 
     def meet(batches):
-        sigs, sets = [], []
-        for b in batches:
-            sigs += [np.frombuffer(x, np.int64) for x in b.column("sigs").to_pylist()]
-            sets += [np.frombuffer(x, np.int64) for x in b.column("sets").to_pylist()]
-        if sigs:
-            sig, s = np.concatenate(sigs), np.concatenate(sets)
-            del sigs, sets
-            by = np.lexsort((s, sig))
-            sig, s = sig[by], s[by]
-            new = np.append(True, (sig[1:] != sig[:-1]) | (s[1:] != s[:-1]))
-            sig, s = sig[new], s[new]
-            same = sig[1:] == sig[:-1]
-            keep = np.append(False, same) | np.append(same, False)
-            sig, s = sig[keep], s[keep]
-            for a in range(0, len(sig), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + (1 << 16)]), pa.array(s[a : a + (1 << 16)])], ["sig", "s"])
+        def blobs():
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("p", "sigs", "at", "who", "names", "high")), strict=True)
+
+        for p, members in groupby(blobs(), lambda r: r[0]):
+            yield from shared(p, [m[1:] for m in members])
         C.tidy()
 
-    return C.map_texts(texts.select("_s_text"), pack, "p long, sigs binary, sets binary").repartition(n, "p").mapInArrow(meet, "sig long, s long")
+    packed = C.map_texts(rows.select("_j_row", F.coalesce("_j_text", F.lit("")).alias("_s_text")), pack, "p long, high long, sigs binary, at binary, who binary, names binary")
+    return C.table(packed.repartition(n, "p").sortWithinPartitions("p").mapInArrow(meet, "sig long, node long, rep long"))
+
+
+def _other(column: str):
+    """The key under another value: the join then exchanges both sides, and Spark can split a hot key."""
+    return F.col(column).bitwiseXOR(F.lit(1))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) that link. The rows of one u are dealt to tasks by CHUNK; each task has u's text
+    once and takes one row after the other."""
+    times = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("nc")).select(_other("u").alias("u2"), "nc")
+    dealt = C.table(pairs.join(times, _other("u") == F.col("u2")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("nc")).cast("int").alias("c")))
+    places = dealt.select("u", "c", F.lit(1).alias("role"), F.col("v").alias("node")).unionByName(dealt.select("u", "c").distinct().select("u", "c", F.lit(0).alias("role"), F.col("u").alias("node")))
+    texts = rows.select(_other("_j_row").alias("row2"), F.coalesce("_j_text", F.lit("")).alias("_s_text"))
+    wanted = places.join(texts, _other("node") == F.col("row2")).select("u", "c", "role", "node", "_s_text")
+
+    def check(batches):
+        held, left = None, None
+        for whole in batches:
+            for batch in C.slices(whole, "_s_text"):
+                grams, at = shingle_sets(batch.column("_s_text"), size)
+                us, vs = [], []
+                for i, (u, role, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("u", "role", "node")), strict=True)):
+                    mine = grams[at[i] : at[i + 1]]
+                    if role == 0:
+                        held, left = u, mine
+                        continue
+                    if held != u:
+                        raise ValueError("a row without the set that it is compared with")
+                    small, large = (mine, left) if len(mine) < len(left) else (left, mine)
+                    k = np.searchsorted(large, small)
+                    both = int((large[np.minimum(k, len(large) - 1)] == small).sum()) if len(small) else 0
+                    if both and 100 * both >= percent * (len(mine) + len(left) - both):
+                        us.append(u)
+                        vs.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                left = None if left is None else left.copy()  # the slice's arrays may go
+        C.tidy()
 
+    C.small_batches(pairs.sparkSession)
+    return C.table(wanted.repartition("u", "c").sortWithinPartitions("u", "c", "role").mapInArrow(check, "u long, v long"))
+
+
+def _across(shared: DataFrame, first: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) of sets that share a signature, are in different components of `first` and whose bitmaps
+    leave a link possible."""
+    of = first.select(_other("node").alias("node2"), "root")
+    placed = shared.join(of, _other("node") == F.col("node2"), "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
+    placed = C.table(placed)
+    several = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")).filter("lo < hi")
+    open_ = placed.join(several.select(_other("sig").alias("sig2"), "nb"), _other("sig") == F.col("sig2")).select("sig", "node", "comp", "nb")
+    bits = rows.select(_other("_j_row").alias("row2"), F.col("_j_n").alias("n"), F.col("_j_bits").alias("bits"))
+    open_ = open_.join(bits, _other("node") == F.col("row2")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    tiles = open_.select("sig", "node", "comp", "n", "bits", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    tiles = tiles.select("sig", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "comp", "n", "bits")
+
+    def compare(batches):
+        def members():
+            for x in batches:
+                yield from zip(*(x.column(c).to_pylist() for c in ("sig", "i", "j", "b", "node", "comp", "n", "bits")), strict=True)
+
+        for (_, i, j), group in groupby(members(), lambda r: r[:3]):
+            group = list(group)
+            yield from possible([g for g in group if g[3] == i], [g for g in group if g[3] == j], i == j, percent)
+        C.tidy()
 
-def _by_pair(shared: DataFrame, groups: DataFrame, few: int) -> DataFrame:
-    """(g, i, j, b, s): the two sets of each pair that shares a signature of at most `few` sets and is in no group
-    together, as a candidate group of one block."""
-    one = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("s").alias("a"), F.max("s").alias("z")).filter(f"times BETWEEN 2 AND {few}")
-    two = one.filter("times = 2").select(F.col("a").alias("u"), F.col("z").alias("v"))
-    more = one.filter("times > 2").select(F.col("sig").bitwiseXOR(F.lit(1)).alias("sig2"))
-    sets = shared.join(more, F.col("sig").bitwiseXOR(F.lit(1)) == F.col("sig2")).groupBy("sig").agg(F.sort_array(F.collect_list("s")).alias("a")).select("a").distinct()
-    listed = sets.select("a", F.posexplode("a").alias("at", "u")).select("u", F.explode(F.expr("slice(a, at + 2, size(a))")).alias("v"))
-    pairs = two.unionByName(listed).distinct()
-    roots = lambda x: groups.select(F.col("node").alias(f"{x}2"), F.col("root").alias(f"root_{x}"))
-    for x in ("u", "v"):
-        pairs = pairs.join(roots(x), F.col(x) == F.col(f"{x}2"), "left").drop(f"{x}2")
-    pairs = pairs.filter("root_u IS NULL OR root_v IS NULL OR root_u <> root_v").withColumn("g", F.xxhash64("u", "v"))
-    return pairs.select("g", F.explode(F.array("u", "v")).alias("s")).select("g", *[F.lit(0).alias(c) for c in ("i", "j", "b")], "s")
+    found = tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, "u long, v long")
+    return C.table(found.distinct())
+
+
+def possible(left: list, right: list, same: bool, percent: int):
+    """Batches of pairs (u < v) across components whose bitmaps leave a link possible. Rows end with node, comp, n, bits."""
+    if not left or not right:
+        return
+    width = min(len(r[-1]) for r in (*left, *right))
+
+    def arrays(rows):
+        node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (-4, -3, -2))
+        bits = np.zeros((len(rows), width // 8), np.uint64)
+        for k, r in enumerate(rows):  # a wider bitmap is folded: its halves, laid over each other, are the narrower one
+            bits[k] = np.bitwise_xor.reduce(np.frombuffer(r[-1], np.uint64).reshape(-1, width // 8), axis=0)
+        return node, comp, n, bits
+
+    a, b = arrays(left), arrays(right)
+    step = max(1, 2_000_000 // (len(right) * (width // 8)))
+    for k in range(0, len(left), step):
+        node, comp, n, bits = (x[k : k + step] for x in a)
+        apart = np.bitwise_count(bits[:, None, :] ^ b[3][None, :, :]).sum(2, dtype=np.int64)
+        ok = (apart <= most(n[:, None], b[2][None, :], percent)) & (comp[:, None] != b[1][None, :])
+        if same:
+            ok &= node[:, None] < b[0][None, :]
+        x, y = np.nonzero(ok)
+        if len(x):
+            u, v = node[x], b[0][y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs, numbered (see _numbered, with the columns `carry`), and (row, id, n, lo, best) for each: the size
+    of its set, the least id of its component and the number of the component's row that has it (the first of such)."""
+    rows = _numbered(docs, id_col, text_col, size, list(carry))
+    info = rows.select(F.col("_j_row").alias("row"), F.col("_j_id").alias("id"), F.col("_j_s").alias("s"), F.col("_j_t").alias("t"), F.col("_j_n").alias("n"))
+    total = int(info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    shared = _met(rows, total, size, percent)
+    stars = shared.groupBy("node").agg(F.min("rep").alias("u")).filter("u < node").select("u", F.col("node").alias("v"))
+    links = _verified(stars, rows, size, percent)
+    again = _verified(_across(shared, components(links), rows, percent), rows, size, percent)
+    roots = components(links.unionByName(again))
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    nodes = info.filter("n > 0").groupBy("s", "t").agg(F.min("row").alias("node"), F.min(best).alias("best"))
+    nodes = C.table(nodes.join(roots.select(_other("node").alias("node2"), "root"), _other("node") == F.col("node2"), "left").select("s", "t", F.coalesce("root", "node").alias("root"), "best"))
+    least = nodes.groupBy("root").agg(F.min("best").alias("best")).select(_other("root").alias("root2"), "best")
+    nodes = nodes.drop("best").join(least, _other("root") == F.col("root2")).select(_other("s").alias("s2"), F.col("t").alias("t2"), "best")
+    out = info.join(nodes, (_other("s") == F.col("s2")) & (F.col("t") == F.col("t2")) & (F.col("n") > 0), "left")
+    return rows, out.select("row", "id", "n", F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("lo"), F.coalesce("best.row", "row").alias("best"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -249,60 +379,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows of equal sets are one node, however many. Null and empty texts have the empty set, link with nothing and
     get their own id. Ids are whole numbers; null ids are passed over when the least is taken, so it is null only
-    where all are. Repeated rows are copies of each other.
+    where all are. Repeated rows are copies of each other. Other columns are not read.
     """
-    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_s_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"), F.col(id_col).cast("long").alias("_s_id"))
+    _, found = classes(docs, id_col, text_col, size, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("lo").alias("component_id"))
 
-    def describe(batch):
-        grams, at = shingle_sets(batch.column("_s_text"), size)
-        yield pa.RecordBatch.from_arrays([batch.column("_s_id"), batch.column("_s_k"), pa.array(_name(grams, at)), pa.array(np.diff(at))], ["id", "k", "s", "n"])
 
-    def sign(batch):
-        grams, at = shingle_sets(batch.column("_s_text"), size)
-        row, sig = signatures(grams, at, percent)
-        yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(_name(grams, at)[row])], ["sig", "s"])
-
-    def sets(batch):
-        grams, at = shingle_sets(batch.column("_s_text"), size)
-        data = [grams[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("g", "i", "j", "b", "s")], pa.array(data, pa.binary())], ["g", "i", "j", "b", "s", "set"])
-
-    info = C.table(C.map_texts(texts, describe, "id long, k long, s long, n long"))
-    few = FEW if percent < PERCENT else 1
-    if few > 1:
-        shared = C.table(_met(texts, int(info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), size, percent))
-    else:
-        signed = C.map_texts(texts.select("_s_text"), sign, "sig long, s long")
-        # Most signatures occur once: a count of them is all that is moved of those, besides their rows.
-        often = signed.groupBy("sig").count().filter("count > 1").select(F.col("sig").bitwiseXOR(F.lit(1)).alias("sig2"))
-        shared = C.table(signed.join(often, F.col("sig").bitwiseXOR(F.lit(1)) == F.col("sig2")).select("sig", "s").distinct())
-    first = shared.groupBy("sig").agg(F.min("s").alias("u"), F.count(F.lit(1)).alias("times")).filter(f"times > {few}").select(F.col("sig").bitwiseXOR(F.lit(1)).alias("sig2"), "u")
-    stars = shared.join(first, F.col("sig").bitwiseXOR(F.lit(1)) == F.col("sig2")).select("u", F.col("s").alias("v"))
-    groups = components(stars)  # sets that signatures connect: links are sought within these
-    if few > 1:
-        groups = C.table(groups)
-    chosen = info.filter("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"))
-    members = C.table(groups.join(chosen, F.col("node") == F.col("s")).select(F.col("root").alias("g"), "s", "k", "n"))
-    blocks = members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nb")).select(F.col("g").bitwiseXOR(F.lit(1)).alias("g2"), "nb")
-    placed = members.join(blocks, F.col("g").bitwiseXOR(F.lit(1)) == F.col("g2")).withColumn("b", F.pmod(F.xxhash64("s"), F.col("nb")).cast("int"))
-    pairs = placed.select("g", "s", "k", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    pairs = pairs.select("g", "s", "k", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    pairs = pairs.select("g", "i", "j", "b", "s", "k")
-    if few > 1:
-        pairs = pairs.unionByName(_by_pair(shared, groups, few).join(chosen.withColumnRenamed("s", "s2"), F.col("s") == F.col("s2")).select("g", "i", "j", "b", "s", "k"))
-    wanted = pairs.join(texts, F.col("k") == F.col("_s_k")).select("g", "i", "j", "b", "s", "_s_text")
-    dealt = C.map_texts(wanted, sets, "g long, i int, j int, b int, s long, set binary").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    links = dealt.mapInArrow(lambda b: _verify(b, percent), "u long, v long")
-    found = C.table(components(links))
-    least = info.join(found, F.col("s") == F.col("node")).groupBy("root").agg(F.min("id").alias("lo")).select(F.col("root").alias("root2"), "lo")
-    of_set = found.join(least, F.col("root") == F.col("root2")).select(F.col("node").alias("s2"), "lo")
-    copies = info.filter("n > 0").groupBy("s").agg(F.min("id").alias("own"))
-    named = copies.join(of_set, F.col("s") == F.col("s2"), "left").select(F.col("s").bitwiseXOR(F.lit(1)).alias("s2"), F.coalesce("lo", "own").alias("lo"))
-    out = info.join(named, (F.col("s").bitwiseXOR(F.lit(1)) == F.col("s2")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lo", "id").alias("component_id"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of linked rows: that of the least id, a null id counting last, and of several such
+    rows one. Rows, not ids, go and stay: a text stays whatever other rows share its id. Rows without words all stay.
+    """
+    rest = tuple(c for c in docs.columns if c not in (text_col,))
+    rows, found = classes(docs.select(text_col, *rest), id_col, text_col, size, percent, rest)
+    gone = found.filter("row <> best").select(_other("row").alias("row2"))
+    kept = rows.join(gone, _other("_j_row") == F.col("row2"), "left_anti")
+    return kept.withColumnRenamed("_j_text", text_col).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that link at 90 percent of their three-word shingles, by component: doc_id, n_shingles, component_id."""
     return jaccard_components(C.read(spark, sf_dir, "documents"))
 
 
