@@ -22,13 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of linked documents. Documents without words or without an id stay; of
-    a row that occurs again one stays."""
-    found = common.table(jaccard.jaccard_components(docs, size=SHINGLE, percent=PERCENT))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_p_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_p_id"), "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """One row of each group of linked documents: that of least id, null counting last. Rows go and stay, not ids; documents
+    without words stay."""
+    return jaccard.one_of_each(docs, size=SHINGLE, percent=PERCENT)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' token ids after all stages. Null texts fail the quality rules; an empty table gives an empty one."""
     docs = common.read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = common.table(stage(spark, docs, sf_dir))
