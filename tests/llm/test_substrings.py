@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -39,7 +40,7 @@ def brute_words(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("group", [S.GROUP, 2])
+@pytest.mark.parametrize("group", [S.GROUP, 1])
 def test_suffix_dedup_against_brute_force(docs, cases, group):
     want = Counter(zip([c[0] for c in cases], brute_bytes([c[1] for c in cases]), strict=True))
     got = S.suffix_dedup(docs, group=group, digests=True).collect()
@@ -54,9 +55,10 @@ def test_suffix_dedup_gives_texts_and_spans(docs, cases):
         assert kept.decode("utf-8", "ignore") == r._s_kept
 
 
-def test_seed_and_extend_against_brute_force(docs, cases):
+@pytest.mark.parametrize("group", [S.GROUP, 1])
+def test_seed_and_extend_against_brute_force(docs, cases, group):
     want = Counter(zip([c[0] for c in cases], brute_words([c[:2] for c in cases]), strict=True))
-    got = S.seed_and_extend(docs, digests=True).collect()
+    got = S.seed_and_extend(docs, group=group, digests=True).collect()
     assert Counter((r.doc_id, (r._s_size, r._s_removed, r._s_kept)) for r in got) == want
 
 
@@ -73,3 +75,26 @@ def test_small_windows_are_found_in_periodic_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = S.seed_and_extend(docs, window=3, gram=2, digests=True).orderBy("doc_id").collect()
     assert [(r._s_size, r._s_removed, r._s_kept) for r in got] == brute_words(list(enumerate(texts)), 3)
+
+
+def test_refinement_against_all_pairs_of_windows():
+    rnd = random.Random(6)
+    for window in (1, 3, 8, 13, 40):
+        spans = ["".join(rnd.choice("ab" if window > 3 else "abcdefgh") for _ in range(rnd.randint(1, 70))).encode() for _ in range(20)]
+        spans += [spans[0], b"x" * 60, spans[1][: window + 2] * 2]
+        n = Counter(x[p : p + window] for x in spans for p in range(len(x) - window + 1))
+        want = sorted((i, p) for i, x in enumerate(spans) for p in range(len(x) - window + 1) if n[x[p : p + window]] > 1)
+        assert sorted(zip(*map(list, S.repeated_windows(spans, window)), strict=True)) == want
+
+
+def test_words_whose_polynomial_hashes_agree_are_different(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]  # the Thue-Morse word and its complement
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    frame = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*frame[:30], x, *frame[30:]]) for x in (one, two)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (S.GROUP, 1):
+        got = S.seed_and_extend(docs, group=group, digests=True).orderBy("doc_id").collect()
+        assert [r._s_removed for r in got] == [0, 0] == [x[1] for x in brute_words(list(enumerate(texts)))]
+        got = S.suffix_dedup(docs, group=group, digests=True).orderBy("doc_id").collect()
+        assert [(r._s_size, r._s_removed, r._s_spans, r._s_kept) for r in got] == brute_bytes(texts)
