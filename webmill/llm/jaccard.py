@@ -34,7 +34,7 @@ FINE = {1: 8, 2: 8, 3: 6, 4: 4, 5: 4, 6: 4}
 #: Signatures that meet at once.
 MET = 1_500_000
 #: Rows of one least set that are compared with it in one task.
-CHUNK = 4_000
+CHUNK = 256
 #: Sets of one signature whose bitmaps are compared in one task; more are compared block by block.
 BLOCK = 4_000
 
@@ -271,7 +271,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     dealt = C.table(pairs.join(times, _other("u") == F.col("u2")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("nc")).cast("int").alias("c")))
     places = dealt.select("u", "c", F.lit(1).alias("role"), F.col("v").alias("node")).unionByName(dealt.select("u", "c").distinct().select("u", "c", F.lit(0).alias("role"), F.col("u").alias("node")))
     texts = rows.select(_other("_j_row").alias("row2"), F.coalesce("_j_text", F.lit("")).alias("_s_text"))
-    wanted = places.join(texts, _other("node") == F.col("row2")).select("u", "c", "role", "node", "_s_text")
+    wanted = places.hint("merge").join(texts, _other("node") == F.col("row2")).select("u", "c", "role", "node", "_s_text")
 
     def check(batches):
         held, left = None, None
@@ -392,7 +392,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = tuple(c for c in docs.columns if c not in (text_col,))
     rows, found = classes(docs.select(text_col, *rest), id_col, text_col, size, percent, rest)
     gone = found.filter("row <> best").select(_other("row").alias("row2"))
-    kept = rows.join(gone, _other("_j_row") == F.col("row2"), "left_anti")
+    kept = rows.join(gone.hint("merge"), _other("_j_row") == F.col("row2"), "left_anti")
     return kept.withColumnRenamed("_j_text", text_col).select(*docs.columns)
 
 
