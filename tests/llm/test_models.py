@@ -71,10 +71,32 @@ def test_tree_against_a_recursion_over_nodes(spark):
     train = ["".join(rnd.choice(["ab", "cd", "é", " "]) for _ in range(60)) for _ in range(12)] + [""]
     test = ["abcd é ab", "zz", "", "é" * 9]
     rows = [(i, t) for i, t in enumerate(train)] + [(100 + i, t) for i, t in enumerate(test)]
-    got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
-    for i, t in enumerate(test):
-        want = plain_ctw([x.encode() for x in train], t.encode())
-        assert abs(got[100 + i] - want) < 1e-3 * abs(want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [plain_ctw([x.encode() for x in train], t.encode()) for t in test]
+    old = ctw.HELD
+    try:
+        for ctw.HELD, block in ((old, ctw.BLOCK), (40, 500)):  # in one piece, and in many blocks and groups
+            got = {r.doc_id: r.score for r in ctw.score(docs, F.col("doc_id") >= 100, block=block, part=block).collect()}
+            assert all(abs(got[100 + i] - x) < 1e-5 * abs(x) for i, x in enumerate(want))
+    finally:
+        ctw.HELD = old
+
+
+def test_no_context_is_left_out(spark):
+    """Contexts that occur twice only, more of them than any bound that a table of contexts might have had, still tell."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(12)) for _ in range(12_000)]
+    rows = [(i, w + " " + w) for i, w in enumerate(words)] + [(100_000 + i, w) for i, w in enumerate(words[:300])]
+    got = {r.doc_id: r for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100_000).collect()}
+    assert np.mean([got[100_000 + i].bits_per_byte for i in range(300)]) < 4  # by chance alone a letter of 36 takes 5.2 bits
+    assert len(got) == len(rows)
+
+
+def test_repeated_rows_are_dealt_to_all_blocks(spark):
+    rows = [(1, "a b c " * 50)] * 400 + [(2, "d e f")]
+    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), F.col("doc_id") == 2, block=10_000)
+    assert Counter(r.doc_id for r in got.collect()) == {1: 400, 2: 1}
+    assert got.filter("doc_id = 1").select("score").distinct().count() == 1
 
 
 def test_classifier_finds_marked_words_in_held_out_rows(spark, docs, nothing):
@@ -99,3 +121,28 @@ def test_classifier_finds_marked_words_in_held_out_rows(spark, docs, nothing):
     assert toxicity.classify(nothing, model).count() == 0
     untrained = toxicity.train(nothing, labels)
     assert toxicity.classify(docs, untrained).count() == docs.count()
+
+
+def test_held_out_rows_of_the_labelled_table(spark):
+    """Area under the curve on the fold that the query does not learn from."""
+    at = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op6_toxicity(spark, at).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    bad, good = ([r.score for r in rows if labels[r.doc_id] == y] for y in (1, 0))
+    auc = np.mean([(b > g) + (b == g) / 2 for b in bad for g in good])
+    assert auc > 0.85
+
+
+def test_training_input_is_bounded_whatever_repeats(spark):
+    rows = [(1, "bad word " * 5, "en")] * 500 + [(i, f"plain text {i}", "en") for i in range(2, 40)] + [(i, "x" * 5000, "en") for i in range(40, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 60)], "doc_id long, toxic int")
+    seen = []
+    old = toxicity.Model.fit
+    toxicity.Model.fit = lambda self, texts, y, *a: seen.append((len(texts), sum(len(t) for t in texts.to_pylist())))
+    try:
+        toxicity.train(docs, labels, most=20_000)
+        toxicity.train(docs, labels, sample=10)
+    finally:
+        toxicity.Model.fit = old
+    assert seen[0][1] <= 20_000 and seen[0][0] < 60 and seen[1][0] <= 10

@@ -68,3 +68,54 @@ def test_arrays_of_sources(spark):
     rows = [(i, "w " * 10, ["a", "b"] if i % 2 else ["a"]) for i in range(100)] + [(200, "x", []), (201, "y", None)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
     assert len(got) == 102 and all(r.taken <= 2 * r.size for r in got)
+
+
+def plain_targets(size):
+    """Targets by source, null last: 5, 2, 1 in turn, 150 percent of all words, at most twice a source."""
+    order = sorted((s for s in size if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, left = {}, 1.5 * sum(size.values())
+    while len(target) < len(order):
+        rest = [s for s in order if s not in target]
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if share[s] > 2 * size[s]]
+        for s in over or rest:
+            target[s] = 2 * size[s] if over else share[s]
+        left -= sum(target[s] for s in over)
+    return target
+
+
+def test_targets_and_taken_against_a_plain_version(docs, cases):
+    size = Counter()
+    for _, t, _, source in cases:
+        size[source] += len(WORD.findall(t or ""))
+    want = plain_targets(size)
+    got = mixing.mix(docs).collect()
+    for source in size:
+        of = [r for r in got if r.source == source]
+        assert all(abs(r.target - want[source]) < 1e-6 * max(1, want[source]) for r in of)
+        largest = max(r.size for r in of)
+        assert abs(sum(r.taken for r in of) - want[source]) <= largest / 2 + 1e-6
+
+
+def test_many_equal_rows_are_taken_singly(spark):
+    rows = [(1, "w " * 10, "a")] * 1000 + [(2 + i, "w " * 10, "b") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(docs).collect()
+    want = plain_targets(Counter(a=10_000, b=10_000))
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 5 for s in want) and want["a"] == 20_000
+    docs = spark.createDataFrame(rows + [(9000 + i, "w " * 10, "c") for i in range(1000)], "doc_id long, text string, source string")
+    want = plain_targets(Counter(a=10_000, b=10_000, c=10_000))
+    whole = Counter(r.source for r in mixing.mix(docs, whole=True).collect())
+    assert all(abs(10 * whole[s] - want[s]) <= 5 for s in want) and want["a"] > 20_000 - 1 and 0 < want["c"] < 10_000
+
+
+def test_a_source_of_one_repeated_row_meets_its_share(spark):
+    """Two sources, so that the repeated row's share is no whole number of passes."""
+    rows = [(1, "w " * 10, "b")] * 1000 + [(2 + i, "w " * 10, "a") for i in range(5000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = plain_targets(Counter(a=50_000, b=10_000))
+    assert abs(sum(r.taken for r in got if r.source == "b") - want["b"]) <= 5

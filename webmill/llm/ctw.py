@@ -1,16 +1,23 @@
 """Operator 8: language-model scoring by context-tree weighting over bytes.
 
-Each byte is eight binary decisions; each decision has a tree over the bytes before it. Every node holds a
-Krichevsky-Trofimov estimate, and its weight against its children is worked out once from the training counts.
-What a text's bytes then cost depends on the last DEPTH bytes alone, so the model is one table. Counts cover all
-training documents; the table's size is bounded by CONTEXTS, whatever the input.
-
-The unigram baseline needs each token's count in all of the training set. The vocabulary grows with the input, so
-it is never sent whole: documents are dealt into blocks, each block asks for the counts of its own distinct words.
+Each byte is eight binary decisions; each decision has a tree over the up to DEPTH bytes before it. Every node holds a
+Krichevsky-Trofimov estimate of the decisions that it saw in training, and estimates are mixed across all depths by
+the weights that the training counts give them. No context is left out, however many there are:
+
+1. documents are dealt into blocks; each block states its distinct grams (a byte after DEPTH bytes) and distinct words,
+   with how often its training texts have them, packed by part of a hash;
+2. a task for each part sums them. Words are answered at once, by counts; grams are kept as a table;
+3. grams are grouped by the last TOP bytes of their context. A group is a whole subtree: what its nodes make of the
+   data goes up to the few short contexts, which the driver weighs (at most 256 ** TOP of them), and their mixture
+   comes down to the group again, which gives each gram's cost. Grams of scored texts alone are there too, with count 0;
+4. costs go back to the parts, from there to the blocks in the order in which they asked, and blocks are scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,25 +26,27 @@ from pyspark.sql import functions as F
 from webmill.llm import common as C
 
 DEPTH = 5
-#: Contexts of up to two bytes all have nodes; of longer ones so many, the most frequent. What a context without nodes
-#: saw is one further child of the longest one that has them.
-SHORT = 2
-CONTEXTS = 1 << 16
-#: Bytes of text in a block that is scored at once.
+#: Contexts of up to so many bytes are weighed on the driver, longer ones in tasks.
+TOP = 2
+#: Bytes of text in a block that is scored at once, and for each part of the hashes.
 BLOCK = 8_000_000
+PART = 64_000_000
+#: Grams whose subtrees are worked out at once: whole groups, so at most one group more.
+HELD = 150_000
 #: The hash that stands for the end of a text among words.
 END = -0x6E64
+_NODES = np.arange(8)
 
 
 def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte (lowest) with the DEPTH before it as one number (0 stands before the first), an end (0) after each
-    text, and where each text's begin."""
+    """Each byte (lowest) after the DEPTH before it, the last of these highest, as one number (0 stands before the first),
+    an end (0) after each text, and where each text's begin."""
     n = len(off) - 1
     out = np.zeros(len(buf) + n * (DEPTH + 1), np.uint8)
     out[np.arange(len(buf)) + np.repeat(np.arange(n) * (DEPTH + 1) + DEPTH, np.diff(off))] = buf
-    key = np.zeros(max(0, len(out) - DEPTH), np.uint64)
-    for j in range(DEPTH + 1):
-        key |= out[DEPTH - j : len(out) - j].astype(np.uint64) << np.uint64(8 * j)
+    key = out[DEPTH:].astype(np.uint64)
+    for j in range(1, DEPTH + 1):
+        key |= out[DEPTH - j : len(out) - j].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - j))
     at = off + np.arange(n + 1) * (DEPTH + 1)
     keep = np.ones(len(key), bool)
     for j in range(1, DEPTH + 1):
@@ -71,196 +80,130 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return half(a) + half(b) - whole - np.log(np.pi)
 
 
-def _fold(leaves: np.ndarray) -> np.ndarray:
-    """Counts of binary nodes from counts of bytes: 256 + b is byte b, i has the children 2i (zero) and 2i + 1 (one)."""
-    out = np.zeros((len(leaves), 512))
-    out[:, 256:] = leaves
-    for i in range(255, 0, -1):
-        out[:, i] = out[:, 2 * i] + out[:, 2 * i + 1]
-    return out
-
-
-class _Level:
-    """Contexts of one length, in the order of their parents; counts of the bytes after them, by row."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, parents: _Level | None):
-        context = keys >> 8
-        self.context = np.unique(context)
-        self.top = self.context >> 8 * max(0, depth - 1)
-        if parents is None:
-            self.parent = np.zeros(1, np.int64)
-        else:
-            shorter = self.context & ((1 << 8 * (depth - 1)) - 1)
-            order = np.argsort(parents.context)
-            self.parent = order[np.searchsorted(parents.context[order], shorter)]
-        by = np.lexsort((self.top, self.parent))
-        self.context, self.top, self.parent = self.context[by], self.top[by], self.parent[by]
-        order = np.argsort(self.context)
-        row = order[np.searchsorted(self.context[order], context)]
-        by = np.argsort(row, kind="stable")
-        self.row, self.byte, self.n = row[by], keys[by] & 255, n[by]
-
-    def __len__(self) -> int:
-        return len(self.context)
-
-    def leaves(self, a: int, b: int) -> np.ndarray:
-        """Counts of each byte after the contexts a..b."""
-        out = np.zeros((b - a, 256))
-        i, j = np.searchsorted(self.row, [a, b])
-        np.add.at(out, (self.row[i:j] - a, self.byte[i:j]), self.n[i:j])
-        return out
-
-    def children(self, a: int, b: int) -> tuple[int, int]:
-        """Rows of this level whose parents are a..b."""
-        return tuple(np.searchsorted(self.parent, [a, b]).tolist())
-
-
-class Tree:
-    """Log10 of each byte's probability after each context that has nodes: one row of `table` each."""
-
-    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]]):
-        """found[d]: runs of a context of d bytes and the byte after it (lowest), each with its count."""
-        levels: list[_Level] = []
-        for d, (keys, n) in enumerate(found):
-            if len(keys):
-                levels.append(_Level(keys, n, d, levels[-1] if levels else None))
-        zero, step, depth = np.arange(1, 256) * 2, 2048, len(levels) - 1
-        chunks = lambda level: [(a, min(a + step, len(level))) for a in range(0, len(level), step)]
-
-        # Upwards: what the children of each node make of the data, against its own estimate.
-        own: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-        total = np.zeros((0, 255), np.float64)
-        for d in range(depth, -1, -1):
-            here, new = levels[d], np.zeros((len(levels[d]), 255))
-            own[d] = np.ones((len(here) if d < DEPTH else 0, 255), np.float32)
-            for a, b in chunks(here):
-                leaves = here.leaves(a, b)
-                c = _fold(leaves)
-                kt = log_kt(c[:, zero], c[:, zero + 1])
-                if d == DEPTH:
-                    new[a:b] = kt
-                    continue
-                below = np.zeros((b - a, 255))
-                if d < depth:
-                    child = levels[d + 1]
-                    i, j = child.children(a, b)
-                    np.add.at(below, child.parent[i:j] - a, total[i:j])
-                    x, y = np.searchsorted(child.row, [i, j])
-                    np.subtract.at(leaves, (child.parent[child.row[x:y]] - a, child.byte[x:y]), child.n[x:y])
-                rest = _fold(leaves)  # contexts without nodes of their own, taken together
-                below += log_kt(rest[:, zero], rest[:, zero + 1])
-                new[a:b] = np.logaddexp(kt, below) - np.log(2)
-                own[d][a:b] = np.exp(kt - np.log(2) - new[a:b])  # the weight of the node's own estimate
-            total = new
-        del total, new
-
-        # Downwards: the mixture over depths. Where a context has not seen a node, its parent's estimate stands.
-        self.table = np.zeros((sum(map(len, levels)), 256), np.float16)
-        base = 0
-        done, left, last = (np.full((1, 255), x, np.float32) for x in (0, 1, 0.5))
-        for d, here in enumerate(levels):
-            after = [np.zeros((len(here) if d < depth else 0, 255), np.float32) for _ in range(3)]
-            for a, b in chunks(here):
-                c, up = _fold(here.leaves(a, b)), here.parent[a:b]
-                p = np.where(c[:, 1:256] == 0, last[up], (c[:, zero + 1] + 0.5) / (c[:, 1:256] + 1))
-                self.table[base + a : base + b] = _costs(done[up] + left[up] * p)
-                if d == depth:
-                    continue
-                after[0][a:b] = done[up] + left[up] * own[d][a:b] * p
-                after[1][a:b] = left[up] * (1 - own[d][a:b])
-                after[2][a:b] = p
-            done, left, last = after
-            own[d] = np.zeros(0)
-            base += len(here)
-
-        # The way to a context's row: by its last two bytes, then byte by byte.
-        bases = np.concatenate(([0], np.cumsum([len(x) for x in levels])))
-        inner = np.zeros(len(self.table), bool)
-        for d in range(1, depth + 1):
-            inner[bases[d - 1] + levels[d].parent] = True
-        self.inner = np.where(inner, np.cumsum(inner), 0).astype(np.int32)
-        self.child = np.zeros((int(inner.sum()) + 1, 256), np.int32)
-        for d in range(1, depth + 1):
-            self.child[self.inner[bases[d - 1] + levels[d].parent], levels[d].top] = bases[d] + np.arange(len(levels[d]))
-
-    def rows(self, key: np.ndarray) -> np.ndarray:
-        """The table's row for each of grams()."""
-        row = np.zeros(len(key), np.int32)
-        at = np.full(len(key), self.inner[0], np.int32)
-        for d in range(1, DEPTH + 1):
-            new = self.child[at, (key >> np.uint64(8 * d)).astype(np.uint8)]
-            on = new > 0
-            row = np.where(on, new, row)
-            at = np.where(on, self.inner[new], 0)
-        return row
-
-    def costs(self, key: np.ndarray) -> np.ndarray:
-        return self.table[self.rows(key), (key & np.uint64(255)).astype(np.uint8)].astype(np.float64)
-
-
-def _costs(p: np.ndarray) -> np.ndarray:
-    """Log10 of each byte's probability from those of its eight decisions."""
-    out = np.zeros((len(p), 512))
-    one, nil = np.log10(p), np.log10(1 - p)
-    for i in range(1, 256):
-        out[:, 2 * i] = out[:, i] + nil[:, i - 1]
-        out[:, 2 * i + 1] = out[:, i] + one[:, i - 1]
-    return out[:, 256:]
-
-
-def train(docs: DataFrame, text_col: str = "text", contexts: int = CONTEXTS) -> Tree:
-    """The tree of all texts of docs. Equal contexts meet in partial sums; the driver gets at most 2**24 rows of the
-    short contexts (in practice what bytes follow each other) and 256 rows for each of `contexts` longer ones."""
-    step = 1 << 22
-
-    def work(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def joined():
-            keys, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            u, back = np.unique(keys, return_inverse=True)
-            return u, np.bincount(back, n).astype(np.int64)
-
-        for whole in batches:
-            for batch in C.slices(whole, "_s_text"):
-                key, _ = grams(*C.text_arrays(batch.column("_s_text")))
-                held.append(np.unique(key, return_counts=True))
-                size += len(held[-1][0])
-                if size > step:
-                    held = [joined()]
-                    size = len(held[0][0])
-                    if size > step // 2:  # nearly all distinct: Spark's own sums take it from here
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], ["key", "n"])
-                        held, size = [], 0
-        if held:
-            u, n = joined()
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
-        C.tidy()
-
-    found = docs.select(F.col(text_col).alias("_s_text")).mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = C.table(found)
-    # All counts by length of context: the last d + 1 bytes of a key, and the context alone.
-    short = found.groupBy(F.expr(f"key & {(1 << 8 * (SHORT + 1)) - 1}").alias("key")).agg(F.sum("n").alias("n"))
-    by_length = None
-    for d in range(SHORT + 1, DEPTH + 1):
-        part = found.groupBy(F.lit(d).alias("d"), F.expr(f"key & {(1 << 8 * (d + 1)) - 1}").alias("key")).agg(F.sum("n").alias("n"))
-        by_length = part if by_length is None else by_length.unionByName(part)
-    by_length = C.table(by_length)
-    kept = by_length.groupBy("d", F.expr("shiftright(key, 8)").alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "d", "c").limit(contexts)
-    kept = kept.select(F.col("d").alias("d2"), "c")
-    long = by_length.join(kept, (F.col("d") == F.col("d2")) & (F.expr("shiftright(key, 8)") == F.col("c")), "left_semi").toArrow()
-    short = short.toArrow()
-    column = lambda t, c: np.array(t.column(c), np.int64)
-    key, n = column(short, "key"), column(short, "n")
-    if not len(key):  # no training text: the first byte counts as seen once
-        key, n = np.zeros(1, np.int64), np.ones(1, np.int64)
+def sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, back = np.unique(keys, return_inverse=True)
+    return u, np.bincount(back, n, len(u))
+
+
+class Level:
+    """The nodes of all contexts of d bytes: `at` (context and node, 1 to 255), decisions for 0 and for 1."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, d: int):
+        context = keys >> np.uint64(8 * (DEPTH + 1 - d)) if d else np.zeros_like(keys)
+        leaf, n = sums(context << np.uint64(8) | keys & np.uint64(255), n)
+        byte = (leaf & np.uint64(255)).astype(np.int64)
+        node = (1 << _NODES)[None, :] | byte[:, None] >> (8 - _NODES)[None, :]
+        self.one = (byte[:, None] >> (7 - _NODES)[None, :] & 1).astype(bool)
+        self.at, back = np.unique((leaf >> np.uint64(8) << np.uint64(8))[:, None] | node.astype(np.uint64), return_inverse=True)
+        self.back = back.reshape(-1, 8)  # the eight nodes of each leaf
+        flat, many = back.ravel(), np.repeat(n, 8)
+        self.n1 = np.bincount(flat, many * self.one.ravel(), len(self.at))
+        self.n0 = np.bincount(flat, many, len(self.at)) - self.n1
+
+    def weigh(self, below: np.ndarray | None) -> None:
+        """From what the nodes' children make of the data: the log of what they make of it, and the weight of their own estimate."""
+        own = log_kt(self.n0, self.n1)
+        self.log = own if below is None else np.logaddexp(own, below) - np.log(2)
+        self.own = np.exp(own - np.log(2) - self.log)
+
+    def mix(self, done: np.ndarray, left: np.ndarray, last: np.ndarray, deepest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One depth further: the mixture so far, the weight that is left and the estimate; a node that saw nothing keeps
+        its parent's. At the deepest level the first is the probability of a 1."""
+        n = self.n0 + self.n1
+        p = np.where(n > 0, (self.n1 + 0.5) / (n + 1), last)
+        if deepest:
+            return done + left * p, left, p
+        return done + left * self.own * p, left * (1 - self.own), p
+
+
+def parents(at: np.ndarray) -> np.ndarray:
+    """The same nodes of the contexts that are one byte shorter."""
+    return at >> np.uint64(16) << np.uint64(8) | at & np.uint64(255)
+
+
+def subtree(keys: np.ndarray, n: np.ndarray) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """Levels deeper than TOP, weighed, and the nodes above them with what these make of the data."""
+    levels = [Level(keys, n, d) for d in range(TOP + 1, DEPTH + 1)]
+    below = None
+    for k in range(len(levels) - 1, -1, -1):
+        levels[k].weigh(below)
+        if k:
+            below = np.bincount(np.searchsorted(levels[k - 1].at, parents(levels[k].at)), levels[k].log, len(levels[k - 1].at))
+    at, below = sums(parents(levels[0].at), levels[0].log)
+    return levels, at, below
+
+
+def short(at: np.ndarray, below: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the nodes of all contexts of TOP bytes, what the mixture has come to: done, left and last."""
     levels = []
-    for d in range(SHORT + 1):
-        u, back = np.unique(key & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        levels.append((u, np.bincount(back, n)))
-    d_of, key, n = column(long, "d"), column(long, "key"), column(long, "n")
-    return Tree(levels + [(key[d_of == d], n[d_of == d].astype(float)) for d in range(SHORT + 1, DEPTH + 1)])
+    for d in range(TOP, -1, -1):
+        level = Level.__new__(Level)
+        level.at, level.n0, level.n1 = at, n0, n1
+        level.weigh(below)
+        levels.append(level)
+        if d:
+            up = parents(at)
+            at, below = sums(up, level.log)
+            n0, n1 = sums(up, n0)[1], sums(up, n1)[1]
+    state = tuple(np.full(len(levels[-1].at), x, np.float64) for x in (0, 1, 0.5))
+    for k in range(TOP, -1, -1):
+        if k < TOP:
+            up = np.searchsorted(levels[k + 1].at, parents(levels[k].at))
+            state = tuple(x[up] for x in state)
+        state = levels[k].mix(*state, False)
+    return state
+
+
+def costs(keys: np.ndarray, n: np.ndarray, at: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log10 of the probability of each of these distinct, sorted grams; state: of the nodes `at` of TOP bytes."""
+    levels, _, _ = subtree(keys, n)
+    for k, level in enumerate(levels):
+        up = np.searchsorted(at, parents(level.at))
+        state = level.mix(*(x[up] for x in state), k == len(levels) - 1)
+        at = level.at
+    p, last = state[0], levels[-1]
+    return np.where(last.one, np.log10(p)[last.back], np.log10(1 - p)[last.back]).sum(1)
+
+
+# -- packing ---------------------------------------------------------------------------------------------------
+
+
+def small(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest takes; the first byte says how many."""
+    top = int(x.max()) if len(x) else 0
+    size = next(k for k in (1, 2, 4, 8) if top < 1 << 8 * k or k == 8)
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def large(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct keys by part and key, and each one's part in that order."""
+    p = (C.mix(keys) >> np.uint64(20)) % np.uint64(parts)
+    order = np.lexsort((keys, p))
+    return order, p[order].astype(np.int64)
+
+
+def _cuts(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal values."""
+    edges = np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(0, np.int64)
+    return zip(x[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def distinct(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The distinct grams (g) and words (w, with END) of a block's texts, and how often those that are learned from have them."""
+    found: dict[str, list] = {"g": [], "w": []}
+    for whole in table.combine_chunks().to_batches():
+        for batch in C.slices(whole, "_s_text"):
+            learn = ~np.array(batch.column("_s_held"), bool)
+            key, key_at = grams(*C.text_arrays(batch.column("_s_text")))
+            word, word_at = _words(batch.column("_s_text"))
+            word, ends = word.view(np.uint64), np.full(len(learn), END, np.int64).view(np.uint64)
+            found["g"].append(sums(key, np.repeat(learn, np.diff(key_at))))
+            found["w"].append(sums(np.append(word, ends), np.append(np.repeat(learn, np.diff(word_at)), learn)))
+    return {kind: sums(*(np.concatenate([x[k] for x in parts]) for k in (0, 1))) if parts else (np.zeros(0, np.uint64), np.zeros(0)) for kind, parts in found.items()}
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -269,113 +212,198 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return C.word_hashes(C.LOWER[buf], begin, end).view(np.int64), at
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in columns), strict=True)
+
+
+# -- the operator ----------------------------------------------------------------------------------------------
+
+
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, part: int = PART) -> DataFrame:
     """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text
     and its end) and bits_per_byte (code length per byte, of the text and its end).
 
     held_out: a condition on docs; the rows where it is not true are learned from. A null or empty text has its end
-    as its one token. Without training rows base_score is that of an empty vocabulary. Rows are independent:
-    repeated rows and null ids give rows of their own. Other columns are not read.
+    as its one token. Without training rows base_score is that of an empty vocabulary and every decision is even.
+    Rows are independent: repeated rows and null ids give rows of their own. Other columns are not read.
     """
-    C.small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"), F.coalesce(held_out, F.lit(False)).alias("_s_held"))
     spark = docs.sparkSession
-    learn = docs.filter(~F.col("_s_held")).select("_s_text")
-    tree = train(learn, "_s_text")
-    sent = spark.sparkContext.broadcast(tree)
-
-    def count(batches):
-        held: list = []
-        for whole in batches:
-            for batch in C.slices(whole, "_s_text"):
-                w, at = _words(batch.column("_s_text"))
-                held.append(np.unique(np.append(w, np.full(len(at) - 1, END)), return_counts=True))
-                if sum(len(h[0]) for h in held) > 1 << 21:
-                    yield _sums(held)
-                    held = []
-        if held:
-            yield _sums(held)
+    C.small_batches(spark)
+    docs = docs.select(F.col(id_col).alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"), F.coalesce(held_out, F.lit(False)).alias("_s_held"))
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("_s_text")), F.lit(0))).first()[0])
+    n_blocks, parts = size // block + 1, size // part + 12
+    # By row, not by text: repeated rows are dealt to all blocks. Written, so that a row's block never changes.
+    rows = C.table(docs.withColumn("_s_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")))
+    blocks = rows.groupBy("_s_block")
+
+    def ask(table: pa.Table) -> pa.Table:
+        out = []
+        b = table.column("_s_block")[0].as_py() if table.num_rows else 0
+        for kind, (keys, n) in distinct(table).items():
+            order, p = by_part(keys, parts)
+            keys, n = keys[order], n[order]
+            out += [(kind, x, b, keys[i:j].tobytes(), small(n[i:j])) for x, i, j in _cuts(p)]
         C.tidy()
-
-    def _sums(held):
-        keys, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        u, back = np.unique(keys, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(back, n).astype(np.int64))], ["w", "c"])
-
-    vocabulary = C.table(learn.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    total = int(total)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("_s_text")), F.lit(0))).first()[0]
-    n_blocks = int(size) // BLOCK + 1
-    blocked = docs.withColumn("_s_block", F.pmod(F.xxhash64(F.col("_s_id").cast("string"), "_s_text"), F.lit(n_blocks)).cast("int"))
-    blocked = blocked.repartition("_s_block")
-
-    def ask(batches):
-        held: dict[int, list] = {}
-        size = 0
-
-        def out():
-            for b, parts in held.items():
-                w = np.unique(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), b, np.int32))], ["w", "b"])
-            held.clear()
-
-        for whole in batches:
-            for batch in C.slices(whole, "_s_text"):
-                w, at = _words(batch.column("_s_text"))
-                block = np.array(batch.column("_s_block"))
-                by = np.repeat(block, np.diff(at))
-                for b in np.unique(block).tolist():
-                    held.setdefault(b, []).append(np.unique(np.append(w[by == b], END)))
-                    size += len(held[b][-1])
-                if size > 1 << 22:  # a word may then be asked for twice; memory stays bounded
-                    yield from out()
-                    size = 0
-        yield from out()
+        kinds = {"kind": pa.string(), "p": pa.int32(), "b": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds)) if out else pa.schema(kinds.items()).empty_table()
+
+    asked = blocks.applyInArrow(ask, "kind string, p int, b int, keys binary, n binary").repartition(2 * parts, "kind", "p").sortWithinPartitions("kind", "p")
+
+    def add(batches):
+        """Of each part the distinct keys with their counts (b null), and to each block its answer: counts of words, or
+        the places of its grams among the distinct ones."""
+        for (kind, p), members in groupby(_rows(batches, "kind", "p", "b", "keys", "n"), lambda r: r[:2]):
+            members = [(b, np.frombuffer(k, np.uint64), n) for _, _, b, k, n in members]
+            keys, n = sums(np.concatenate([m[1] for m in members]), np.concatenate([large(m[2]) for m in members]))
+            n = n.astype(np.int64)
+            known = n > 0
+            total = {"b": [None], "keys": [keys.tobytes() if kind == "g" else b""], "data": [small(n) if kind == "g" else b""], "n": [int(n.sum())], "v": [int(known.sum())]}
+            for i in range(0, len(members), 64):
+                some = members[i : i + 64]
+                places = [np.searchsorted(keys, m[1]) for m in some]
+                cols = {"b": [m[0] for m in some], "keys": [None] * len(some), "data": [small(x if kind == "g" else n[x]) for x in places], "n": [0] * len(some), "v": [0] * len(some)}
+                for out in ([total] if not i else []) + [cols]:
+                    m = len(out["b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * m), pa.array([p] * m, pa.int32()), pa.array(out["b"], pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["data"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["v"], pa.int64())], ["kind", "p", "b", "keys", "data", "n", "v"])
         C.tidy()
 
-    asked = blocked.mapInArrow(ask, "w long, b int")
-    other = vocabulary.select(F.col("w").bitwiseXOR(F.lit(1)).alias("w2"), "c")
-    told = asked.join(other, F.col("w").bitwiseXOR(F.lit(1)) == F.col("w2")).select("b", "w", "c")
-    base = np.log10(total + 0.1 * (distinct + 1)) if total else np.log10(0.1)
+    added = C.table(asked.mapInArrow(add, "kind string, p int, b int, keys binary, data binary, n long, v long"))
+    total, vocabulary = (int(x) for x in added.filter("kind = 'w' AND b IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
+    base = np.log10(total + 0.1 * (vocabulary + 1))
+    told = added.filter("kind = 'w' AND b IS NOT NULL").select("kind", "p", F.col("b").alias("_s_block"), "data").unionByName(_told(added, parts))
     kind = dict(docs.dtypes)["_s_id"]
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        vocab, c = np.array(right.column("w"), np.int64), np.array(right.column("c"), np.int64)
-        order = np.argsort(vocab)
-        vocab, c = np.append(vocab[order], np.iinfo(np.int64).max), np.append(c[order], 0)
-        logs = np.log10(c + 0.1) - base
-        tree = sent.value
-        parts = []
-
-        def look(w):
-            k = np.minimum(np.searchsorted(vocab, w), len(vocab) - 1)
-            hit = (vocab[k] == w) & (c[k] > 0)
-            return np.where(hit, logs[k], np.log10(0.1) - base), hit
-
-        end_log, end_hit = look(np.array([END]))
+        names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+        schema = pa.schema(list(zip(names, [left.schema.field("_s_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()], strict=True)))
+        if not left.num_rows:
+            return schema.empty_table()
+        answers = {(k, p): d for k, p, d in zip(*(right.column(c).to_pylist() for c in ("kind", "p", "data")), strict=True)}
+        look = {}
+        for k, (keys, _) in distinct(left).items():
+            order, p = by_part(keys, parts)
+            value = np.empty(len(keys))
+            for x, i, j in _cuts(p):
+                value[order[i:j]] = np.frombuffer(answers[k, x], "<f4") if k == "g" else large(answers[k, x])
+            look[k] = keys, value
+        del answers, right
+        out = []
         for whole in left.combine_chunks().to_batches():
             for batch in C.slices(whole, "_s_text"):
-                w, at = _words(batch.column("_s_text"))
-                log, hit = look(w)
-                sums = lambda x, a: np.diff(np.concatenate(([0], np.cumsum(x)))[a])
                 buf, off = C.text_arrays(batch.column("_s_text"))
-                key, g_at = grams(buf, off)
-                value = sums(tree.costs(key), g_at)
-                n = np.diff(at) + 1
-                parts.append(pa.RecordBatch.from_arrays([
-                    batch.column("_s_id"), batch.column("_s_held"), pa.array(n, pa.int64()), pa.array(sums(hit.astype(np.int64), at) + int(end_hit[0]), pa.int64()),
-                    pa.array(np.full(len(n), total, np.int64)), pa.array(sums(log, at) + end_log[0]), pa.array(value), pa.array(-value / np.log10(2) / (np.diff(off) + 1)),
-                ], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]))
-        schema = pa.schema([(id_col, left.schema.field("_s_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
-        return pa.Table.from_batches(parts).cast(schema) if parts else schema.empty_table()
+                word, word_at = _words(batch.column("_s_text"))
+                key, key_at = grams(buf, off)
+                end = int(look["w"][1][np.searchsorted(look["w"][0], np.array([END]).view(np.uint64)[0])])
+                u, back = np.unique(key, return_inverse=True)
+                of_byte = look["g"][1][np.searchsorted(look["g"][0], u)][back]
+                c = look["w"][1][np.searchsorted(look["w"][0], word.view(np.uint64))]
+                per = lambda x, at: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
+                n, value = np.diff(word_at) + 1, per(of_byte, key_at)
+                known = per((c > 0).astype(np.int64), word_at) + (end > 0)
+                lone = per(np.log10(c + 0.1) - base, word_at) + np.log10(end + 0.1) - base
+                out.append(pa.RecordBatch.from_arrays([batch.column("_s_id"), batch.column("_s_held"), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(lone), pa.array(value), pa.array(-value / np.log10(2) / (np.diff(off) + 1))], names))
+        C.tidy()
+        return pa.Table.from_batches(out).cast(schema)
 
     out = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return blocked.groupBy("_s_block").cogroup(told.withColumnRenamed("b", "_s_block").groupBy("_s_block")).applyInArrow(work, out)
+    return blocks.cogroup(told.groupBy("_s_block")).applyInArrow(work, out)
+
+
+def _told(added: DataFrame, parts: int) -> DataFrame:
+    """(kind, p, _s_block, data): the costs of each block's grams, in the order in which it asked."""
+    spark = added.sparkSession
+
+    def spread(batches):
+        """The distinct grams of each part, by the last TOP bytes of their contexts."""
+        for p, keys, n in _rows(batches, "p", "keys", "data"):
+            keys, n = np.frombuffer(keys, np.uint64), large(n)
+            group = (keys >> np.uint64(8 * (DEPTH + 1 - TOP))).astype(np.int64)
+            out = [(x, p, keys[i:j].tobytes(), small(n[i:j])) for x, i, j in _cuts(group)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["top", "p", "keys", "n"])
+        C.tidy()
+
+    tree = C.table(added.filter("kind = 'g' AND b IS NULL").select("p", "keys", "data").mapInArrow(spread, "top int, p int, keys binary, n binary"))
+
+    def held(rows: Iterator[tuple]):
+        """Whole groups of (top, p, keys, n) rows, about HELD grams at once: keys and counts, sorted, and each one's part."""
+        some, size = [], 0
+
+        def joined():
+            keys, n = np.concatenate([np.frombuffer(r[2], np.uint64) for r in some]), np.concatenate([large(r[3]) for r in some])
+            p = np.repeat([r[1] for r in some], [len(r[2]) // 8 for r in some])
+            order = np.argsort(keys)
+            return keys[order], n[order].astype(float), p[order], [r[0] for r in some]
+
+        for _, members in groupby(rows, lambda r: r[0]):
+            members = list(members)
+            some += members
+            size += sum(len(r[2]) // 8 for r in members)
+            if size >= HELD:
+                yield joined()
+                some, size = [], 0
+        if some:
+            yield joined()
+
+    def up(batches):
+        for keys, n, *_ in held(_rows(batches, "top", "p", "keys", "n")):
+            _, at, below = subtree(keys, n)
+            here = Level(keys, n, TOP)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(below), pa.array(here.n0), pa.array(here.n1)], ["at", "below", "n0", "n1"])
+        C.tidy()
+
+    by_top = tree.repartition("top").sortWithinPartitions("top")
+    top = by_top.mapInArrow(up, "at long, below double, n0 double, n1 double").toArrow().sort_by("at")
+    at, *rest = (np.array(top.column(c)) for c in ("at", "below", "n0", "n1"))
+    state = short(at.astype(np.uint64), *rest) if len(at) else (np.zeros(0),) * 3
+    sent = [(x, -1, at[i:j].astype(np.uint64).tobytes(), np.concatenate([s[i:j] for s in state]).tobytes()) for x, i, j in _cuts(at >> 8)]
+    columns = {"top": pa.int32(), "p": pa.int32(), "keys": pa.binary(), "n": pa.binary()}
+    sent = spark.createDataFrame(pa.table([pa.array([r[k] for r in sent], t) for k, t in enumerate(columns.values())], names=list(columns)))
+
+    def down(batches):
+        """Each group's state of the short contexts (part -1) comes before its grams."""
+        states = {}
+
+        def rest():
+            for r in _rows(batches, "top", "p", "keys", "n"):
+                if r[1] < 0:
+                    states[r[0]] = np.frombuffer(r[2], np.uint64), np.frombuffer(r[3]).reshape(3, -1)
+                else:
+                    yield r
+
+        for keys, n, p, tops in held(rest()):
+            mine = [states[t] for t in sorted(set(tops))]
+            at, state = np.concatenate([m[0] for m in mine]), np.concatenate([m[1] for m in mine], axis=1)
+            cost = costs(keys, n, at, tuple(state)).astype("<f4")
+            for t in set(tops):
+                del states[t]
+            order = np.argsort(p, kind="stable")
+            keys, cost = keys[order], cost[order]
+            out = [(x, keys[i:j].tobytes(), cost[i:j].tobytes()) for x, i, j in _cuts(p[order])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["p", "keys", "data"])
+        C.tidy()
+
+    priced = tree.unionByName(sent).repartition("top").sortWithinPartitions("top", "p").mapInArrow(down, "p int, keys binary, data binary")
+    places = added.filter("kind = 'g' AND b IS NOT NULL").select("p", "b", F.lit(None).cast("binary").alias("keys"), "data")
+    met = priced.select("p", F.lit(-1).alias("b"), "keys", "data").unionByName(places).repartition(parts, "p").sortWithinPartitions("p", "b")
+
+    def tell(batches):
+        for p, members in groupby(_rows(batches, "p", "b", "keys", "data"), lambda r: r[0]):
+            keys, cost, value = [], [], None
+            for _, b, k, data in members:
+                if b < 0:
+                    keys.append(np.frombuffer(k, np.uint64))
+                    cost.append(np.frombuffer(data, "<f4"))
+                    continue
+                if value is None:
+                    value = np.concatenate(cost)[np.argsort(np.concatenate(keys))]
+                yield pa.RecordBatch.from_arrays([pa.array(["g"]), pa.array([p], pa.int32()), pa.array([b], pa.int32()), pa.array([value[large(data)].tobytes()], pa.binary())], ["kind", "p", "_s_block", "data"])
+        C.tidy()
+
+    return met.mapInArrow(tell, "kind string, p int, _s_block int, data binary")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' unigram and context-tree scores, learned from those whose crc32(doc_id) mod 10 is not 0."""
     docs = C.read(spark, sf_dir, "documents")
     return score(docs, F.pmod(C.crc32_of_id(), F.lit(10)) == 0)
-
-
