@@ -10,6 +10,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
 #: Tables made while a stage of a pipeline is set up, by the stage's owner.
 _of_stage: list[tuple[SparkSession, str]] = []
 _in_stage: list[bool] = []
+#: Where the tables are.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -65,7 +68,15 @@ def table(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     if _in_stage:
         _of_stage.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(made: DataFrame) -> None:
+    """Removes what table() wrote, once everything that reads it has been written itself."""
+    if made in _paths:
+        _remove(made.sparkSession, _paths.pop(made))
 
 
 @contextlib.contextmanager

@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(1)).alias("k"), "m")
         small = large.join(least, F.col("u").bitwiseXOR(F.lit(1)) == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = C.table(small.select("e.u", "e.v").filter("u <> v").distinct())
+        edges, done = C.table(small.select("e.u", "e.v").filter("u <> v").distinct()), edges
+        C.drop(done)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -297,7 +297,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
         C.tidy()
 
     C.small_batches(pairs.sparkSession)
-    return C.table(wanted.repartition("u", "c").sortWithinPartitions("u", "c", "role").mapInArrow(check, "u long, v long"))
+    found = C.table(wanted.repartition("u", "c").sortWithinPartitions("u", "c", "role").mapInArrow(check, "u long, v long"))
+    C.drop(dealt)
+    return found
 
 
 def _across(shared: DataFrame, first: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -324,7 +326,9 @@ def _across(shared: DataFrame, first: DataFrame, rows: DataFrame, percent: int)
         C.tidy()
 
     found = tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, "u long, v long")
-    return C.table(found.distinct())
+    found = C.table(found.distinct())
+    C.drop(placed)
+    return found
 
 
 def possible(left: list, right: list, same: bool, percent: int):
@@ -363,7 +367,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     shared = _met(rows, total, size, percent)
     stars = shared.groupBy("node").agg(F.min("rep").alias("u")).filter("u < node").select("u", F.col("node").alias("v"))
     links = _verified(stars, rows, size, percent)
-    again = _verified(_across(shared, components(links), rows, percent), rows, size, percent)
+    across = _across(shared, components(links), rows, percent)
+    C.drop(shared)
+    again = _verified(across, rows, size, percent)
     roots = components(links.unionByName(again))
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = info.filter("n > 0").groupBy("s", "t").agg(F.min("row").alias("node"), F.min(best).alias("best"))
