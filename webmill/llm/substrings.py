@@ -34,7 +34,7 @@ BYTE_GRAM = 16
 WORDS = 50
 WORD_GRAM = 8
 #: Different contexts of one anchor that one task may hold.
-GROUP = 10_000
+GROUP = 2_000
 #: Contexts that are compared at once, and their bytes: whole groups, so at most one group more.
 HELD = 10_000
 HELD_BYTES = 3_000_000
@@ -118,7 +118,9 @@ def _repeated(docs: DataFrame, unit: str, window: int, gram: int, across: bool)
     runs = C.table(C.map_texts(docs, work, "a long, c long, k long, id long, n long"))
     anchors = runs.groupBy("a").agg(*([F.min("id").alias("lo"), F.max("id").alias("hi")] if across else [F.sum("n").alias("lo")]))
     anchors = anchors.filter("lo < hi" if across else "lo > 1").select(_other("a").alias("a2"))
-    return C.table(runs.join(anchors, _other("a") == F.col("a2")).select("a", "c", "k", "id", "n"))
+    again = C.table(runs.join(anchors, _other("a") == F.col("a2")).select("a", "c", "k", "id", "n"))
+    C.drop(runs)
+    return again
 
 
 def _contexts(dup: DataFrame, single: bool, group: int) -> tuple[DataFrame, DataFrame]:
