@@ -37,32 +37,44 @@ def _links(values: Column, rank: int, source: str) -> Column:
     return F.transform(values, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("raw"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("text")))
 
 
-def raw_links(html: Column | str, options: Options = Options()) -> Column:
+def raw_links(html: Column | str, options: Options = Options(), sources: tuple[str, ...] | None = None) -> Column:
     """array of struct(rank, raw, source, text), in order of emission. Values of single attributes are read where they
-    are double-quoted; anchors are read in any quotes and need their closing tag."""
+    are double-quoted; anchors are read in any quotes and need their closing tag. sources: only links of these, so that
+    the page is not searched for others. A tag is searched for only in pages that have its name."""
     h = col(html)
-    groups = [every(h, P.ANCHOR, g) for g in (1, 2, 3, 4)]
-    anchors = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda m: F.struct(F.lit(0).alias("rank"), F.concat(m.g0, m.g1, m.g2).alias("raw"), F.lit("anchor").alias("source"), trim_ws(m.g3).alias("text")))
-    tags = lambda kind: [every(h, P.of_tag(t, a)) for t, a in P.LINK_ATTRIBUTES[kind]]
-    parts = [anchors]
+    none = F.array().cast("array<string>")
+    mentions = lambda tag: h.rlike(f"(?i)<{tag}")
+    tags = lambda kind: [F.when(mentions(t), every(h, P.of_tag(t, a))).otherwise(none) for t, a in P.LINK_ATTRIBUTES[kind]]
+
+    def anchor(m: Column) -> Column:
+        group = lambda g: F.regexp_extract(m, P.ANCHOR, g)
+        return F.struct(F.lit(0).alias("rank"), F.concat(group(1), group(2), group(3)).alias("raw"), F.lit("anchor").alias("source"), trim_ws(group(4)).alias("text"))
+
+    parts = [F.transform(every(h, P.ANCHOR, 0), anchor)]
     for kind, source in (("form", "form"), ("iframe", "iframe")):
         parts.append(_links(tags(kind)[0], len(parts), source))
-    parts.append(_links(every(h, P.META_REFRESH), 3, "meta"))
+    parts.append(_links(F.when(mentions("meta"), every(h, P.META_REFRESH)).otherwise(none), 3, "meta"))
     parts.append(_links(tags("area")[0], 4, "anchor"))
     if options.scripts:
         parts.append(_links(tags("script")[0], 5, "script"))
     parts.append(_links(tags("link")[0], 6, "link"))
-    srcset = F.flatten(F.transform(every(h, P.SRCSET), lambda s: F.transform(F.split(s, ","), lambda x: F.regexp_extract(trim_ws(x), f"^([^{P.WS}]*)", 1))))
+    srcset = F.flatten(F.transform(F.when(mentions("img"), every(h, P.SRCSET)).otherwise(none), lambda s: F.transform(F.split(s, ","), lambda x: F.regexp_extract(trim_ws(x), f"^([^{P.WS}]*)", 1))))
     parts.append(_links(F.concat(tags("image")[0], srcset), 7, "image"))
     parts.append(_links(F.concat(*tags("media")), 8, "link"))
     if options.style_urls:
-        blocks = F.flatten(F.transform(every(h, P.STYLE), lambda b: F.concat(every(b, P.CSS_URL), every(b, P.CSS_IMPORT))))
+        blocks = F.flatten(F.transform(F.when(mentions("style"), every(h, P.STYLE)).otherwise(none), lambda b: F.concat(every(b, P.CSS_URL), every(b, P.CSS_IMPORT))))
         parts.append(_links(F.concat(blocks, every(h, P.CSS_URL)), 9, "css"))
     if options.js_strings:
         parts.append(_links(F.concat(every(h, P.JS_URL), every(h, P.JS_ENDPOINT)), 10, "javascript"))
     if options.data_urls:
         parts.append(_links(every(h, P.DATA_URL), 11, "link"))
-    return F.concat(*parts)
+    if sources is None:
+        return F.concat(*parts)
+    named = {0: "anchor", 1: "form", 2: "iframe", 3: "meta", 4: "anchor"}  # the others are of resources
+    rest = {"script": 5, "link": 6, "image": 7, "css": 9, "javascript": 10}
+    if set(sources) & set(rest):
+        return F.filter(F.concat(*parts), lambda x: x.source.isin(*sources))
+    return F.concat(*[parts[k] for k, source in named.items() if source in sources])
 
 
 def base_url(html: Column | str, url: Column | str) -> Column:

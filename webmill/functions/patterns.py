@@ -2,7 +2,7 @@
 
 # -- fixed values: white space ---------------------------------------------------------------------------------
 #: White space of web text, for use inside a character class (Java's own \s knows ASCII only).
-WS = r"\s   -     　﻿"
+WS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 S = f"[{WS}]"
 
 # -- fixed values: HTML ----------------------------------------------------------------------------------------
@@ -34,14 +34,18 @@ TEXTAREA = rf"(?i)<textarea{S}+([^>]*)>"
 TITLE = r"(?i)<title[^>]*>([^<]+)</title>"
 HTML_LANG = rf"""(?i)<html{S}+[^>]*lang{S}*={S}*["']([^"']+)["'][^>]*>"""
 #: ASCII word limits, spelled out: Java's \b takes all letters for word characters. The class of the last label holds a bar.
-_BOUND = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-EMAIL = _BOUND + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}" + _BOUND
+BOUND = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+EMAIL = BOUND + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}" + BOUND
 #: Sources of links to pages and of links to resources.
 NAVIGABLE = ("anchor", "form", "iframe", "meta")
 RESOURCES = ("script", "link", "image", "css")
 #: Beginnings of links that lead nowhere, as they are written.
 SKIPPED = ("javascript:", "mailto:", "tel:", "data:", "blob:", "#")
 
+# -- fixed values: the filter language -------------------------------------------------------------------------
+#: A clause: namespace, field, operator, value.
+CLAUSE = r'(req|resp)\.(host|path|url|method)\.(eq|ne|cont|ncont|regex|nregex|like|nlike)\s*:\s*("(?:[^"\\]|\\.)*"|\S+)'
+
 # -- fixed values: URLs by kind --------------------------------------------------------------------------------
 URL_CLASSES = {
     "HTML": r"\.html?\z",

@@ -10,11 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webmill.functions import patterns as P
+from webmill.functions.regex import checked
 from webmill.functions.urls import col, let, origin_of, parse, request_like, root_domain, url_host
 
 # -- the filter language -----------------------------------------------------------------------------------------
 
-_CLAUSE = re.compile(r'(req|resp)\.(host|path|url|method)\.(eq|ne|cont|ncont|regex|nregex|like|nlike)\s*:\s*("(?:[^"\\]|\\.)*"|\S+)', re.I)
+_CLAUSE = re.compile(P.CLAUSE, re.I)
 
 
 @dataclass(frozen=True)
@@ -42,17 +43,9 @@ def parse_filter(text: str | None) -> list[Clause]:
     return [c for c in map(parse_clause, parts) if c]
 
 
-def _java(pattern: str) -> str | None:
-    """The pattern if both the web's and Java's syntax take it, else None; the driver checks, so no task fails."""
-    try:
-        re.compile(re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", pattern))
-    except re.error:
-        return None
-    return re.sub(r"(?<!\\)\$", r"\\z", pattern)
-
-
 def condition(clause: Clause, request: Column) -> Column:
-    """A clause over request_like(). Upper-case names are read but name no field, so their value is empty."""
+    """A clause over request_like(). Upper-case names are read but name no field, so their value is empty. A pattern that
+    is none is not found anywhere; it is checked on the driver, so no task fails."""
     if clause.namespace == "resp":
         return F.lit(True)
     known = clause.namespace == "req" and clause.field in ("host", "path", "url", "method")
@@ -60,7 +53,7 @@ def condition(clause: Clause, request: Column) -> Column:
     value = clause.value
     if clause.op in ("regex", "nregex", "like", "nlike"):
         like = clause.op.endswith("like")
-        pattern = _java("^" + value.replace(".", "\\.").replace("%", ".*").replace("_", ".") + "$" if like else value)
+        pattern = checked("^" + value.replace(".", "\\.").replace("%", ".*").replace("_", ".") + "$" if like else value)
         hit = F.lit(False) if pattern is None else raw.rlike(pattern)
         return ~hit if clause.op.startswith("n") else hit
     tests = {"eq": raw == value, "ne": raw != value, "cont": raw.contains(value), "ncont": ~raw.contains(value)}
@@ -145,7 +138,12 @@ class Router:
         return self
 
     def regex(self, pattern: str, handler: str) -> Router:
-        self.patterns.append((pattern, handler))
+        """A pattern in the web's syntax, after (?i) where case does not matter; ValueError where it is none."""
+        flag = "(?i)" if pattern.startswith("(?i)") else ""
+        made = checked(pattern.removeprefix(flag))
+        if made is None:
+            raise ValueError(f"not a pattern: {pattern}")
+        self.patterns.append((flag + made, handler))
         return self
 
     def otherwise(self, handler: str) -> Router:

@@ -57,6 +57,13 @@ def _path(path: Column) -> Column:
     return let(_encode(path, "\\x00-\\x20\"<>`{}^\\x7f"), plain)
 
 
+#: Paths, with a query or fragment, that stand in a URL as they are: no segment begins or ends with a dot.
+_PLAIN_SEGMENT = r"[A-Za-z0-9_~-]++(?:\.[A-Za-z0-9_~-]++)*+"
+_PLAIN_REST = rf"/(?:{_PLAIN_SEGMENT}/?+)*+(?:\?[A-Za-z0-9_~.&=/-]++)?+(?:#[A-Za-z0-9_~.&=/-]*+)?+\z"
+_PLAIN_PATH = "^" + _PLAIN_REST
+_PLAIN_URL = r"^https?+://[a-z0-9-]++(?:\.[a-z0-9-]++)*+" + _PLAIN_REST
+
+
 def parse(url: Column | str) -> Column:
     """struct(scheme, user, host, port, path, query, fragment), null where the URL is invalid. query and fragment hold
     their mark and are empty where absent; port is empty where it is the scheme's own."""
@@ -103,7 +110,19 @@ def parse(url: Column | str) -> Column:
             ),
         )
 
-    return let(let(text, split), build)
+    def plain(u: Column) -> Column:
+        """The parts of a URL in which nothing is to be changed."""
+        return F.struct(
+            F.substring_index(u, ":", 1).alias("scheme"),
+            F.lit("").alias("user"),
+            F.regexp_extract(u, "^[a-z]+://([^/]*)", 1).alias("host"),
+            F.lit("").alias("port"),
+            F.regexp_extract(u, "^[a-z]+://[^/]*([^?#]*)", 1).alias("path"),
+            F.regexp_extract(u, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
+            F.regexp_extract(u, "(#.*)", 1).alias("fragment"),
+        )
+
+    return let(text, lambda u: F.when(u.rlike(_PLAIN_URL), plain(u)).otherwise(let(split(u), build)))
 
 
 def origin_of(p: Column) -> Column:
@@ -154,6 +173,7 @@ def normalize(url: Column | str, base: Column | str) -> Column:
 def normalize_with(url: Column | str, b: Column) -> Column:
     """normalize(), for a base that is parsed already."""
     skipped = lambda u: F.coalesce(*[F.when(u.startswith(x), F.lit(True)) for x in SKIPPED], F.lit(False)) | (u == "")
+    bare = lambda u: F.substring_index(u, "#", 1)
 
     def resolve(u: Column) -> Column:
         absolute = (
@@ -163,7 +183,8 @@ def normalize_with(url: Column | str, b: Column) -> Column:
             .when(u.startswith("?"), F.concat(origin_of(b), b.path, u))
             .otherwise(F.concat(origin_of(b), F.regexp_extract(b.path, r"(?s)^(.*/)", 1), u))
         )
-        return F.when(~skipped(u), let(parse(absolute), lambda p: href_of(p, fragment=False)))
+        # Most links are plain already: nothing in them is encoded, in upper case or to be left out but a fragment.
+        return F.when(u.rlike(_PLAIN_PATH), F.concat(origin_of(b), bare(u))).when(u.rlike(_PLAIN_URL), bare(u)).when(~skipped(u), let(parse(absolute), lambda p: href_of(p, fragment=False)))
 
     return let(trim_ws(url), resolve)
 

@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webmill.functions import html as H
 from webmill.functions import patterns as P
-from webmill.functions.predicates import in_strategy, matches_filter
+from webmill.functions.predicates import in_strategy, is_html, matches_filter
 from webmill.functions.urls import let, normalize_with, parse
 
 #: A further extractor: HTML and page URL to an array of struct(rank, raw, source, text).
 Extractor = Callable[[Column, Column], Column]
 
 
-def all_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    """(page_id, page_url, url, source, text, rank, pos) of every link, resolved; those that lead nowhere left out."""
-    found = H.raw_links("html", options)
+def all_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = (), sources: tuple[str, ...] | None = None) -> DataFrame:
+    """(page_id, page_url, url, source, text, rank, pos) of every link, resolved; those that lead nowhere left out.
+
+    sources: only links of these. Each link is resolved once, within its page's array, before the array is spread.
+    """
+    found = H.raw_links("html", options, sources)
     if extractors:
         found = F.concat(found, *[e(F.col("html"), F.col("url")) for e in extractors])
-    rows = pages.select("page_id", F.col("url").alias("page_url"), *keep, parse(H.base_url("html", "url")).alias("base"), found.alias("found"))
-    rows = rows.select("page_id", "page_url", *keep, "base", F.posexplode("found").alias("pos", "link"))
-    links = rows.select("page_id", "page_url", *keep, normalize_with(F.col("link.raw"), F.col("base")).alias("url"), "link.source", "link.text", "link.rank", "pos")
+    resolved = let(parse(H.base_url("html", "url")), lambda b: F.transform(found, lambda x: F.struct(normalize_with(x.raw, b).alias("url"), x.source.alias("source"), x.text.alias("text"), x.getField("rank").alias("rank"))))
+    rows = pages.select("page_id", F.col("url").alias("page_url"), *keep, F.posexplode(resolved).alias("pos", "link"))
+    links = rows.select("page_id", "page_url", *keep, "link.url", "link.source", "link.text", "link.rank", "pos")
     return links.filter("url IS NOT NULL")
 
 
@@ -34,8 +38,9 @@ def first_links(links: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return links.groupBy("page_id", "url").agg(first).select("page_id", "url", "first.pos", *[f"first.{c}" for c in rest])
 
 
-def extract_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    return first_links(all_links(pages, options, extractors, keep))
+def extract_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = (), sources: tuple[str, ...] | None = None) -> DataFrame:
+    """The first link of any source to each URL of each page (sources: the first of these)."""
+    return first_links(all_links(pages, options, extractors, keep, sources))
 
 
 def navigable(links: DataFrame) -> DataFrame:
@@ -68,6 +73,32 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", H.metadata("html").alias("m")).select("page_id", "m.*")
 
 
+@dataclass(frozen=True)
+class Extracted:
+    """What pages hold, as far as it was asked for."""
+
+    links: DataFrame
+    forms: DataFrame | None
+    emails: DataFrame | None
+    metadata: DataFrame | None
+
+
+def extract(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = ()) -> Extracted:
+    """All of html_pages(pages) at once; options turn forms, e-mail addresses and metadata off."""
+    pages = html_pages(pages)
+    return Extracted(
+        extract_links(pages, options, extractors),
+        extract_forms(pages) if options.forms else None,
+        extract_emails(pages) if options.emails else None,
+        extract_metadata(pages) if options.metadata else None,
+    )
+
+
+def html_pages(pages: DataFrame) -> DataFrame:
+    """Pages that an HTML extractor can handle: by content type, where there is one."""
+    return pages.filter(F.coalesce(is_html("content_type"), F.lit(True))) if "content_type" in pages.columns else pages
+
+
 def combine(results: list[DataFrame]) -> DataFrame:
     """Links of several extractors as one: all of the first before all of the second, then the first of each URL."""
     ranked = [r.withColumn("pos", F.col("pos") + F.lit(i << 24)) for i, r in enumerate(results)]
@@ -92,7 +123,7 @@ def enqueue_links(pages: DataFrame, strategy: str | None = None, same_domain_onl
     One narrow plan up to the choice of each page's first link to a URL.
     """
     deep = F.lit(True) if max_depth is None else F.col("depth") < max_depth
-    parents = pages.filter(F.col("status").between(200, 299) & deep)
+    parents = html_pages(pages).filter(F.col("status").between(200, 299) & deep)
     links = all_links(parents, options, extractors, ("depth",))
     links = links.filter(in_strategy("url", "page_url", strategy, same_domain_only) & matches_filter("url", query))
     children = first_links(links).withColumn("depth", F.col("depth") + 1)

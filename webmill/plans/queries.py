@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webmill.functions import html as H
 from webmill.functions import predicates as Q
 from webmill.functions import urls as U
-from webmill.functions.patterns import URL_CLASSES
+from webmill.functions.patterns import NAVIGABLE, URL_CLASSES
 from webmill.operators import limits, links, queue, robots, sessions, stats
 from webmill.plans import jobs
 from webmill.plans.crawl import Config, crawl
@@ -45,7 +45,7 @@ p AS (SELECT page_id, page_url, pos, text, regexp_extract(page_url, '^(https?://
 
 @query(_SQL_LINKS + "SELECT page_id, page_url, url, arg_min(text, pos) AS text FROM p GROUP BY ALL")
 def e1_anchor_links(spark, d):
-    return links.navigable(links.extract_links(_read(spark, d, "pages"))).select("page_id", "page_url", "url", "text")
+    return links.extract_links(_read(spark, d, "pages"), sources=NAVIGABLE).select("page_id", "page_url", "url", "text")
 
 
 @query(_SQL_LINKS + "SELECT page_id, count(DISTINCT url) AS n_links FROM p GROUP BY page_id")
