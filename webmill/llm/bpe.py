@@ -23,7 +23,7 @@ REMEMBERED = 200_000
 #: Pre-tokens of more bytes than this go through the scalar form of the same dynamic program.
 PADDED = 48
 #: The pattern of this vocabulary's pre-tokenizer (a fixed value), with white space written out as Unicode has it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
