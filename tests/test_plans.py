@@ -63,21 +63,60 @@ def test_config_bounds():
             Config(**bad)
 
 
-def test_engine(spark):
+def test_jobs_are_tables(spark, tmp_path):
     history = spark.createDataFrame([("a.org", "GET", "https://a.org/f", None), ("a.org", "POST", "https://a.org/x", None)], schemas.HISTORY)
-    engine = jobs.Engine(spark, tables.corpus(site(spark)), history=history, config=Config(max_depth=1, agents=2))
-    job = engine.start("https://a.org/")
-    row = engine.get_job(job).first()
-    assert (row.status, row.crawled, row.host) == ("completed", 6, "a.org")
-    assert {a.status for a in engine.get_agents(job).collect()} == {"completed"}
-    engine.stop(job)
-    assert {a.status for a in engine.get_agents(job).collect()} == {"stopped"} and engine.get_logs(job, agent_id=1).count() == 1
-    assert jobs.clear_completed(engine.get_jobs()).count() == 0 and engine.get_events().count() == 2
-    engine.clear_completed()
-    assert engine.get_jobs().count() == 0
+    corpus = tables.corpus(site(spark))
+    here = jobs.Jobs(spark, str(tmp_path / "jobs"))
+    here.run("j", "https://a.org/", corpus, Config(max_depth=1, agents=2), history=history)
+    row = jobs.Jobs(spark, str(tmp_path / "jobs")).now().first()
+    assert (row.id, row.status, row.crawled, row.host) == ("j", "completed", 6, "a.org")
+    assert {a.status for a in jobs.agents(here.now()).collect()} == {"completed"}
+    assert here.lines("j").count() >= 3 and {e.type for e in here.events.load().collect()} == {"crawl:started", "crawl:completed"}
+    here.set_status("j", "cancelled")
+    assert {a.status for a in jobs.agents(here.now()).collect()} == {"stopped"}
+    here.clear_completed()
+    assert here.now().count() == 0
+    with pytest.raises(ValueError):
+        here.run("k", "nonsense", corpus)
     with pytest.raises(ValueError):
-        engine.start("nonsense")
-    assert engine.update_config(agents=3).agents == 3
+        here.set_status("j", "paused")
+    here.set_config(agents=3, max_depth=2, respect_robots=False)
+    assert (here.config().agents, here.config().max_depth, here.config().respect_robots) == (3, 2, False)
+
+
+def test_a_job_is_paused_and_goes_on(spark, tmp_path):
+    corpus, here = tables.corpus(site(spark)), jobs.Jobs(spark, str(tmp_path / "jobs"))
+    log = here.log
+
+    def pause_at_two(job, line, *rest):
+        log(job, line, *rest)
+        if line.startswith("round 2"):
+            here.put(job, status="paused")
+
+    here.log = pause_at_two
+    half = here.run("j", "https://a.org/", corpus, Config(max_pages=None, max_depth=3))
+    assert half.rounds == 1 and here.status("j") == "paused"
+    here.log = log
+    rest = here.run("j", "https://a.org/", corpus, Config(max_pages=None, max_depth=3), previous=half)
+    whole = crawl(spark.createDataFrame([("https://a.org/",)], "url string"), corpus, Config(max_pages=None, max_depth=3))
+    state = lambda r: sorted((x.url, x.state, x.depth) for x in r.requests.collect())
+    assert state(rest) == state(whole) and here.status("j") == "completed"
+
+
+def test_scope_handlers_extractors_and_content_types(spark):
+    from webmill.functions.predicates import Router
+
+    pages = site(spark).withColumn("content_type", F.when(F.col("url") == "https://a.org/c", "text/plain").otherwise("text/html; charset=utf-8"))
+    corpus, seeds = tables.corpus(pages), spark.createDataFrame([("https://a.org/",)], "url string")
+    r = crawl(seeds, corpus, Config(max_depth=2))
+    assert "https://a.org/missing" not in {x.url for x in r.requests.collect()}  # only /c, which is no HTML, leads there
+    r = crawl(seeds, corpus, Config(max_depth=1, same_domain_only=False, strategy="all", in_scope_only=True, deny=("z.*",)))
+    assert "https://z.com/" not in {x.url for x in r.requests.collect()}
+    router = Router().glob("https://a.org/?", "letter").otherwise("rest")
+    extra = lambda html, url: F.array(F.struct(F.lit(12).alias("rank"), F.lit("/extra").alias("raw"), F.lit("link").alias("source"), F.lit(None).cast("string").alias("text")))
+    r = crawl(seeds, corpus, Config(max_depth=1), router=router, handlers={"letter": lambda d: d.select("url", F.length("html").alias("n"))}, extractors=(extra,))
+    assert {x.url for x in r.records["letter"].collect()} == {"https://a.org/b", "https://a.org/c"}
+    assert "https://a.org/extra" in {x.url for x in r.requests.collect()}
 
 
 def test_job_views(spark):
@@ -126,17 +165,8 @@ def test_streams(spark, tmp_path):
 
 
 def test_stateful_streams_agree_with_batches(spark, tmp_path):
-    from webmill.operators import limits, sessions
-
-    rows = [("a", i, i * 20) for i in range(12)] + [("b", i, i * 500) for i in range(4)]
-    batch = spark.createDataFrame(rows, "domain string, seq long, ts_ms long")
-    for part, cond in enumerate(("seq < 6", "seq >= 6")):
-        batch.filter(cond).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
-    q = live.limited(stream).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    want = {(r.domain, r.seq): r.sent_ms for r in limits.token_bucket(batch).collect()}
-    assert {(r.domain, r.seq): r.sent_ms for r in spark.table("limited").collect()} == want
+    from webmill.operators import sessions
+
     outcomes = spark.createDataFrame([("s", i, i % 3 == 0) for i in range(20)], "session_id string, seq long, ok boolean")
     outcomes.coalesce(1).write.parquet(str(tmp_path / "o"))
     stream = spark.readStream.schema(outcomes.schema).parquet(str(tmp_path / "o"))

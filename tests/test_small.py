@@ -1,7 +1,6 @@
 import pytest
 
 from webmill.functions import validate as V
-from webmill.plans.events import Events
 
 
 def test_validation():
@@ -14,16 +13,3 @@ def test_validation():
     assert V.message_of(ValueError("x")) == "x" and V.message_of(None) == "Unknown error"
     assert not V.logger("t", "silent").isEnabledFor(50)
 
-
-def test_events_isolate_failures():
-    e, got = Events(), []
-
-    def bad(_):
-        raise RuntimeError("no")
-
-    e.on("x", bad)
-    stop = e.on("x", got.append)
-    e.once("x", got.append)
-    assert e.emit("x", 1) == 2 and e.emit("x", 2) == 1 and got == [1, 1, 2]
-    stop()
-    assert e.emit("x", 3) == 0 and e.count("x") == 1 and e.count() == 1

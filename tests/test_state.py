@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from webmill.functions import cookies as C
-from webmill.operators import limits, queue, sessions, stats
+from webmill.operators import queue, sessions, stats
+from webmill.schemas import COOKIE
 
 NOW = datetime(2024, 1, 1, 12)
 
@@ -58,17 +59,21 @@ def test_session_pool(spark):
     assert (s.total, s.usable, s.blocked, s.avg_usage) == (5, 2, 1, 1.2)
 
 
-def test_token_bucket(spark):
-    rows = [("a", i, 0) for i in range(8)] + [("b", i, i * 1000) for i in range(3)]
-    got = limits.token_bucket(spark.createDataFrame(rows, "domain string, seq long, ts_ms long")).orderBy("domain", "seq").collect()
-    assert [r.waited_ms for r in got if r.domain == "a"] == [0, 0, 0, 0, 0, 100, 200, 300]
-    assert [r.waited_ms for r in got if r.domain == "b"] == [0, 0, 0]
-    s = {r.domain: r for r in limits.limiter_stats(spark.createDataFrame(got), 2000).collect()}
-    assert (s["a"].last_second, s["a"].last_minute, s["b"].last_second) == (0, 8, 2)
-    b = limits.Bucket(limits.Limits(per_minute=2), 0)
-    for t in range(6):
-        b.acquire(t)
-    assert not b.can_proceed(3000) and b.wait(3000) > 50_000
+def test_rate_check(spark):
+    rows = [("a", i, i * 1000) for i in range(8)] + [("b", i, 0) for i in range(3)] + [("c", 0, 5)]
+    limits = spark.createDataFrame([("a", 5), ("b", 2)], "domain string, per_window int")
+    got = {(r.domain, r.seq): (r.in_window, r.over, r.wait_ms) for r in stats.rate_check(spark.createDataFrame(rows, "domain string, seq long, ts_ms long"), limits).collect()}
+    assert got["a", 4] == (5, False, 0) and got["a", 5] == (6, True, 55_001) and got["a", 7] == (8, True, 55_001)
+    assert got["b", 2] == (3, True, 60_001) and got["c", 0] == (1, False, 0)
+
+
+def test_headers_of_requests(spark):
+    schema = "id string, created_at timestamp, usage_count int, max_usage_count int, is_blocked boolean, error_score double, headers map<string,string>, " + f"cookies array<{COOKIE}>"
+    one = ("s", NOW, 0, 5, False, 0.0, {"A": "own"}, [("k", "v", "b", None, None, None, None, None)])
+    r = requests(spark)
+    got = {x.url: x.headers for x in queue.with_headers(r, {"A": "all", "B": "all"}, spark.createDataFrame([one], schema)).collect()}
+    assert got["http://b/"] == {"A": "own", "B": "all", "Cookie": "k=v"} and got["http://c/"] == {"A": "own", "B": "all"}
+    assert queue.with_headers(r, {"A": "x"}).first().headers == {"A": "x"}
 
 
 def requests(spark):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webmill.functions.urls import unique_key
+from webmill.functions.cookies import all_headers
+from webmill.functions.urls import let, unique_key, url_domain
+from webmill.operators.sessions import pick
 
 STATES = ("pending", "processing", "completed", "failed", "retrying", "blocked")
 
@@ -30,6 +32,22 @@ def make_requests(items: DataFrame, priority: float = 0.0, max_retries: int = 3,
     return d.withColumn("id", F.xxhash64("unique_key")).select("id", "url", "method", "unique_key", "priority", "seq", "depth", "parent_id", "retry_count", "max_retries", "no_retry", "label", "state")
 
 
+def with_headers(requests: DataFrame, defaults: dict[str, str], session: DataFrame | None = None) -> DataFrame:
+    """requests with `headers`: the defaults, then those of the first usable session and its cookies for the request's host.
+    Of sessions one row is read; without a usable one there are the defaults alone."""
+    rest = [c for c in requests.columns if c != "headers"]
+    now = F.current_timestamp()
+    picked = pick(session, now).select("headers", "cookies").first() if session is not None else None
+    own = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]).cast("map<string,string>")
+    if picked is not None:
+        kind = session.schema["cookies"].dataType
+        cookies = F.array(*[F.struct(*[F.lit(c[f.name]).cast(f.dataType).alias(f.name) for f in kind.elementType.fields]) for c in picked.cookies or []]).cast(kind)
+        headers = F.create_map(*[F.lit(x) for kv in (picked.headers or {}).items() for x in kv]).cast("map<string,string>")
+        theirs = all_headers(headers, cookies, url_domain("url"), now)
+        return requests.select(*rest, let(theirs, lambda t: F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(t, k)), t)).alias("headers"))
+    return requests.select(*rest, own.alias("headers"))
+
+
 def children(parents: DataFrame, urls: DataFrame, on: str = "parent_id") -> DataFrame:
     """Requests of urls (parent_id, url, ...), one level below their parents."""
     up = parents.select(F.col("id").alias(on), (F.col("depth") + 1).alias("depth"))

@@ -87,6 +87,22 @@ def trailing_counts(requests: DataFrame, key: str, ts_ms: str, windows: tuple[in
     return requests.withColumns({f"in_{ms}": F.count(F.lit(1)).over(w.rangeBetween(-ms, 0)) for ms in windows})
 
 
+def rate_check(requests: DataFrame, limits: DataFrame, key: str = "domain", ts_ms: str = "ts_ms", seq: str = "seq", window_ms: int = RATE_WINDOW_MS) -> DataFrame:
+    """requests with in_window (of their key, in the last window, both ends included), over (more than the limit), and
+    wait_ms: how long a request that is over would have to wait until fewer than the limit lie within the window.
+
+    limits: (key, per_window); keys without a limit are never over. Ties of time go by seq.
+    """
+    order = Window.partitionBy(key).orderBy(ts_ms, seq)
+    counted = requests.withColumns({"in_window": F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(ts_ms).rangeBetween(-window_ms, 0)), "_n": F.row_number().over(order)})
+    counted = counted.join(limits.select(F.col(key).alias("_k"), "per_window"), F.col(key) == F.col("_k"), "left").drop("_k")
+    earlier = counted.select(F.col(key).alias("_k"), F.col("_n").alias("_m"), F.col(ts_ms).alias("_t"))
+    met = counted.join(earlier, (F.col(key) == F.col("_k")) & (F.col("_n") - F.col("per_window") == F.col("_m")), "left")
+    over = F.coalesce(F.col("in_window") > F.col("per_window"), F.lit(False))
+    wait = F.when(over, F.greatest(F.lit(0), F.col("_t") + window_ms + 1 - F.col(ts_ms))).otherwise(0).cast("long")
+    return met.withColumns({"over": over, "wait_ms": wait}).drop("_k", "_m", "_t", "_n")
+
+
 def last_lines(logs: DataFrame, most: int = LOG_LINES, agent_id: int | None = None) -> DataFrame:
     """The last lines of each job; an agent's are chosen from those, so there may be fewer."""
     w = Window.partitionBy("job_id").orderBy(F.desc("ts"), F.desc("seq"))

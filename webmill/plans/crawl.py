@@ -7,16 +7,17 @@ rounds' results are written to the shared folder, so plans stay short and a lost
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webmill.functions import html as H
-from webmill.functions.predicates import Router, is_success, should_retry
+from webmill.functions.predicates import Router, in_scope, is_success, should_retry
+from webmill.functions.urls import url_host
 from webmill.operators import robots as R
-from webmill.operators.links import enqueue_links
-from webmill.operators.queue import after_failure, make_requests, new_requests, next_requests
+from webmill.operators.links import Extractor, enqueue_links
+from webmill.operators.queue import after_failure, make_requests, new_requests, next_requests, with_headers
 from webmill.sources.shared import keep
 from webmill.sources.tables import fetch
 
@@ -40,7 +41,12 @@ class Config:
     double_retry: bool = False
     page_delay_ms: int = 100
     agents: int = 5
+    #: Whether only hosts of the scope are asked for: those that a glob of allow takes (all, if there is none) and none of deny.
     in_scope_only: bool = False
+    allow: tuple[str, ...] = ()
+    deny: tuple[str, ...] = ()
+    #: Headers of every request; a session's own count before them.
+    headers: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         if not 1 <= self.agents <= 20 or self.page_delay_ms < 0 or any(x is not None and x < low for x, low in ((self.max_pages, 1), (self.max_depth, 0))):
@@ -66,31 +72,57 @@ class Result:
     responses: DataFrame
     links: DataFrame
     rounds: int
-
-
-def crawl(seeds: DataFrame, corpus: DataFrame, config: Config = Config(), robots: DataFrame | None = None, router: Router | None = None, before: Hook | None = None, after: Hook | None = None, transform: Hook | None = None, failed: Callable[[DataFrame], None] | None = None) -> Result:
+    #: What handlers made of responses, by label.
+    records: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def crawl(
+    seeds: DataFrame,
+    corpus: DataFrame,
+    config: Config = Config(),
+    robots: DataFrame | None = None,
+    router: Router | None = None,
+    before: Hook | None = None,
+    after: Hook | None = None,
+    transform: Hook | None = None,
+    failed: Callable[[DataFrame], None] | None = None,
+    handlers: dict[str, Hook] | None = None,
+    extractors: tuple[Extractor, ...] = (),
+    session: DataFrame | None = None,
+    go_on: Callable[[int, int], bool] | None = None,
+    previous: Result | None = None,
+) -> Result:
     """Crawls from seeds (url) over a corpus (sources.tables.corpus).
 
     Requests are taken in the queue's order, no more in all than max_pages; robots-disallowed ones are `blocked` and
     count for nothing. A status that asks for a retry sends the request back; out of retries it counts as completed
-    if it was so from the start, else as failed. Links of successful pages become requests one level deeper. before
-    and after change requests before, and responses after the fetch; transform changes or drops new requests;
-    failed gets the requests that failed for good.
+    if it was so from the start, else as failed. Links of successful HTML pages, and what extractors find in them,
+    become requests one level deeper. before and after change requests before, and responses after the fetch;
+    transform changes or drops new requests; failed gets the requests that failed for good. handlers take the
+    responses of the requests that the router gives their label, and make records of them. session: the sessions that
+    requests may go with (the first usable one). go_on is asked before each round, with its number and the requests
+    that wait: where it says no the crawl ends, and a later one may go on from its result as `previous`.
     """
-    start = make_requests(seeds, max_retries=config.max_retries)
-    waiting = keep(new_requests(start, start.limit(0)), "waiting")
-    seen = waiting.select("unique_key")
-    done, responses, links = [], [], []
+    scoped = lambda d: d.filter(in_scope(url_host("url"), config.allow, config.deny)) if config.in_scope_only else d
+    labelled = lambda d: d.withColumn("label", router.route("url", "label")) if router else d
+    start = labelled(scoped(make_requests(seeds, max_retries=config.max_retries)))
+    if previous is not None:
+        known = previous.requests.select("unique_key")
+        start = previous.requests.filter(F.col("state").isin("pending", "retrying")).unionByName(new_requests(start, known))
+    waiting = keep(start if previous is not None else new_requests(start, start.limit(0)), "waiting")
+    seen = known.unionByName(waiting.select("unique_key")) if previous is not None else waiting.select("unique_key")
+    done, responses, links, records = [], [], [], {label: [] for label in handlers or {}}
     left, n = config.max_pages, 0
     while True:
         batch = waiting if left is None else next_requests(waiting, left)
+        batch = with_headers(batch, config.headers, session)
         batch = keep(before(batch) if before else batch, "batch")
         size = batch.count()
-        if not size:
+        if not size or (go_on and not go_on(n + 1, size)):
             break
         n += 1
         rest = waiting.join(batch.select("id"), "id", "left_anti").select(*waiting.columns)
-        allowed = R.is_allowed(batch, robots, config.user_agent) if config.respect_robots and robots is not None else batch.withColumn("allowed", F.lit(True))
+        allowed = keep(R.is_allowed(batch, robots, config.user_agent) if config.respect_robots and robots is not None else batch.withColumn("allowed", F.lit(True)), "allowed")
         got = fetch(allowed.filter("allowed"), corpus)
         got = keep((after(got) if after else got).withColumn("round", F.lit(n)), "responses")
         retry = should_retry("status") & F.col("no_retry").eqNullSafe(False) & (F.col("retry_count") < F.col("max_retries"))
@@ -102,13 +134,13 @@ def crawl(seeds: DataFrame, corpus: DataFrame, config: Config = Config(), robots
         responses.append(got.select("id", "url", "unique_key", "status", "content_type", "duration_ms", "depth", "round"))
         if failed:
             failed(moved.filter("state = 'failed'"))
-        pages = got.filter(is_success("status") & F.col("html").isNotNull()).select(F.col("id").alias("page_id"), "url", "html", "depth", "status")
-        found = keep(enqueue_links(pages, config.strategy, config.same_domain_only, config.query, config.max_depth, None, config.options), "links")
+        for label, handle in (handlers or {}).items():
+            records[label].append(keep(handle(got.filter(F.col("label") == label)), "records"))
+        pages = got.filter(is_success("status") & F.col("html").isNotNull()).select(F.col("id").alias("page_id"), "url", "html", "depth", "status", "content_type")
+        found = keep(enqueue_links(pages, config.strategy, config.same_domain_only, config.query, config.max_depth, None, config.options, extractors), "links")
         links.append(found)
         children = found.select("url", "depth", F.col("page_id").alias("parent_id"), (F.lit(n) * F.lit(1 << 40) + F.col("rank") * F.lit(1 << 20) + F.col("pos")).cast("long").alias("seq"))
-        children = make_requests(children, max_retries=config.max_retries)
-        if router:
-            children = children.withColumn("label", router.route("url", "label"))
+        children = labelled(scoped(make_requests(children, max_retries=config.max_retries)))
         if transform:
             children = transform(children)
         fresh = keep(new_requests(children, seen), "fresh")
@@ -120,7 +152,7 @@ def crawl(seeds: DataFrame, corpus: DataFrame, config: Config = Config(), robots
                 break
     spark = seeds.sparkSession
     union = lambda parts, empty: empty if not parts else parts[0] if len(parts) == 1 else union(parts[:-1], empty).unionByName(parts[-1])
-    requests = union([*done, waiting], waiting)
+    requests = union([*([previous.requests.filter(~F.col("state").isin("pending", "retrying"))] if previous is not None else []), *done, waiting], waiting)
     no_responses = spark.createDataFrame([], "id long, url string, unique_key string, status int, content_type string, duration_ms long, depth int, round int")
     no_links = spark.createDataFrame([], "page_id long, url string, pos int, page_url string, depth int, source string, text string, rank int")
-    return Result(requests, union(responses, no_responses), union(links, no_links), n)
+    return Result(requests, union(responses, no_responses), union(links, no_links), n, {label: union(parts, no_responses) for label, parts in records.items()})

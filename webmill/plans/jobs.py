@@ -1,11 +1,11 @@
-"""Crawl jobs: their table, agents, logs and events, and the calls that change them.
+"""Crawl jobs: their tables, agents, logs and events, and what changes them.
 
 A job's changes are appended as versions; its state is the latest one. Nothing is changed in place.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from webmill import schemas
 from webmill.functions.patterns import LOG_LINES
-from webmill.operators.stats import last_lines, latest, progress_percent
+from webmill.functions.urls import url_host
+from webmill.operators.queue import seeds
+from webmill.operators.stats import last_lines, latest, progress_percent, request_counters
 from webmill.plans.crawl import Config, Result, crawl
+from webmill.sources.tables import Store, history_seeds
 
 ACTIVE = ("running", "pending")
 DONE = ("completed", "failed", "cancelled")
@@ -80,117 +83,103 @@ def page(rows: DataFrame, number: int = 1, size: int = 20, *order: str) -> DataF
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-@dataclass
-class Engine:
-    """The calls of a crawl service over small tables: start, stop, pause, resume and what they show."""
+class Jobs:
+    """Crawl jobs as tables that are appended to: versions of jobs, log lines, events and settings, in a folder.
 
-    spark: SparkSession
-    corpus: DataFrame
-    robots: DataFrame | None = None
-    history: DataFrame | None = None
-    config: Config = Config()
-    results: dict[str, Result] = field(default_factory=dict)
+    Whoever has the folder sees the same state; a job's status there is what a running crawl goes by between rounds.
+    """
 
-    def __post_init__(self):
-        self._versions: list[tuple] = []
-        self._logs: list[tuple] = []
-        self._events: list[tuple] = []
+    def __init__(self, spark: SparkSession, path: str, project: str | None = None):
+        make = lambda name, schema: Store(spark, f"{path}/{name}", schema).switch_project(project)
+        self.spark = spark
+        self.versions, self.logs = make("versions", schemas.JOBS + ", version long"), make("logs", schemas.JOB_LOGS)
+        self.events, self.settings = make("events", schemas.EVENTS), make("settings", "name string, value string, version long")
 
-    # config
+    # what is kept
 
-    def get_config(self) -> Config:
-        return self.config
+    def put(self, job: str, **changes) -> None:
+        """A further version of the job: the last one with these changes. status None removes it."""
+        now = F.unix_micros(F.current_timestamp())
+        last = latest(self.versions.load(), "id", "version").filter(F.col("id") == job)
+        kinds = self.versions.load().schema
+        if last.isEmpty():
+            last = self.spark.createDataFrame([(job, *[None] * (len(kinds) - 1))], kinds)
+        given = {k: F.lit(v).cast(kinds[k].dataType) for k, v in changes.items()}
+        self.versions.append(last.withColumns({**given, "version": now}))
 
-    def update_config(self, **changes) -> Config:
-        self.config = self.config.update(**changes)
-        self._event("config:updated", "")
-        return self.config
+    def log(self, job: str, line: str, level: str = "info", agent_id: int | None = None) -> None:
+        now = F.current_timestamp()
+        self.logs.append(self.spark.range(1).select(F.lit(job).alias("job_id"), F.unix_micros(now).alias("seq"), now.alias("ts"), F.lit(agent_id).cast("int").alias("agent_id"), F.lit(line).alias("line"), F.lit(level).alias("level")))
 
-    # jobs
+    def event(self, kind: str, payload: str = "") -> None:
+        self.events.append(self.spark.range(1).select(F.lit(kind).alias("type"), F.current_timestamp().alias("ts"), F.lit(payload).alias("payload")))
 
-    def start(self, url: str, manual: bool = True, title: str | None = None) -> str:
-        """Crawls from url, and from the host's history where the crawl is manual; a manual crawl is not bound to scope."""
-        from webmill.functions.urls import url_host
-        from webmill.operators.queue import seeds
-        from webmill.sources.tables import history_seeds
+    def set_config(self, **changes) -> None:
+        rows = [(k, str(v)) for k, v in changes.items()]
+        self.settings.append(self.spark.createDataFrame(rows, "name string, value string").withColumn("version", F.unix_micros(F.current_timestamp())))
+        self.event("config:updated", ",".join(sorted(changes)))
 
-        host = self.spark.range(1).select(url_host(F.lit(url))).first()[0]
-        if host is None:
-            raise ValueError(f"not a URL: {url}")
-        job = f"job-{len(self.get_jobs_rows()) + 1}-{host}"
-        started = datetime.now(timezone.utc).replace(tzinfo=None)
-        self._put(job, url, host, "running", 0, 0, started, None, title)
-        self._log(job, None, f"started {url}")
-        target = self.spark.createDataFrame([(url,)], "url string")
-        begin = seeds(target, history_seeds(self.history, host)).select("url") if manual and self.history is not None else target
-        try:
-            result = crawl(begin, self.corpus, self.config, self.robots)
-            counts = {r.state: r.n for r in result.requests.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
-            self.results[job] = result
-            self._put(job, url, host, "completed", sum(counts.values()), counts.get("completed", 0), started, datetime.now(timezone.utc).replace(tzinfo=None), title)
-            self._log(job, None, f"completed after {result.rounds} rounds")
-            self._event("crawl:completed", job)
-        except Exception as e:
-            self._put(job, url, host, "failed", 0, 0, started, datetime.now(timezone.utc).replace(tzinfo=None), title)
-            self._log(job, None, str(e)[:500], "error")
-            self._event("crawl:failed", job)
-            raise
-        return job
-
-    def set_status(self, job: str, status: str) -> None:
-        """pause, resume, stop: a new version of the job, and a line and an event about it."""
-        last = self.get_jobs_rows()[job]
-        self._versions.append((*last[:3], status, *last[4:-1], len(self._versions)))
-        for agent in range(1, self.config.agents + 1):
-            self._log(job, agent, f"agent {agent}: {status}")
-        self._event(f"crawl:{status}", job)
-
-    def stop(self, job: str) -> None:
-        self.set_status(job, "cancelled")
-
-    def pause(self, job: str) -> None:
-        self.set_status(job, "paused")
-
-    def resume(self, job: str) -> None:
-        self.set_status(job, "running")
+    def config(self, base: Config = Config()) -> Config:
+        """base with the settings that are kept, each as the type that base has it in."""
+        kept = {r.name: r.value for r in latest(self.settings.load(), "name", "version").collect()}
+        typed = {k: (v == "True") if isinstance(getattr(base, k), bool) else type(getattr(base, k))(v) for k, v in kept.items() if getattr(base, k, None) is not None}
+        return base.update(**typed)
 
-    def delete(self, job: str) -> None:
-        self.set_status(job, None)
+    # what is shown
 
-    def clear_completed(self) -> None:
-        for job, row in self.get_jobs_rows().items():
-            if row[3] in DONE:
-                self.delete(job)
-
-    def clear_all(self) -> None:
-        for job in self.get_jobs_rows():
-            self.delete(job)
-
-    def get_jobs_rows(self) -> dict[str, tuple]:
-        rows = {v[0]: v for v in self._versions}
-        return {k: v for k, v in rows.items() if v[3] is not None}
+    def now(self) -> DataFrame:
+        return jobs_now(self.versions.load())
 
-    def get_jobs(self) -> DataFrame:
-        return jobs_now(self.spark.createDataFrame(self._versions, schemas.JOBS + ", version long"))
+    def status(self, job: str) -> str | None:
+        row = self.now().filter(F.col("id") == job).first()
+        return row.status if row else None
 
-    def get_job(self, job: str) -> DataFrame:
-        return self.get_jobs().filter(F.col("id") == job)
+    def lines(self, job: str, agent_id: int | None = None, most: int = LOG_LINES) -> DataFrame:
+        return last_lines(self.logs.load().filter(F.col("job_id") == job), most, agent_id)
 
-    def get_agents(self, job: str) -> DataFrame:
-        return agents(self.get_job(job))
+    # what changes a job
 
-    def get_logs(self, job: str, agent_id: int | None = None, most: int = LOG_LINES) -> DataFrame:
-        logs = self.spark.createDataFrame(self._logs, schemas.JOB_LOGS).filter(F.col("job_id") == job)
-        return last_lines(logs, most, agent_id)
+    def set_status(self, job: str, status: str | None) -> None:
+        """pause ("paused"), resume ("running"), stop ("cancelled") or remove (None): a version, a line and an event."""
+        if self.status(job) is None:
+            raise ValueError(f"no such job: {job}")
+        self.put(job, status=status)
+        self.log(job, f"status: {status or 'removed'}")
+        self.event(f"crawl:{status or 'removed'}", job)
 
-    def get_events(self) -> DataFrame:
-        return self.spark.createDataFrame(self._events, schemas.EVENTS)
+    def clear_completed(self) -> None:
+        gone = self.now().filter(F.col("status").isin(*DONE))
+        self.versions.append(gone.withColumns({"status": F.lit(None).cast("string"), "version": F.unix_micros(F.current_timestamp())}))
 
-    def _put(self, job, url, host, status, discovered, crawled, started, ended, title):
-        self._versions.append((job, url, host, status, self.config.max_depth, discovered, crawled, started, ended, self.config.agents, title, len(self._versions)))
+    def run(self, job: str, url: str, corpus: DataFrame, config: Config = Config(), robots: DataFrame | None = None, history: DataFrame | None = None, manual: bool = True, title: str | None = None, previous: Result | None = None) -> Result:
+        """Crawls from url, and from its host's history where the crawl is manual, until it is done or the job's status is no
+        longer "running": a paused job goes on from its result as `previous`. A manual crawl is not bound to scope; any
+        other is."""
+        host = self.spark.range(1).select(url_host(F.lit(url))).first()[0]
+        if host is None:
+            raise ValueError(f"not a URL: {url}")
+        config = replace(config, in_scope_only=not manual)
+        self.put(job, target_url=url, host=host, status="running", depth=config.max_depth, discovered=0, crawled=0, agent_count=config.agents, title=title, started_at=datetime.now(timezone.utc).replace(tzinfo=None))
+        self.log(job, f"started {url}")
+        self.event("crawl:started", job)
+        target = self.spark.createDataFrame([(url,)], "url string")
+        begin = seeds(target, history_seeds(history, host)).select("url") if manual and history is not None else target
 
-    def _log(self, job, agent, line, level="info"):
-        self._logs.append((job, len(self._logs), datetime.now(timezone.utc).replace(tzinfo=None), agent, line, level))
+        def go_on(n: int, waiting: int) -> bool:
+            self.log(job, f"round {n}: {waiting} requests")
+            return self.status(job) == "running"
 
-    def _event(self, kind, payload):
-        self._events.append((kind, datetime.now(timezone.utc).replace(tzinfo=None), payload))
+        try:
+            result = crawl(begin, corpus, config, robots, go_on=go_on, previous=previous)
+        except Exception as e:
+            self.put(job, status="failed", completed_at=datetime.now(timezone.utc).replace(tzinfo=None))
+            self.log(job, str(e)[:500], "error")
+            self.event("crawl:failed", job)
+            raise
+        counts = request_counters(result.requests).first()
+        self.put(job, discovered=counts.total, crawled=counts.finished)
+        if self.status(job) == "running":
+            self.put(job, status="completed", completed_at=datetime.now(timezone.utc).replace(tzinfo=None))
+            self.log(job, f"completed after {result.rounds} rounds")
+            self.event("crawl:completed", job)
+        return result

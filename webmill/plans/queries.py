@@ -9,7 +9,8 @@ from webmill.functions import html as H
 from webmill.functions import predicates as Q
 from webmill.functions import urls as U
 from webmill.functions.patterns import NAVIGABLE, URL_CLASSES
-from webmill.operators import limits, links, queue, robots, sessions, stats
+from webmill.functions import cookies as K
+from webmill.operators import links, queue, robots, sessions, stats
 from webmill.plans import jobs
 from webmill.plans.crawl import Config, crawl
 from webmill.sources import tables
@@ -86,10 +87,84 @@ def e17_document_emails(spark, d):
     return links.extract_emails(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", "email")
 
 
-@query()
+#: Where a page's links lead from: its scheme, host and port.
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+
+def _with_html(spark, d, html: str) -> DataFrame:
+    """All pages, each with HTML made of its id and URL instead of its own (an SQL expression)."""
+    return _read(spark, d, "pages").withColumn("html", F.expr(html))
+
+
+@query(f"""
+SELECT page_id, form_no, {_ORIGIN} || '/find' || page_id AS action, 'POST' AS method, input_no, name, type, value, required FROM pages,
+       (SELECT 0 AS form_no) f, (VALUES (0, 'q', 'text', NULL, true), (1, 'h', 'hidden', '7', false), (2, 's', 'select', '1', false), (3, 't', 'textarea', NULL, false)) i(input_no, name, type, value, required)
+""")
 def e13_forms(spark, d):
-    pages = _read(spark, d, "pages").withColumn("html", F.concat("html", F.lit('<form action="/find" method=post id=f><input name="q" required><select name=s><option value="1"><option value="2"></select><textarea name=t></textarea></form>')))
-    return links.form_inputs(links.extract_forms(pages))
+    pages = _with_html(spark, d, """concat(html, '<form action="/find', page_id, '" method=post id=f><input name="q" required><input type="hidden" name=h value="7"><input type=submit><select name=s><option value="1"><option value="2"></select><textarea name=t></textarea></form>')""")
+    forms = links.extract_forms(pages)
+    rows = links.form_inputs(forms).join(forms.select("page_id", "form_no", "action", "method"), ["page_id", "form_no"])
+    return rows.select("page_id", "form_no", "action", "method", "input_no", "name", "type", "value", "required")
+
+
+@query(f"""
+SELECT page_id, coalesce(g, 0) AS n_options, list_extract(['/a', '/b', '/c'], 1) IS NOT NULL AS some FROM (SELECT page_id, page_id % 5 AS g FROM pages) WHERE g > 0
+""")
+def e15_select_options(spark, d):
+    pages = _with_html(spark, d, """concat('<form action="/x"><select name="s">', repeat('<option value="v">', int(page_id % 5)), '</select></form>')""")
+    inputs = links.form_inputs(links.extract_forms(pages)).filter(F.size("options") > 0)
+    return inputs.select("page_id", F.size("options").cast("long").alias("n_options"), (F.get("options", 0) == "v").alias("some"))
+
+
+_KINDS = """concat('<form action="/f', page_id, '"></form><iframe src="/i">', '</iframe><meta http-equiv="refresh" content="5; url=/m"><map><area href="/r"></map><script src="/s.js"></script><link href="/l.css" rel=stylesheet>',
+ '<img src="/g.png" srcset="/g1.png 1x, /g2.png 2x"><video src="/v.mp4"></video><audio src="/u.mp3"></audio><source src="/o.mp4"><embed src="/e"><object data="/d"></object>',
+ '<style>@import "/y.css"; a { background: url(/z.png) }</style><div data-url="/data"></div><a href=\\'/a\\'> x </a>')"""
+_KINDS_SQL = "('/f' || page_id, 'form'), ('/i', 'iframe'), ('/m', 'meta'), ('/r', 'anchor'), ('/s.js', 'script'), ('/l.css', 'link'), ('/g.png', 'image'), ('/g1.png', 'image'), ('/g2.png', 'image'), ('/v.mp4', 'link'), ('/u.mp3', 'link'), ('/o.mp4', 'link'), ('/e', 'link'), ('/d', 'link'), ('/y.css', 'css'), ('/z.png', 'css'), ('/data', 'link'), ('/a', 'anchor')"
+
+
+@query(f"SELECT page_id, {_ORIGIN} || path AS url, source FROM pages, LATERAL (VALUES {_KINDS_SQL}) k(path, source)")
+def e2_link_kinds(spark, d):
+    return links.extract_links(_with_html(spark, d, _KINDS)).select("page_id", "url", "source")
+
+
+@query(f"SELECT page_id, {_ORIGIN} || path AS url FROM pages, LATERAL (VALUES {_KINDS_SQL}) k(path, source) WHERE source IN ('script', 'link', 'image', 'css')")
+def e27_resource_links(spark, d):
+    return links.resources(links.extract_links(_with_html(spark, d, _KINDS))).select("page_id", "url")
+
+
+@query(f"SELECT page_id, {_ORIGIN} || path AS url FROM pages, (VALUES ('/api/x'), ('/v2/y')) k(path) UNION ALL SELECT page_id, 'https://q.org/p' FROM pages")
+def e11_script_strings(spark, d):
+    pages = _with_html(spark, d, """concat('<script>get("/api/x"); get(\\'/v2/y\\'); let u = "https://q.org/p"; let n = "', page_id, '"</script>')""")
+    return links.extract_links(pages, H.Options(js_strings=True)).select("page_id", "url")
+
+
+@query("SELECT page_id, 'https://base.org/dir' || page_id || '/x' AS url FROM pages")
+def e0_base_tag(spark, d):
+    pages = _with_html(spark, d, """concat('<base href="https://base.org/dir', page_id, '/"><a href="x">t</a><a href="#top">u</a><a href="mailto:m@x.org">v</a>')""")
+    return links.extract_links(pages).select("page_id", "url")
+
+
+@query("SELECT page_id, url || '' AS url FROM (SELECT page_id, 'https://x.org/' || page_id AS url FROM pages) WHERE page_id % 3 <> 1")
+def e0_html_only(spark, d):
+    pages = _with_html(spark, d, """concat('<a href="https://x.org/', page_id, '">t</a>')""")
+    pages = pages.withColumn("content_type", F.expr("CASE page_id % 3 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'application/json' END"))
+    return links.extract(pages).links.select("page_id", "url")
+
+
+@query(f"""
+SELECT page_id, 'about ' || page_id AS description, 'a|b c' AS keywords, 'noindex' AS robots, {_ORIGIN} || CASE page_id % 2 WHEN 0 THEN '/canon' ELSE '/og' END AS canonical FROM pages
+""")
+def e19_metadata(spark, d):
+    html = """concat('<meta name="description" content=" about ', page_id, ' "><meta name=\\'keywords\\' content="a, b c"><meta name="robots" content="noindex">',
+     if(page_id % 2 = 0, concat('<link rel="canonical" href="', regexp_extract(url, '^(https?://[^/?#]+)', 1), '/canon">'), ''), '<meta property="og:url" content="', regexp_extract(url, '^(https?://[^/?#]+)', 1), '/og">')"""
+    return links.extract_metadata(_with_html(spark, d, html)).select("page_id", "description", F.array_join("keywords", "|").alias("keywords"), "robots", "canonical")
+
+
+@query(_SQL_LINKS + ", u AS (SELECT DISTINCT page_id, url FROM p) SELECT page_id, url FROM u UNION SELECT page_id, 'https://second.org/' || page_id FROM pages")
+def e25_combined(spark, d):
+    """Links of two extractions as one."""
+    second = links.extract_links(_with_html(spark, d, """concat('<a href="https://second.org/', page_id, '">t</a>')"""))
+    return links.combine([links.extract_links(_read(spark, d, "pages")), second]).select("page_id", "url")
 
 
 _SQL_KEY = r"""
@@ -124,16 +199,18 @@ def u6_request_like(spark, d):
 
 
 @query(r"""
-WITH p AS (SELECT page_id % 97 AS g, page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages),
-r AS (SELECT *, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS root FROM p)
-SELECT count(*) FILTER (WHERE CASE WHEN a.root = '' THEN a.host ELSE a.root END = CASE WHEN b.root = '' THEN b.host ELSE b.root END) AS same_domain,
-       count(*) FILTER (WHERE a.host = b.host) AS same_hostname, count(*) FILTER (WHERE a.origin = b.origin) AS same_origin
-FROM r a JOIN r b ON a.g = b.g AND a.page_id < b.page_id
+WITH p AS (SELECT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages),
+r AS (SELECT *, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS root FROM p),
+n AS (SELECT 'same_domain' AS scope, count(*) AS n FROM r GROUP BY CASE WHEN root = '' THEN host ELSE root END
+      UNION ALL SELECT 'same_hostname', count(*) FROM r GROUP BY host UNION ALL SELECT 'same_origin', count(*) FROM r GROUP BY origin)
+SELECT scope, sum(n * (n - 1) // 2)::BIGINT AS pairs FROM n GROUP BY scope
 """)
 def p10_scope_counts(spark, d):
-    p = _read(spark, d, "pages").select((F.col("page_id") % 97).alias("g"), "page_id", "url")
-    pairs = p.join(p.select("g", F.col("page_id").alias("other_id"), F.col("url").alias("other")), "g").filter("page_id < other_id")
-    return pairs.agg(F.count_if(Q.same_domain("url", "other")).alias("same_domain"), F.count_if(Q.same_hostname("url", "other")).alias("same_hostname"), F.count_if(Q.same_origin("url", "other")).alias("same_origin"))
+    """How many pairs of pages are in scope of each other: counted by what they have in common, without making pairs."""
+    keys = {"same_domain": U.root_domain(U.url_host("url")), "same_hostname": U.url_host("url"), "same_origin": U.url_origin("url")}
+    rows = _read(spark, d, "pages").select(F.explode(F.array(*[F.struct(F.lit(k).alias("scope"), v.alias("part")) for k, v in keys.items()])).alias("x")).select("x.*")
+    n = rows.groupBy("scope", "part").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("scope").agg(F.sum(F.expr("n * (n - 1) DIV 2")).alias("pairs"))
 
 
 @query(_SQL_LINKS + r"""
@@ -162,6 +239,22 @@ def p5_like_filter(spark, d):
     return _read(spark, d, "pages").filter(Q.matches_filter("url", "req.host.like:%.com")).select("page_id")
 
 
+_PATTERNS = ("[^a-z0-9:/.?=&#_-]", "^https://[a-z]+[.]", "/p{1,2}", "{id}", "[$]", "[[&]", "(?P<a>x)", "+x", r"\d{2,}$", "(?<=//)[a-m]", "[^]", "a(?!b)")
+#: The same as DuckDB has them; None: no pattern.
+_PATTERNS_SQL = ("[^a-z0-9:/.?=&#_-]", "^https://[a-z]+[.]", "/p{1,2}", r"\{id\}", "[$]", r"[\[&]", None, None, r"\d{2,}$", "//[a-m]", r"[\s\S]", "a([^b]|$)")
+
+
+def _sql_matches(pattern: str | None) -> str:
+    return "false" if pattern is None else f"regexp_matches(url, '{pattern}')"
+
+
+@query("SELECT page_id, " + ", ".join(f"{_sql_matches(p)} AS m{i}, NOT {_sql_matches(p)} AS n{i}" for i, p in enumerate(_PATTERNS_SQL)) + " FROM pages")
+def p4_regex_filter(spark, d):
+    """Patterns of the web's syntax, some of which Java has otherwise or not at all: none fails, what is no pattern is found nowhere."""
+    tests = [Q.matches_filter("url", f'req.url.{op}:"{p}"').alias(f"{name}{i}") for i, p in enumerate(_PATTERNS) for op, name in (("regex", "m"), ("nregex", "n"))]
+    return _read(spark, d, "pages").select("page_id", *tests)
+
+
 @query(r"""
 SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'tenth' WHEN regexp_matches(url, '(?i)^https://[^/]*/[^/]*$') THEN 'top' WHEN regexp_matches(url, '(?i)^https://.*$') THEN 'secure' ELSE 'other' END AS route FROM pages
 """)
@@ -211,12 +304,28 @@ def a7_queue_stats(spark, d):
 
 
 @query(f"""
-WITH c AS (SELECT count(*) FILTER (WHERE s = 'completed') AS f, count(*) FILTER (WHERE s = 'failed') AS x, sum(r)::BIGINT AS retried, count(*) AS t FROM (SELECT {_SQL_STATES} AS s, o_orderkey % 4 AS r FROM orders))
-SELECT f AS finished, x AS failed, retried, t AS total, t - f - x AS queued, round(f / t * 100)::INTEGER AS progress FROM c
+WITH c AS (SELECT count(*) FILTER (WHERE s = 'completed') AS f, count(*) FILTER (WHERE s = 'failed') AS x, count(*) AS t FROM (SELECT {_SQL_STATES} AS s FROM orders))
+SELECT f AS crawled, t AS discovered, t - f - x AS queued, x AS failed, round(f / t * 100)::INTEGER AS progress FROM c
 """)
 def a11_crawl_stats(spark, d):
-    c = stats.request_counters(_orders_as_requests(spark, d))
-    return c.select("finished", "failed", "retried", "total", (F.col("total") - F.col("finished") - F.col("failed")).alias("queued"), stats.progress_percent(F.col("finished"), F.col("total")).alias("progress"))
+    c = stats.crawl_stats(stats.request_counters(_orders_as_requests(spark, d)))
+    return c.withColumn("progress", stats.progress_percent(F.col("crawled"), F.col("discovered")))
+
+
+@query(f"SELECT count(*) FILTER (WHERE s = 'completed') AS finished, count(*) FILTER (WHERE s = 'failed') AS failed, sum(r)::BIGINT AS retried, count(*) AS total FROM (SELECT {_SQL_STATES} AS s, o_orderkey % 4 AS r FROM orders)")
+def a1_counters(spark, d):
+    return stats.request_counters(_orders_as_requests(spark, d))
+
+
+@query("SELECT event_type AS error_type, count(*) AS n FROM events WHERE event_type = 'error' OR value > 50 GROUP BY event_type")
+def a5_error_histogram(spark, d):
+    return stats.histogram(_read(spark, d, "events").filter("event_type = 'error' OR value > 50").withColumnRenamed("event_type", "error_type"), "error_type")
+
+
+@query("SELECT user_id, round(sum(value) / (count(*) - 1 + 1), 6) AS average FROM events GROUP BY user_id")
+def a3_running_average(spark, d):
+    e = _read(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("total"), (F.count(F.lit(1)) - 1).alias("before"))
+    return e.select("user_id", F.round(stats.running_average(F.col("total"), F.col("before")), 6).alias("average"))
 
 
 @query("SELECT n_ok + n_failed AS n, n_ok, n_failed, round(a, 6) AS avg_ms, round(n_ok / (n_ok + n_failed), 9) AS success_rate FROM (SELECT count(*) FILTER (WHERE event_type <> 'error') AS n_ok, count(*) FILTER (WHERE event_type = 'error') AS n_failed, avg(value) AS a FROM events)")
@@ -264,10 +373,11 @@ def l2_next_requests(spark, d):
     return queue.next_requests(_orders_as_requests(spark, d), 100).select(F.col("id").alias("o_orderkey"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def j1_anti(spark, d):
+    """Customers are candidates, those with a large order have been visited: some are on both sides."""
     candidates = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("unique_key"), F.lit(0).alias("seq"), F.lit("u").alias("url"))
-    visited = _read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("unique_key"))
+    visited = _read(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").cast("string").alias("unique_key"))
     return queue.new_requests(candidates, visited).select(F.col("unique_key").cast("long").alias("c_custkey"))
 
 
@@ -282,10 +392,11 @@ def f1_retry_delay(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", Q.retry_delay(n).alias("least_delay"), Q.retry_delay(n, jitter=0.3).alias("most_delay"))
 
 
-@query(r"SELECT DISTINCT url FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0)")
+@query(r"SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' AS url, 0 AS part FROM pages UNION SELECT url, 1 FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#]+/$')")
 def o1_seed_union(spark, d):
+    """The root of every origin as targets, all pages as history: what is both counts as a target."""
     p = _read(spark, d, "pages")
-    return queue.seeds(p.filter("page_id % 2 = 0").select("url"), p.filter("page_id % 3 = 0").select("url", F.timestamp_seconds("page_id").alias("created_at"))).select("url")
+    return queue.seeds(p.select(F.concat(U.url_origin("url"), F.lit("/")).alias("url")), p.select("url", F.timestamp_seconds("page_id").alias("created_at"))).select("url", "part")
 
 
 @query(_SQL_LINKS + "SELECT url FROM p UNION SELECT url FROM pages")
@@ -338,10 +449,17 @@ def t5_session_health(spark, d):
     return sessions.health(_outcomes(spark, d)).select("session_id", "error_score", "is_blocked")
 
 
-@query()
-def t2_token_bucket(spark, d):
-    e = _read(spark, d, "events").select(F.col("user_id").cast("string").alias("domain"), F.col("event_id").alias("seq"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts_ms"))
-    return limits.token_bucket(e)
+@query("""
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, 1 + user_id % 3 AS per FROM events),
+c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) AS in_window, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e)
+SELECT a.event_id, a.in_window, a.in_window > a.per AS over, CASE WHEN a.in_window > a.per THEN greatest(0, b.t + 86400001 - a.t) ELSE 0 END::BIGINT AS wait_ms
+FROM c a LEFT JOIN c b ON a.user_id = b.user_id AND b.n = a.n - a.per
+""")
+def t2_rate_check(spark, d):
+    """Requests beyond what their domain allows in a day, with the wait that would have kept within it."""
+    e = _read(spark, d, "events").select(F.col("user_id").alias("domain"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    limits = e.select("domain").distinct().withColumn("per_window", 1 + F.col("domain") % 3)
+    return stats.rate_check(e, limits, window_ms=86_400_000).select(F.col("seq").alias("event_id"), "in_window", "over", "wait_ms")
 
 
 @query("SELECT agent_id, count(*) AS n FROM (SELECT unnest(range(1, 1 + c_nationkey % 5 + 1)) AS agent_id FROM customer) GROUP BY agent_id")
@@ -355,7 +473,12 @@ def f11_level_labels(spark, d):
     return _read(spark, d, "conversations").select("conv_id", "turn", jobs.level_label(F.col("role")).alias("label"))
 
 
-@query()
+@query(_SQL_LINKS + r"""
+, m AS (SELECT 'page' AS kind, split_part(url, '#', 1) AS url FROM pages UNION ALL SELECT 'link', url FROM p),
+k AS (SELECT kind, split_part(url, '?', 1) || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(list_filter(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: x <> '')), '&') ELSE '' END AS key FROM m)
+SELECT 0 AS depth, 200 AS status, count(DISTINCT key) AS n FROM k WHERE kind = 'page'
+UNION ALL SELECT 1, 404, count(DISTINCT key) FROM k WHERE kind = 'link' AND key NOT IN (SELECT key FROM k WHERE kind = 'page')
+""")
 def t1_crawl(spark, d):
     """A crawl from every page: links of `pages` lead to no other page, so all found requests end as 404."""
     pages = _read(spark, d, "pages")
@@ -381,3 +504,191 @@ def a13_distinct_types(spark, d):
 def x7_enqueue_links(spark, d):
     pages = _read(spark, d, "pages").withColumns({"depth": F.lit(0), "status": F.lit(200)})
     return links.enqueue_links(pages, "same-origin", query='req.url.regex:"^https"', max_depth=1).select("page_id", "url")
+
+
+_ROWS = "(SELECT o_orderkey AS id, (200 + o_orderkey * 7 % 400)::INTEGER AS status, o_orderkey % 5 AS tries FROM orders)"
+
+
+def _responses(spark, d) -> DataFrame:
+    """Orders as responses, with statuses from 200 to 599."""
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (200 + F.col("o_orderkey") * 7 % 400).cast("int").alias("status"), (F.col("o_orderkey") % 5).cast("int").alias("tries"))
+
+
+@query(f"SELECT id, status BETWEEN 200 AND 299 AS success, status >= 500 OR status IN (408, 429) AS retry, id % 2 = 0 AND tries < 3 AS can, greatest(0, 3 - tries)::INTEGER AS remaining FROM {_ROWS}")
+def p19_response_checks(spark, d):
+    r = _responses(spark, d)
+    return r.select("id", Q.is_success("status").alias("success"), Q.should_retry("status").alias("retry"), Q.can_retry("tries", F.lit(3), F.col("id") % 2 != 0).alias("can"), Q.remaining_retries("tries", F.lit(3)).cast("int").alias("remaining"))
+
+
+_TYPES = ("text/html", "Application/JSON", "application/ld+json", "text/xml; q=1", "image/svg+xml", "application/xml", "text/plain")
+
+
+@query("SELECT id, t LIKE '%text/html%' AS html, t LIKE '%application/json%' OR t LIKE '%+json%' AS json, t LIKE '%application/xml%' OR t LIKE '%text/xml%' OR t LIKE '%+xml%' AS xml FROM (SELECT o_orderkey AS id, lower(list_extract([" + ", ".join(f"'{t}'" for t in _TYPES) + f"], o_orderkey % {len(_TYPES)} + 1)) AS t FROM orders)")
+def p21_content_types(spark, d):
+    kinds = F.array(*[F.lit(t) for t in _TYPES])
+    r = _read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.get(kinds, (F.col("o_orderkey") % len(_TYPES)).cast("int")).alias("t"))
+    return r.select("id", Q.is_html("t").alias("html"), Q.is_json("t").alias("json"), Q.is_xml("t").alias("xml"))
+
+
+@query("SELECT p_partkey, e IN ('.js', '.PNG', '.woff2') AS static, e = '.PNG' OR e = '.js' AS any_of FROM (SELECT p_partkey, list_extract(['.js', '.PNG', '.html', '', '.woff2', '.jsx'], p_partkey % 6 + 1) AS e FROM part)")
+def p18_static_resources(spark, d):
+    ends = F.array(*[F.lit(x) for x in (".js", ".PNG", ".html", "", ".woff2", ".jsx")])
+    p = _read(spark, d, "part").select("p_partkey", F.concat(F.lit("/dir/f"), F.get(ends, (F.col("p_partkey") % 6).cast("int"))).alias("path"))
+    return p.select("p_partkey", Q.is_static_resource("path").alias("static"), Q.matches_any("path", [r"\.js\z", "PNG"]).alias("any_of"))
+
+
+@query("SELECT c_custkey, n <> 0 AND n <> 2 AS scoped FROM (SELECT c_custkey, c_nationkey % 4 AS n FROM customer)")
+def p26_in_scope(spark, d):
+    hosts = F.array(*[F.lit(x) for x in ("a.org", "x.b.org", "private.b.org", "b.org")])
+    c = _read(spark, d, "customer").select("c_custkey", F.get(hosts, (F.col("c_nationkey") % 4).cast("int")).alias("host"))
+    return c.select("c_custkey", Q.in_scope("host", ("*.b.org", "b.org"), ("private.*",)).alias("scoped"))
+
+
+@query("""
+SELECT c_custkey, 'k' || c_custkey AS name, 'v=' || c_nationkey AS value, CASE c_nationkey % 2 WHEN 0 THEN 'n' || c_nationkey || '.org' ELSE 'own.org' END AS domain, '/p' AS path, make_timestamp(2024, 1, 1, 0, 0, 0) + to_seconds(c_nationkey) AS expires, c_nationkey % 3 = 0 AS http_only, 'Lax' AS same_site FROM customer
+""")
+def f3_set_cookie(spark, d):
+    header = """concat('k', c_custkey, '=v=', c_nationkey, '; Path=/p', if(c_nationkey % 2 = 0, concat('; Domain=.n', c_nationkey, '.org'), ''), '; Max-Age=', c_nationkey, if(c_nationkey % 3 = 0, '; HttpOnly', ''), '; SameSite=lax')"""
+    c = _read(spark, d, "customer").select("c_custkey", K.parse_set_cookie(F.expr(header), F.expr("timestamp'2024-01-01 00:00:00'"), F.lit("own.org")).alias("c"))
+    return c.select("c_custkey", "c.name", "c.value", "c.domain", "c.path", F.col("c.expires").cast("timestamp_ntz").alias("expires"), F.coalesce("c.http_only", F.lit(False)).alias("http_only"), "c.same_site")
+
+
+@query("""
+SELECT c_custkey, concat_ws('; ', CASE WHEN c_nationkey % 2 = 0 THEN 'a=' || c_custkey END, 'b=2') AS line, 'v' || c_nationkey AS own, 1 + (c_nationkey % 2 = 1)::INTEGER AS after FROM customer
+""")
+def f5_cookie_header(spark, d):
+    """A jar of three cookies: one for some hosts only, one for all, one that has expired."""
+    now = F.expr("timestamp'2024-01-01 00:00:00'")
+    jar = F.array(*[K.parse_set_cookie(F.expr(h), now) for h in ("concat('a=', c_custkey, '; domain=n0.org')", "'b=2'", "concat('c=', c_custkey, '; max-age=-5')")])
+    c = _read(spark, d, "customer").withColumns({"jar": jar, "h": F.create_map(F.lit("X"), F.concat(F.lit("v"), F.col("c_nationkey").cast("string")))})
+    host = F.when(F.col("c_nationkey") % 2 == 0, "www.n0.org").otherwise("other.org")
+    rest = K.set_cookie(F.filter("jar", lambda x: x["name"] != "c"), K.parse_set_cookie(F.when(F.col("c_nationkey") % 2 == 0, "b=3").otherwise("b=3; domain=q.org"), now))
+    return c.select("c_custkey", K.all_headers("h", "jar", host, now)["Cookie"].alias("line"), K.all_headers("h", "jar", host, now)["X"].alias("own"), (F.size(rest) - 1).alias("after"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'https' ELSE 'http' END || '://h' || s_suppkey || CASE WHEN (s_nationkey % 2 = 0) = (s_nationkey % 3 = 0) THEN '' ELSE CASE WHEN s_nationkey % 3 = 0 THEN ':443' ELSE ':80' END END AS url, s_suppkey % 4 <> 0 AS valid FROM supplier")
+def u10_build_url(spark, d):
+    s = _read(spark, d, "supplier").select("s_suppkey", U.build_url(F.concat(F.lit("h"), F.col("s_suppkey").cast("string")), F.when(F.col("s_nationkey") % 3 == 0, 443).otherwise(80), F.col("s_nationkey") % 2 == 0).alias("url"))
+    odd = F.when(F.col("s_suppkey") % 4 == 0, F.lit("nonsense:")).otherwise(F.col("url"))
+    return s.select("s_suppkey", "url", U.is_valid(odd).alias("valid"))
+
+
+@query("SELECT c_custkey, 'HTTP://H' || c_custkey || '.ORG/A b#f' AS raw, 'http://h' || c_custkey || '.org/A%20b#f' AS url, 'http://h' || c_custkey || '.org/A%20b' AS bare FROM customer")
+def u8_serialized(spark, d):
+    raw = F.concat(F.lit("HTTP://H"), F.col("c_custkey").cast("string"), F.lit(".ORG/A b#f"))
+    return _read(spark, d, "customer").select("c_custkey", raw.alias("raw"), U.serialize(raw).alias("url"), U.normalize(F.regexp_replace(raw, "^HTTP", "http"), F.lit("https://x.org/")).alias("bare"))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT 'GET:http://h/' || c_nationkey AS unique_key FROM customer), v AS (SELECT 'GET:http://h/' || n_nationkey AS unique_key FROM nation WHERE n_regionkey = 0)
+SELECT unique_key FROM k WHERE unique_key NOT IN (SELECT unique_key FROM v) ORDER BY unique_key LIMIT 7
+""")
+def l3_queue_cap(spark, d):
+    """A queue with room for seven more keys beside those that it has had."""
+    make = lambda df, n: queue.make_requests(df.select(F.concat(F.lit("http://h/"), F.col(n).cast("string")).alias("url")))
+    visited = make(_read(spark, d, "nation").filter("n_regionkey = 0"), "n_nationkey")
+    return queue.new_requests(make(_read(spark, d, "customer"), "c_nationkey"), visited, 7 + visited.count()).select("unique_key")
+
+
+@query("SELECT n_nationkey, 1 + n_regionkey AS depth, 'http://r/' || n_regionkey AS parent_url FROM nation")
+def u13_children(spark, d):
+    up = queue.make_requests(_read(spark, d, "region").select(F.concat(F.lit("http://r/"), F.col("r_regionkey").cast("string")).alias("url"), F.col("r_regionkey").alias("depth")))
+    down = _read(spark, d, "nation").join(up.select(F.col("id").alias("parent_id"), F.col("depth").alias("r")), F.col("n_regionkey") == F.col("r")).select("parent_id", F.concat(F.lit("http://n/"), F.col("n_nationkey").cast("string")).alias("url"))
+    kids = queue.children(up, down)
+    lines = queue.lineage(up.unionByName(kids)).filter("parent_url IS NOT NULL").join(kids.select("id", "depth"), "id")
+    return lines.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("int").alias("n_nationkey"), "depth", "parent_url")
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN s = 'pending' AND o_orderkey % 3 = 0 THEN 'pending' WHEN s = 'pending' THEN 'processing' ELSE s END AS state FROM (SELECT o_orderkey, {_SQL_STATES} AS s FROM orders) WHERE o_orderkey % 7 <> 0 AND s <> 'failed'")
+def m1_queue_states(spark, d):
+    """Some requests in progress, some of these given back, some dropped; what a saved queue then holds, and what is in progress."""
+    r = _orders_as_requests(spark, d)
+    busy = queue.mark(r, r.filter("state = 'pending'"), "processing")
+    back = queue.reclaim(busy.filter("id % 3 = 0")).select(*busy.columns)
+    all_ = queue.drop(busy.filter("id % 3 <> 0").unionByName(back), r.filter("id % 7 = 0"))
+    return queue.snapshot(all_).unionByName(all_.filter("state = 'processing'").select(*all_.columns)).select("id", "state")
+
+
+@query("""
+SELECT id, status, discovered, progress, n_agents FROM (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'paused' END AS status,
+       CASE WHEN o_orderkey % 2 = 0 THEN 200 ELSE 100 END::BIGINT AS discovered, CASE WHEN o_orderkey % 2 = 0 THEN 25 ELSE 10 END AS progress, 1 + o_orderkey % 3 AS n_agents FROM orders) WHERE status <> 'completed'
+""")
+def j5_jobs_with_live(spark, d):
+    """Jobs that are not done, with the counts of those that run live, and how many agents each has."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("paused")
+    rows = _read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.lit(100).cast("long").alias("discovered"), F.lit(10).cast("long").alias("crawled"), (1 + F.col("o_orderkey") % 3).cast("int").alias("agent_count"))
+    live = rows.filter("id % 2 = 0").select("id", F.lit(200).cast("long").alias("discovered"), F.lit(50).cast("long").alias("crawled"))
+    shown = jobs.with_live(jobs.clear_completed(rows), live)
+    n = jobs.agents(shown).groupBy(F.col("job_id").alias("id")).agg(F.count(F.lit(1)).alias("n_agents"))
+    return shown.join(n, "id").select("id", "status", "discovered", "progress", "n_agents")
+
+
+@query("SELECT status, job, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'cancelled' WHEN 'O' THEN 'running' ELSE 'paused' END AS job, CASE o_orderstatus WHEN 'F' THEN 'stopped' WHEN 'P' THEN 'paused' WHEN 'O' THEN CASE WHEN a = 1 THEN 'busy' ELSE 'idle' END END AS status FROM orders, (VALUES (1), (2)) v(a)) GROUP BY ALL")
+def t12_agent_states(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "cancelled").when(F.col("o_orderstatus") == "O", "running").otherwise("paused")
+    rows = _read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.lit(2).alias("agent_count"))
+    slots = rows.select(F.col("id").alias("job_id"), F.lit(1).alias("agent_id"), F.lit("busy").alias("status"))
+    got = jobs.agents(rows, slots).join(rows.select(F.col("id").alias("job_id"), F.col("status").alias("job")), "job_id")
+    return got.groupBy("status", "job").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 5 AND turn % 2 = 1")
+def p28_agent_lines(spark, d):
+    logs = _read(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("ts"), F.col("turn").alias("seq"), (F.col("turn") % 2).alias("agent_id"))
+    return stats.last_lines(logs, 5, agent_id=1).select(F.col("job_id").alias("conv_id"), F.col("seq").alias("turn"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal >= 0 AND c_nationkey < 20) AS usable, count(*) FILTER (WHERE c_acctbal < 0) AS blocked, round(avg(c_nationkey), 6) AS avg_usage FROM customer")
+def a9_session_pool(spark, d):
+    s = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").alias("usage_count"), F.lit(20).alias("max_usage_count"), (F.col("c_acctbal") < 0).alias("is_blocked"), F.lit(0.0).alias("error_score"), F.expr("array(named_struct('name', 'c', 'expires', timestamp'2030-01-01'))").alias("cookies"))
+    got = stats.session_pool_stats(s, sessions.usable(F.expr("timestamp'2024-01-01'")))
+    return got.select("total", "usable", "blocked", F.round("avg_usage", 6).alias("avg_usage"))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal >= 0 AND c_nationkey < 20 AND c_custkey % 2 = 0")
+def p24_usable_sessions(spark, d):
+    """Sessions that are neither blocked, used up, expired nor too old."""
+    s = _read(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_nationkey").alias("usage_count"), F.lit(20).alias("max_usage_count"), (F.col("c_acctbal") < 0).alias("is_blocked"), F.expr("timestamp'2024-01-01' - make_dt_interval(0, if(c_custkey % 4 = 1, 2, 0))").alias("created_at"), F.expr("array(named_struct('name', 'c', 'expires', if(c_custkey % 4 = 3, timestamp'2023-01-01', timestamp'2030-01-01')))").alias("cookies"))
+    return sessions.clean_up(s, F.expr("timestamp'2024-01-01'")).select("c_custkey", "c_nationkey")
+
+
+@query("SELECT host, delay_ms, sitemap FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages) h, (SELECT 2500.0::DOUBLE AS delay_ms, 'https://s.org/map.xml' AS sitemap) r")
+def r3_delays_and_sitemaps(spark, d):
+    body = "User-agent: webmill\nCrawl-delay: 2.5\nDisallow: /x\n\nUser-agent: other\nCrawl-delay: 9\nDisallow:\nSitemap: https://s.org/map.xml\n"
+    files = _read(spark, d, "pages").select(U.url_host("url").alias("host")).distinct().withColumn("body", F.lit(body))
+    return robots.crawl_delays(files, "webmill").join(robots.sitemaps(files).select("host", F.col("url").alias("sitemap")), "host").select("host", "delay_ms", "sitemap")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE lower(role) IN ('warn', 'error')")
+def p27_log_levels(spark, d):
+    logs = _read(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("level"))
+    return jobs.at_least(logs, "warn").select("conv_id", "turn")
+
+
+@query(r"SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages")
+def x11_origins(spark, d):
+    """The origins of selected requests, each once: what a crawl of them begins with."""
+    return _read(spark, d, "pages").select(U.url_origin("url").alias("origin")).filter("origin IS NOT NULL").distinct()
+
+
+@query("SELECT DISTINCT url, 'j' AS job_id FROM pages")
+def s9_sitemap(spark, d):
+    return tables.sitemap_entries(_read(spark, d, "pages").withColumn("state", F.lit("completed")), "j")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s10_pushed_records(spark, d):
+    """Records as JSON, read again."""
+    kept = tables.push_data(_read(spark, d, "nation"))
+    return kept.select(F.from_json("record", "n_nationkey int, n_name string, n_regionkey int").alias("r")).select("r.*")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_mktsegment ELSE c_name END AS name FROM customer")
+def f10_display_name(spark, d):
+    return _read(spark, d, "customer").select("c_custkey", jobs.display_name(F.when(F.col("c_acctbal") >= 0, F.col("c_name")), F.col("c_mktsegment")).alias("name"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 12 WHEN o_orderkey % 3 = 1 THEN 8 ELSE 10 END AS agents FROM orders")
+def t14_autoscaled(spark, d):
+    k = F.col("o_orderkey") % 3
+    return _read(spark, d, "orders").select("o_orderkey", stats.autoscaled(F.lit(10), stats.queue_load(F.when(k == 0, 30.0).otherwise(5.0), F.lit(10)), F.when(k == 1, 0.4).otherwise(0.95), F.lit(100.0)).alias("agents"))

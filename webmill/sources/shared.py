@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that its plan ends here. The folder is spark.checkpoint.dir; one
-    of our own only where that is unset. The table goes when the program ends, if its session still runs."""
+    of our own only where that is unset and Spark runs in this one process. The table goes when the program ends, if its session still runs."""
     spark = df.sparkSession
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="webmill-"))
         at = sc.getCheckpointDir()
     path = f"{at}/{name}-{uuid.uuid4().hex}"

@@ -1,4 +1,4 @@
-"""Streams: the trigger that starts a crawl at a host's first request, rate counts, and limiter and session state.
+"""Streams: the trigger that starts a crawl at a host's first request, rate counts and session state.
 
 State is kept by key, one small value each, in Spark's state store with its checkpoint.
 """
@@ -16,7 +16,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from webmill.functions.patterns import SESSION_BLOCK_SCORE
 from webmill.functions.predicates import is_static_resource, matches_filter
 from webmill.functions.urls import build_url
-from webmill.operators.limits import Bucket, Limits
 
 
 def first_hosts(intercepted: DataFrame, in_scope_only: bool = True) -> DataFrame:
@@ -52,28 +51,6 @@ def sliding_counts(requests: DataFrame, key: str, ts: str = "ts", window: str =
     return requests.withColumn("_t", t).withWatermark("_t", late).groupBy(F.window("_t", window, slide), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def limited(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(domain, seq, ts_ms, sent_ms): a token bucket for each domain, over requests in order within a batch."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts_ms", "seq"])
-        bucket = Bucket(limits, float(rows.ts_ms.iloc[0]))
-        free = bucket.at
-        if state.exists:
-            bucket.tokens, bucket.at, free, times = state.get
-            bucket.times.extend(times)
-        sent = []
-        for t in rows.ts_ms:
-            free, _ = bucket.acquire(max(float(t), free))
-            sent.append(free)
-        state.update((bucket.tokens, bucket.at, free, list(bucket.times)))
-        yield pd.DataFrame({"domain": key[0], "seq": rows.seq, "ts_ms": rows.ts_ms, "sent_ms": sent})
-
-    out = "domain string, seq long, ts_ms long, sent_ms double"
-    kept = "tokens double, at double, free double, times array<double>"
-    return requests.groupBy("domain").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
-
-
 def session_health(outcomes: DataFrame, error_weight: float = 1.0, success_weight: float = 0.5) -> DataFrame:
     """(session_id, usage_count, error_score, is_blocked) after each batch of outcomes (session_id, seq, ok)."""
 
