@@ -474,10 +474,11 @@ def f11_level_labels(spark, d):
 
 
 @query(_SQL_LINKS + r"""
-, m AS (SELECT 'page' AS kind, split_part(url, '#', 1) AS url FROM pages UNION ALL SELECT 'link', url FROM p),
-k AS (SELECT kind, split_part(url, '?', 1) || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(list_filter(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: x <> '')), '&') ELSE '' END AS key FROM m)
-SELECT 0 AS depth, 200 AS status, count(DISTINCT key) AS n FROM k WHERE kind = 'page'
-UNION ALL SELECT 1, 404, count(DISTINCT key) FROM k WHERE kind = 'link' AND key NOT IN (SELECT key FROM k WHERE kind = 'page')
+, m AS (SELECT 'page' AS kind, page_id, split_part(url, '#', 1) AS url FROM pages UNION ALL SELECT 'link', page_id, url FROM p),
+k AS (SELECT kind, page_id, split_part(url, '?', 1) || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(list_filter(string_split(substr(url, instr(url, '?') + 1), '&'), lambda x: x <> '')), '&') ELSE '' END AS key FROM m),
+f AS (SELECT key, min(page_id) AS page_id FROM k WHERE kind = 'page' GROUP BY key)
+SELECT 0 AS depth, 200 AS status, count(*) AS n FROM f
+UNION ALL SELECT 1, 404, count(DISTINCT key) FROM k WHERE kind = 'link' AND page_id IN (SELECT page_id FROM f) AND key NOT IN (SELECT key FROM f)
 """)
 def t1_crawl(spark, d):
     """A crawl from every page: links of `pages` lead to no other page, so all found requests end as 404."""
