@@ -3,8 +3,12 @@
 Unit vectors with cosine >= c are at a squared distance of at most 2 - 2c. Rotated onto their principal axes and
 split into blocks of axes, two such vectors are, in one block at least, no further apart than the block's share of
 that distance. Each block is joined by range: its first axes are cut into cells as wide as the share's root, and a
-vector meets those of its own and of neighbouring cells. Pairs within a block's share are candidates; a candidate
-counts in the first block that finds it, and is verified on the whole vectors in double precision.
+vector meets those of its own and of neighbouring cells.
+
+Vectors are rotated once and written, so that every task sees the same numbers. What goes to the cells at first is a
+block's coordinates alone, as 16-bit floats with room for their rounding; only vectors with a candidate in a cell go
+there whole, where candidates are verified in double precision. A pair counts in the first block within whose share it
+lies, by sums of the same terms in the same order wherever they are taken.
 """
 
 from __future__ import annotations
@@ -24,11 +28,15 @@ BLOCKS = 4
 #: Axes of each block that are cut into cells.
 AXES = 2
 #: Vectors of a cell that one task compares with as many others at once; larger cells are dealt to several.
-CHUNK = 400
+CHUNK = 1_000
+#: Candidate pairs whose distances are worked out at once.
+PAIRS = 200_000
 #: Vectors from which the rotation is fitted, those of least hash. Any rotation gives the same links.
 SAMPLE = 20_000
-#: Rounding that distances may have before a pair is ruled out.
+#: Rounding that squared distances may have before a pair is ruled out, and the distance that 16-bit coordinates of two
+#: vectors, of length 1 at most, may add.
 SLACK = 1e-6
+HALF = 1.1e-3
 
 
 def rotation(sample: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,71 +93,116 @@ def near(docs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", la
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), lo.alias("component_id"), F.coalesce(lo == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    rows = np.ascontiguousarray(rows)
+    size = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * size, size, dtype=np.int32)[: len(rows) + 1]), pa.py_buffer(rows)])
+
+
+def _deal(rows: DataFrame, chunk: int) -> DataFrame:
+    """rows (g, s, guest, ...) of cells in which two meet, with i and j: the pair of chunks that a task compares. Home chunk
+    i meets home chunks i.. and every guest chunk; j counts home chunks, then guest chunks."""
+    columns = rows.columns
+    sizes = rows.groupBy("g").agg(F.count_if(~F.col("guest")).alias("nh"), F.count_if("guest").alias("ng"))
+    sizes = sizes.filter("nh > 0 AND nh + ng > 1").select(F.col("g").bitwiseXOR(F.lit(1)).alias("g2"), F.ceil(F.col("nh") / chunk).cast("int").alias("bh"), F.ceil(F.col("ng") / chunk).cast("int").alias("bg"))
+    dealt = rows.join(sizes, F.col("g").bitwiseXOR(F.lit(1)) == F.col("g2"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("s"), F.when(F.col("guest"), F.col("bg")).otherwise(F.col("bh"))).cast("int"))
+    last = F.col("bh") + F.col("bg") - 1
+    home = F.transform(F.sequence(F.lit(0), last), lambda o: F.when(o < F.col("bh"), F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))).otherwise(F.struct(F.col("own").alias("i"), o.alias("j"))))
+    guest = F.transform(F.sequence(F.lit(0), F.col("bh") - 1), lambda o: F.struct(o.alias("i"), (F.col("bh") + F.col("own")).alias("j")))
+    met = dealt.select(*columns, "own", F.explode(F.when(F.col("guest"), guest).otherwise(home)).alias("p"))
+    return met.select(*columns, "own", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+
+
+def _sorted(met: DataFrame) -> DataFrame:
+    return met.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+
+def _tiles(batches, *payload: str):
+    """For each pair of chunks: its rows' g, s, guest and payload as lists, and which of them meet (one, two; same: each other)."""
+
+    def rows():
+        for b in batches:
+            yield from zip(*(b.column(c).to_pylist() for c in ("g", "i", "j", "s", "guest", "own", *payload)), strict=True)
+
+    for (g, i, j), members in groupby(rows(), lambda r: r[:3]):
+        columns = list(zip(*members, strict=True))
+        guest, own = np.array(columns[4]), np.array(columns[5])
+        one = np.flatnonzero(~guest & (own == i))
+        two = np.flatnonzero(guest) if guest.any() else np.flatnonzero(~guest & (own == j))
+        if len(one) and len(two):
+            yield g, np.array(columns[3]), guest, columns[6:], one, two, not guest.any() and i == j
+
+
+def _near(p: np.ndarray, q: np.ndarray, limit: float, same: bool) -> np.ndarray:
+    """Which of p and q are within this squared distance, as far as rounding tells."""
+    near = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T <= limit
+    if same:
+        near &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
+    return near
+
+
 def _links(nodes: DataFrame, rotated, cosine: float, axes: int, chunk: int) -> DataFrame:
     """(s, n, root): rows that s links with, as far as one task saw, and one of the nodes that it links with there."""
     turn, cut, share = rotated
     budget = share * (2 - 2 * cosine) + SLACK
     width = np.sqrt(budget)
 
+    def rotate(batches):
+        for b in batches:
+            if b.num_rows:
+                x = _unit(b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)) @ turn
+                yield pa.RecordBatch.from_arrays([b.column("s"), b.column("y"), b.column("m"), _blobs(x)], ["s", "y", "m", "x"])
+
+    turned = C.table(nodes.select("s", F.xxhash64("y").alias("y"), "m", "x").mapInArrow(rotate, "s long, y long, m long, x binary"))
+
+    def vectors(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column if isinstance(column, tuple | list) else column.to_pylist()), np.float64).reshape(-1, len(turn))
+
     def cells(batches):
         """Each vector to its cell in each block (home), and to the neighbours that come later in order (guest)."""
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _unit(b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)) @ turn
-            label = np.array(b.column("y").to_pylist(), object)
+            x, label = vectors(b.column("x")), np.array(b.column("y"), np.int64).view(np.uint64)
             for k in range(len(width)):
                 used = min(axes, cut[k + 1] - cut[k])
                 at = np.floor(x[:, cut[k] : cut[k] + used] / width[k]).astype(np.int64)
+                near = _blobs(x[:, cut[k] : cut[k + 1]].astype(np.float16))
                 for step in product((-1, 0, 1), repeat=used):
                     if step < (0,) * used:
                         continue
-                    cell = [f"{k}:{':'.join(map(str, c))}" for c in (at + np.array(step)).tolist()]
-                    g = pa.array([f"{y}|{c}" for y, c in zip(label, cell, strict=True)])
-                    yield pa.RecordBatch.from_arrays([g, b.column("s"), pa.array(np.full(b.num_rows, step != (0,) * used)), b.column("x"), b.column("m"), pa.array(np.full(b.num_rows, k, np.int32))], ["g", "s", "guest", "x", "m", "k"])
-
-    dealt = nodes.select("y", "s", "x", "m").mapInArrow(cells, "g string, s long, guest boolean, x array<double>, m long, k int")
-    sizes = dealt.groupBy("g").agg(F.count_if(~F.col("guest")).alias("nh"), F.count_if("guest").alias("ng"))
-    sizes = sizes.filter("nh > 0 AND nh + ng > 1").select(F.concat("g", F.lit("!")).alias("g2"), F.ceil(F.col("nh") / chunk).cast("int").alias("bh"), F.ceil(F.col("ng") / chunk).cast("int").alias("bg"))
-    dealt = dealt.join(sizes, F.concat("g", F.lit("!")) == F.col("g2"))
-    # Home chunk i meets home chunks i.. and every guest chunk; j counts home chunks, then guest chunks.
-    own = F.pmod(F.xxhash64("s"), F.when(F.col("guest"), F.col("bg")).otherwise(F.col("bh"))).cast("int")
-    last = F.col("bh") + F.col("bg") - 1
-    home = F.transform(F.sequence(F.lit(0), last), lambda o: F.when(o < F.col("bh"), F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))).otherwise(F.struct(F.col("own").alias("i"), o.alias("j"))))
-    guest = F.transform(F.sequence(F.lit(0), F.col("bh") - 1), lambda o: F.struct(o.alias("i"), (F.col("bh") + F.col("own")).alias("j")))
-    met = dealt.withColumn("own", own).select("g", "s", "guest", "x", "m", "k", "own", F.explode(F.when(F.col("guest"), guest).otherwise(home)).alias("p"))
-    met = met.select("g", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "s", "guest", "own", "x", "m", "k").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+                    g = C.fold(C.mix(label), np.full(len(x), k, np.uint64))
+                    for c in range(used):
+                        g = C.fold(g, (at[:, c] + step[c]).view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column("s"), pa.array(np.full(len(x), step != (0,) * used)), pa.array(np.full(len(x), k, np.int8)), near], ["g", "s", "guest", "k", "c"])
+
+    def candidates(batches):
+        """The members of each cell that have a candidate there."""
+        for g, s, guest, (ks, c), one, two, same in _tiles(batches, "k", "c"):
+            k = ks[0]
+            x = np.frombuffer(b"".join(c), np.float16).astype(np.float32).reshape(len(s), -1)
+            near = _near(x[one], x[two], (np.sqrt(budget[k]) + HALF) ** 2 + 1e-5, same)
+            at = np.unique(np.concatenate((one[near.any(1)], two[near.any(0)])))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g)), pa.array(s[at]), pa.array(guest[at]), pa.array(np.full(len(at), k, np.int8))], ["g", "s", "guest", "k"])
 
     def verify(batches):
-        def rows():
-            for b in batches:
-                if b.num_rows:
-                    x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    yield from zip(*(b.column(c).to_pylist() for c in ("g", "i", "j", "s", "guest", "own", "m", "k")), x, strict=True)
-
-        for (_, i, j), members in groupby(rows(), lambda r: r[:3]):
-            members = list(members)
-            s = np.array([r[3] for r in members])
-            guest = np.array([r[4] for r in members])
-            own, m, k = np.array([r[5] for r in members]), np.array([r[6] for r in members]), members[0][7]
-            unit = _unit(np.array([r[8] for r in members]))
-            one = np.flatnonzero(~guest & (own == i))
-            two = np.flatnonzero(guest) if guest.any() else np.flatnonzero(~guest & (own == j))
-            if not len(one) or not len(two):
-                continue
-            same = not guest.any() and i == j
-            turned = unit @ turn
-            candidate = np.ones((len(one), len(two)), bool)
-            for b in range(k + 1):
-                p, q = turned[one, cut[b] : cut[b + 1]], turned[two, cut[b] : cut[b + 1]]
-                far = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T > budget[b]
-                # Found by an earlier block: not again here. The same sums are taken there, so exactly one counts it.
-                candidate &= ~far if b == k else far
-            if same:
-                candidate &= np.arange(len(one))[:, None] < np.arange(len(two))[None, :]
-            a, b = np.nonzero(candidate)
-            keep = (unit[one[a]] * unit[two[b]]).sum(1) >= cosine
-            a, b = one[a[keep]], two[b[keep]]
+        for _, s, guest, (ks, ys, ms, xs), one, two, same in _tiles(batches, "k", "y", "m", "x"):
+            k, y, m, x = ks[0], np.array(ys), np.array(ms), vectors(xs)
+            block = lambda b: slice(cut[b], cut[b + 1])
+            a, b = np.nonzero(_near(x[one][:, block(k)], x[two][:, block(k)], budget[k] + 1e-9, same))
+            a, b = one[a], two[b]
+            keep = np.zeros(len(a), bool)
+            for first in range(0, len(a), PAIRS):
+                i, j = a[first : first + PAIRS], b[first : first + PAIRS]
+                apart = lambda n: ((x[i, block(n)] - x[j, block(n)]) ** 2).sum(1)  # noqa: B023, E731
+                good = (y[i] == y[j]) & (apart(k) <= budget[k]) & ((x[i] * x[j]).sum(1) >= cosine)
+                for n in range(k):  # those within an earlier block's share count there
+                    good &= apart(n) > budget[n]
+                keep[first : first + PAIRS] = good
+            a, b = a[keep], b[keep]
             if not len(a):
                 continue
             n = np.bincount(a, m[b], len(s)) + np.bincount(b, m[a], len(s))
@@ -165,10 +218,16 @@ def _links(nodes: DataFrame, rotated, cosine: float, axes: int, chunk: int) -> D
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(n[at].astype(np.int64)), pa.array(s[root[at]])], ["s", "n", "root"])
 
-    return met.mapInArrow(verify, "s long, n long, root long")
+    spread = turned.select("s", "y", "x").mapInArrow(cells, "g long, s long, guest boolean, k byte, c binary")
+    found = C.table(_sorted(_deal(spread, chunk)).mapInArrow(candidates, "g long, s long, guest boolean, k byte").distinct())
+    whole = turned.select(F.col("s").bitwiseXOR(F.lit(1)).alias("s2"), "y", "m", "x")
+    # Cells are dealt first: vectors go to the pairs of chunks that they are compared in, and nowhere else.
+    met = _deal(found, chunk).join(whole, F.col("s").bitwiseXOR(F.lit(1)) == F.col("s2")).drop("s2")
+    return _sorted(met).mapInArrow(verify, "s long, n long, root long")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by components of cosine 0.93 or more within a label: vec_id, n_links, component_id, kept."""
     return near(C.read(spark, sf_dir, "embeddings"))
 
 
