@@ -368,8 +368,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' token counts: doc_id, n_bytes, n_tokens, over_limit. A null text is an empty one."""
     return token_counts(C.read(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' token ids and what they decode to, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return encode(C.read(spark, sf_dir, "documents"), vocabulary_path(), digests=True)

@@ -9,6 +9,7 @@ import gc
 import hashlib
 import re
 import tempfile
+import threading
 import uuid
 import weakref
 
@@ -53,9 +54,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-#: Tables made while a stage of a pipeline is set up, by the stage's owner.
-_of_stage: list[tuple[SparkSession, str]] = []
-_in_stage: list[bool] = []
+class _Stages(threading.local):
+    """Tables made while a stage of a pipeline is set up: each thread has its own, so pipelines side by side do too."""
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+        self.inside = 0
+
+
+_stages = _Stages()
 #: Where the tables are.
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -66,8 +73,8 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/webmill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    if _in_stage:
-        _of_stage.append((spark, path))
+    if _stages.inside:
+        _stages.tables.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
@@ -83,13 +90,13 @@ def drop(made: DataFrame) -> None:
 def stage():
     """Within it tables belong to a stage of a pipeline. Those of the stage before are removed now: its result has been
     written by the time that the next stage begins."""
-    while _of_stage:
-        _remove(*_of_stage.pop())
-    _in_stage.append(True)
+    while _stages.tables:
+        _remove(*_stages.tables.pop())
+    _stages.inside += 1
     try:
         yield
     finally:
-        _in_stage.pop()
+        _stages.inside -= 1
 
 
 def _remove(spark: SparkSession, path: str) -> None:

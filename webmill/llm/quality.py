@@ -86,6 +86,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' measures and verdicts, their host's included. A null text has no words and fails."""
     return quality(C.read(spark, sf_dir, "documents"))
 
 
