@@ -16,7 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither fail the rules nor come from a host that does."""
+    """Documents that neither fail the rules nor come from a host that does. Null and empty texts fail; a null source is a
+    host of its own; repeated rows and null ids are judged like any."""
     measured = common.table(quality.measure(docs))
     return quality.judge(measured, "source").filter("_q_kept").select(*docs.columns)
 
@@ -28,19 +29,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes or more that occur elsewhere too. Every document stays, if only with
-    what is left of it."""
+    """Texts without the passages of 200 bytes or more that occur elsewhere too. Every row stays, if only with what is
+    left of its text, whatever its id; a null text becomes an empty one."""
     out = substrings.suffix_dedup(docs).withColumn("text", F.col("_s_kept")).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: null and empty texts never, null ids and repeated rows like any."""
     return mixing.mix(docs, whole=True)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids, their number and the text that they decode to."""
+    """doc_id, token ids, their number and the text that they decode to. A null text has no tokens and decodes to an empty one."""
     return bpe.encode(docs, bpe.vocabulary_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
