@@ -497,8 +497,8 @@ def w6_retry_ordinal(spark, d):
 
 @query("SELECT user_id, count(DISTINCT event_type) AS n_types, min(event_id) AS first FROM events GROUP BY user_id")
 def a13_distinct_types(spark, d):
-    e = _read(spark, d, "events")
-    return e.groupBy("user_id").agg(F.count_distinct("event_type").alias("n_types"), F.min("event_id").alias("first"))
+    e = _read(spark, d, "events").select(F.struct("user_id", "event_type").alias("seen"), "event_id")
+    return stats.first_seen(e, "seen", "event_id").groupBy("seen.user_id").agg(F.count(F.lit(1)).alias("n_types"), F.min("first").alias("first"))
 
 
 @query(_SQL_LINKS + ", u AS (SELECT DISTINCT page_id, url FROM p) SELECT page_id, url FROM u WHERE url LIKE 'https%'")
@@ -660,9 +660,10 @@ def r3_delays_and_sitemaps(spark, d):
     return robots.crawl_delays(files, "webmill").join(robots.sitemaps(files).select("host", F.col("url").alias("sitemap")), "host").select("host", "delay_ms", "sitemap")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE lower(role) IN ('warn', 'error')")
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' OR turn % 3 = 2")
 def p27_log_levels(spark, d):
-    logs = _read(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("level"))
+    level = F.when(F.col("role") == "user", "Warn").when(F.col("turn") % 3 == 2, "ERROR").otherwise(F.col("role"))
+    logs = _read(spark, d, "conversations").select("conv_id", "turn", level.alias("level"))
     return jobs.at_least(logs, "warn").select("conv_id", "turn")
 
 
