@@ -34,7 +34,7 @@ BYTE_GRAM = 16
 WORDS = 50
 WORD_GRAM = 8
 #: Different contexts of one anchor that one task may hold.
-GROUP = 2_000
+GROUP = 10_000
 #: Contexts that are compared at once, and their bytes: whole groups, so at most one group more.
 HELD = 10_000
 HELD_BYTES = 3_000_000
