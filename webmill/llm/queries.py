@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from webmill.llm.audit import OP12_SQL, op12_filter_audit
 from webmill.llm.bpe import op1_token_counts, op2_bpe
 from webmill.llm.ctw import op8_lm_scoring
 from webmill.llm.jaccard import OP5_SQL, op5_jaccard_join
@@ -23,6 +24,7 @@ OPERATORS = (
     op8_lm_scoring,
     op9_embedding_near_dedup,
     op10_source_mixing,
+    op12_filter_audit,
 )
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 #: The others have no SQL form: tests hold them against the libraries, plain Python or held-out rows.
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op5_jaccard_join": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
