@@ -37,3 +37,9 @@ def docs(spark, cases):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def as_docs(spark):
+    """A table of documents from rows like those of `cases`."""
+    return lambda texts: spark.createDataFrame(rows(texts), SCHEMA).repartition(3)

@@ -5,7 +5,6 @@ from itertools import permutations
 
 import pytest
 
-from conftest import SCHEMA  # noqa: F401
 from webmill.llm import audit
 
 
@@ -42,11 +41,9 @@ def labelled(spark, cases):
     return docs, labels
 
 
-def test_against_every_order_document_by_document(spark, labelled):
-    from conftest import rows
-
+def test_against_every_order_document_by_document(spark, as_docs, labelled):
     docs, labels = labelled
-    d = spark.createDataFrame(rows(docs), SCHEMA).repartition(3)
+    d = as_docs(docs)
     l = spark.createDataFrame([(*r, "x") for r in labels], "doc_id long, quality int, toxic int, text string")  # noqa: E741
     assert sorted(map(tuple, audit.interactions(audit.failures(d, l)).collect())) == brute(docs, labels)
 

@@ -11,6 +11,7 @@ from webmill.llm.mixing import op10_source_mixing
 from webmill.llm.neighbours import OP9_SQL, op9_embedding_near_dedup
 from webmill.llm.quality import OP4_SQL, op4_quality_rules
 from webmill.llm.substrings import OP3_SQL, OP7_SQL, op3_suffix_dedup, op7_substring_dedup
+from webmill.llm.topk import OP13_SQL, op13_top_k
 from webmill.llm.toxicity import op6_toxicity
 
 OPERATORS = (
@@ -25,6 +26,7 @@ OPERATORS = (
     op9_embedding_near_dedup,
     op10_source_mixing,
     op12_filter_audit,
+    op13_top_k,
 )
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 #: The others have no SQL form: tests hold them against the libraries, plain Python or held-out rows.
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op7_substring_dedup": OP7_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_top_k": OP13_SQL,
 }
