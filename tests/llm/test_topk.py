@@ -30,7 +30,7 @@ def test_against_brute_force(spark):
     rows += [(2000, None), (2010, []), (2011, []), (2020, [float("nan")] + [1.0] * 15), (2030, [None] + [1.0] * 15), (2040, [float("inf")] + [1.0] * 15), (2050, [0.0] * 16), (2060, [1e30] * 16), (2070, [1.0, 2.0]), (2071, [2.0, 0.01]), (-10, [-0.001] * 16)]
     df = table(spark, rows)
     want = brute(rows, 10, 5)
-    for strand, queries in ((1 << 22, 10_000), (128 * 20, 7)):
+    for strand, queries in ((1 << 22, 10_000), (128 * 20, 7), (128, 10_000)):
         assert Counter(map(tuple, topk.top_k(df, every=10, strand_bytes=strand, queries=queries).collect())) == want
     assert Counter(map(tuple, topk.top_k(df.limit(3), every=1).collect())).total() <= 6
 

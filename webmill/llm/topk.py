@@ -5,7 +5,7 @@ pass by in batches. By Cauchy-Schwarz a product is at most the product of length
 meets no block, whose longest vector cannot reach its k-th best. Of the rest the product over the first axes of a rotation
 (those of greatest variance) is taken, and what the other axes may add is at most the product of what is left of the
 lengths. Only pairs that this does not rule out are multiplied out, in whole numbers. A query's bound begins with its
-products with the longest vectors of all; what strands have found for it meets at the end.
+products with some of the longest vectors; what strands have found for it meets at the end.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ QUERIES = 32_768
 GRADES = 16
 #: Share of the axes whose product is taken first.
 HEAD = 0.25
-#: Vectors that the rotation is fitted to, those of least hash, and longest ones from which bounds begin. Both change what
-#: is ruled out, and never what is found.
+#: Vectors that the rotation is fitted to, chosen by hash, and vectors of the highest grades from which bounds begin. Both
+#: change what is ruled out, and never what is found.
 SAMPLE = 4_096
 SEEDS = 512
 #: Rounding of products over rotated axes, as a share of the product of lengths.
@@ -157,9 +157,23 @@ def top_k(docs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
 
 def _found(rows: DataFrame, dims: int, every: int, k: int, strand: int, queries: int) -> DataFrame:
     """(query, query_id, score, vec_id, row): for each query the k best of each strand, or more than it needs."""
-    least = lambda n, *by: numbers([r.x for r in rows.orderBy(*by).limit(n).select("x").collect()], dims)
-    turn = rotation(least(SAMPLE, F.xxhash64("x"), "row").astype(np.float64))
-    seeds = least(SEEDS, F.desc("length2"), "row")
+    graded = rows.withColumn("grade", F.floor(F.log2(F.col("length2").cast("double") + 1) * (GRADES / 2)).cast("int"))
+    # At most 31 * GRADES rows, whatever the input: how many strands each grade has, and its greatest length.
+    grades = graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n"), F.max("length2").alias("longest")).collect()
+    total, top, left = sum(g.n for g in grades), max((g.grade for g in grades), default=0), SEEDS
+    for g in sorted(grades, key=lambda g: -g.grade):
+        top, left = g.grade, left - g.n
+        if left <= 0:
+            break
+    longest = sum(g.n for g in grades if g.grade >= top)
+
+    def some(of: DataFrame, n: int, most: int) -> np.ndarray:
+        """About `most` of the n rows, twice as many at most, chosen by hash in tasks."""
+        chosen = of.filter(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 40)) < int(min(1.0, most / max(n, 1)) * (1 << 40)))
+        return numbers([r.x for r in chosen.select("x").limit(2 * most).collect()], dims)
+
+    turn = rotation(some(rows, total, SAMPLE).astype(np.float64))
+    seeds = some(graded.filter(F.col("grade") >= top), longest, SEEDS)
     asked = F.pmod("id", F.lit(every)) == 0
 
     def begin(batches):
@@ -171,9 +185,6 @@ def _found(rows: DataFrame, dims: int, every: int, k: int, strand: int, queries:
                 bound = np.partition(products(x, seeds), at, 1)[:, at].astype(np.float64) if at >= 0 else np.full(len(x), -np.inf)
                 yield b.append_column("bound", pa.array(bound))
 
-    graded = rows.withColumn("grade", F.floor(F.log2(F.col("length2").cast("double") + 1) * (GRADES / 2)).cast("int"))
-    # At most 31 * GRADES rows, whatever the input: how many strands each grade has, and its greatest length.
-    grades = graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n"), F.max("length2").alias("longest")).collect()
     groups = max(1, -(-rows.filter(asked).count() // queries))
     strands = F.array(*[F.struct(F.lit(g.grade).alias("grade"), F.lit(-(-g.n // strand)).alias("strands"), F.lit(float(g.longest) ** 0.5).alias("reach")) for g in sorted(grades, key=lambda g: g.grade)])
     number = F.create_map(*[F.lit(v) for g in grades for v in (g.grade, -(-g.n // strand))])
@@ -196,16 +207,17 @@ def _found(rows: DataFrame, dims: int, every: int, k: int, strand: int, queries:
                     if j > i:
                         yield tuple(key[i]), b.slice(i, j - i)
 
-        for (*_, query), part in groupby(runs(), lambda r: r[0]):
+        blocks, of = [], None
+        for (*strand, query), part in groupby(runs(), lambda r: r[0]):
             if not query:
-                blocks = []
+                blocks, of = [], strand
                 for _, b in part:
                     for i in range(0, b.num_rows, BLOCK):
                         s = b.slice(i, BLOCK)
                         blocks.append((Turned(numbers(s.column("x").to_pylist(), dims), turn), s.column("row").to_numpy(), np.asarray(s.column("id").fill_null(0)), np.asarray(s.column("id").is_valid())))
                 continue
             for _, b in part:
-                for i in range(0, b.num_rows, BLOCK):
+                for i in range(0, b.num_rows if strand == of else 0, BLOCK):  # a strand may have no vectors
                     s = b.slice(i, BLOCK)
                     row, ids = s.column("row").to_numpy(), s.column("id").to_numpy()
                     q, score, c_id, known, c_row = search(Turned(numbers(s.column("x").to_pylist(), dims), turn), row, s.column("bound").to_numpy(), blocks, k).found
