@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Words are runs of anything but these bytes; in a Java regex and in SQL the same class is written out.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -80,6 +81,29 @@ def table(df: DataFrame) -> DataFrame:
     return out
 
 
+class Levels:
+    """A table that grows level by level, each level a partition of its own, in the shared folder. Removed when the program ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema, self.n = spark, f"{shared_dir(spark)}/webmill-{uuid.uuid4().hex}", "", 0
+        atexit.register(_remove, spark, self.path)
+        if _stages.inside:
+            _stages.tables.append((spark, self.path))
+
+    def add(self, df: DataFrame, depth: int) -> DataFrame:
+        """Writes df as this level and returns it as written."""
+        df.write.option("compression", "zstd").parquet(f"{self.path}/depth={depth}")
+        self.schema, self.n = df.schema, self.n + 1
+        return self.at(depth)
+
+    def at(self, depth: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/depth={depth}")
+
+    def all(self) -> DataFrame:
+        """Every level, with the column depth."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("depth", IntegerType())])).parquet(self.path)
+
+
 def drop(made: DataFrame) -> None:
     """Removes what table() wrote, once everything that reads it has been written itself."""
     if made in _paths:

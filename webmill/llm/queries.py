@@ -13,6 +13,7 @@ from webmill.llm.quality import OP4_SQL, op4_quality_rules
 from webmill.llm.substrings import OP3_SQL, OP7_SQL, op3_suffix_dedup, op7_substring_dedup
 from webmill.llm.topk import OP13_SQL, op13_top_k
 from webmill.llm.toxicity import op6_toxicity
+from webmill.llm.trie import OP11_SQL, op11_prefix_trie
 
 OPERATORS = (
     op1_token_counts,
@@ -25,6 +26,7 @@ OPERATORS = (
     op8_lm_scoring,
     op9_embedding_near_dedup,
     op10_source_mixing,
+    op11_prefix_trie,
     op12_filter_audit,
     op13_top_k,
 )
@@ -36,6 +38,7 @@ ORACLE_SQL = {
     "op5_jaccard_join": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
     "op13_top_k": OP13_SQL,
 }
