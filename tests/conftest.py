@@ -9,6 +9,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # where a column was written is asked of the JVM each time
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )

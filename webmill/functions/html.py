@@ -33,48 +33,100 @@ def first(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
-def _links(values: Column, rank: int, source: str) -> Column:
-    return F.transform(values, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("raw"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("text")))
+#: Rank, place within the rank, and source of what the attributes of a tag link to, in order of emission.
+_KINDS = (("form", "form"), ("iframe", "iframe"), ("meta", "meta"), ("area", "anchor"), ("script", "script"), ("link", "link"), ("image", "image"), ("media", "link"))
+_TAGS = {
+    tag: (rank, place, source, P.of_tag(tag, attribute) if attribute else P.META_REFRESH)
+    for rank, (kind, source) in enumerate(_KINDS, 1)
+    for place, (tag, attribute) in enumerate(P.LINK_ATTRIBUTES.get(kind, [(kind, "")]))
+}
+
+
+def _link(rank: int, raw: Column, source: str, text: Column | None = None) -> Column:
+    return F.struct(F.lit(rank).alias("rank"), raw.alias("raw"), F.lit(source).alias("source"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+
+
+def _of_rank(found: Column, rank: int, source: str) -> Column:
+    return F.transform(found, lambda x: _link(rank, x, source))
+
+
+def _candidates(value: Column) -> Column:
+    """URLs of a srcset."""
+    return F.transform(F.split(value, ","), lambda x: F.regexp_extract(trim_ws(x), f"^([^{P.WS}]*)", 1))
+
+
+def _by_pattern(h: Column, tags: tuple[str, ...]) -> Column:
+    """Links of the tags, each tag searched for by itself: right for any page."""
+    parts = []
+    for tag in tags:
+        rank, place, source, pattern = _TAGS[tag]
+        found = every(h, pattern)
+        if tag == "img":
+            found = F.concat(found, F.flatten(F.transform(every(h, P.SRCSET), _candidates)))
+        parts.append(_of_rank(found, rank, source))
+    return F.concat(*parts)
+
+
+def _by_tag(found: Column, tags: tuple[str, ...]) -> Column:
+    """Links of tags that were found by one search, each classed by its name."""
+
+    def of(t: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1))
+        link = lambda tag, raw, place, j: F.struct(F.lit(_TAGS[tag][0]).alias("rank"), place.alias("place"), i.alias("i"), j.alias("j"), raw.alias("raw"), F.lit(_TAGS[tag][2]).alias("source"))
+        cases = F
+        for tag in tags:
+            _, place, _, pattern = _TAGS[tag]
+            links = F.array(link(tag, F.regexp_extract(t, pattern, 1), F.lit(place), F.lit(0)))
+            if tag == "img":
+                more = F.when(F.lower(t).contains("srcset"), F.transform(_candidates(F.regexp_extract(t, P.SRCSET, 1)), lambda x, j: link("img", x, F.lit(1), j))).otherwise(F.array().cast("array<struct<rank:int,place:int,i:int,j:int,raw:string,source:string>>"))
+                links = F.concat(links, more)
+            cases = cases.when(name == tag, links)
+        return cases
+
+    in_order = F.array_sort(F.flatten(F.transform(found, of)))
+    return F.transform(in_order, lambda x: F.struct(x.getField("rank").alias("rank"), x.raw.alias("raw"), x.source.alias("source"), F.lit(None).cast("string").alias("text")))
+
+
+def _tag_links(h: Column, low: Column, tags: tuple[str, ...]) -> Column:
+    """Links of the tags' attributes. A page that has any is searched once for all of them; one with a tag that cannot be
+    told apart so is searched for each by itself."""
+    none = F.array().cast("array<struct<rank:int,raw:string,source:string,text:string>>")
+    any_of = [low.contains(f"<{t}") for t in tags]
+    mentioned = any_of[0]
+    for m in any_of[1:]:
+        mentioned |= m
+    unclear = lambda found: F.exists(found, lambda t: t.rlike(P.UNCLEAR))
+    once = let(F.regexp_extract_all(h, F.lit(P.any_tag(tags)), 0), lambda found: F.when(unclear(found), _by_pattern(h, tags)).otherwise(_by_tag(found, tags)))
+    return F.when(mentioned, once).otherwise(none)
 
 
 def raw_links(html: Column | str, options: Options = Options(), sources: tuple[str, ...] | None = None) -> Column:
-    """array of struct(rank, raw, source, text), in order of emission. Values of single attributes are read where they
-    are double-quoted; anchors are read in any quotes and need their closing tag. sources: only links of these, so that
-    the page is not searched for others. A tag is searched for only in pages that have its name."""
-    h = col(html)
-    none = F.array().cast("array<string>")
-    mentions = lambda tag: h.rlike(f"(?i)<{tag}")
-    tags = lambda kind: [F.when(mentions(t), every(h, P.of_tag(t, a))).otherwise(none) for t, a in P.LINK_ATTRIBUTES[kind]]
-
-    def anchor(m: Column) -> Column:
-        group = lambda g: F.regexp_extract(m, P.ANCHOR, g)
-        return F.struct(F.lit(0).alias("rank"), F.concat(group(1), group(2), group(3)).alias("raw"), F.lit("anchor").alias("source"), trim_ws(group(4)).alias("text"))
-
-    parts = [F.transform(every(h, P.ANCHOR, 0), anchor)]
-    for kind, source in (("form", "form"), ("iframe", "iframe")):
-        parts.append(_links(tags(kind)[0], len(parts), source))
-    parts.append(_links(F.when(mentions("meta"), every(h, P.META_REFRESH)).otherwise(none), 3, "meta"))
-    parts.append(_links(tags("area")[0], 4, "anchor"))
-    if options.scripts:
-        parts.append(_links(tags("script")[0], 5, "script"))
-    parts.append(_links(tags("link")[0], 6, "link"))
-    srcset = F.flatten(F.transform(F.when(mentions("img"), every(h, P.SRCSET)).otherwise(none), lambda s: F.transform(F.split(s, ","), lambda x: F.regexp_extract(trim_ws(x), f"^([^{P.WS}]*)", 1))))
-    parts.append(_links(F.concat(tags("image")[0], srcset), 7, "image"))
-    parts.append(_links(F.concat(*tags("media")), 8, "link"))
-    if options.style_urls:
-        blocks = F.flatten(F.transform(F.when(mentions("style"), every(h, P.STYLE)).otherwise(none), lambda b: F.concat(every(b, P.CSS_URL), every(b, P.CSS_IMPORT))))
-        parts.append(_links(F.concat(blocks, every(h, P.CSS_URL)), 9, "css"))
-    if options.js_strings:
-        parts.append(_links(F.concat(every(h, P.JS_URL), every(h, P.JS_ENDPOINT)), 10, "javascript"))
-    if options.data_urls:
-        parts.append(_links(every(h, P.DATA_URL), 11, "link"))
-    if sources is None:
-        return F.concat(*parts)
-    named = {0: "anchor", 1: "form", 2: "iframe", 3: "meta", 4: "anchor"}  # the others are of resources
-    rest = {"script": 5, "link": 6, "image": 7, "css": 9, "javascript": 10}
-    if set(sources) & set(rest):
-        return F.filter(F.concat(*parts), lambda x: x.source.isin(*sources))
-    return F.concat(*[parts[k] for k, source in named.items() if source in sources])
+    """array of struct(rank, raw, source, text), in order of emission, without empty ones. Values of single attributes are
+    read where they are double-quoted; anchors are read in any quotes and need their closing tag. sources: only links of
+    these, so that the page is not searched for others."""
+    wanted = lambda *names: sources is None or bool(set(names) & set(sources))
+    tags = tuple(t for t, (_, _, source, _) in _TAGS.items() if wanted(source) and (t != "script" or options.scripts))
+
+    def all_of(h: Column, low: Column) -> Column:
+        def anchor(m: Column) -> Column:
+            return _link(0, F.regexp_replace(m, P.ANCHOR, "$1$2$3"), "anchor", trim_ws(F.regexp_replace(m, P.ANCHOR, "$4")))
+
+        none = F.array().cast("array<string>")
+        parts = []
+        if wanted("anchor"):
+            parts.append(F.transform(F.when(low.contains("<a"), every(h, P.ANCHOR, 0)).otherwise(none), anchor))
+        if tags:
+            parts.append(_tag_links(h, low, tags))
+        if options.style_urls and wanted("css"):
+            blocks = F.flatten(F.transform(F.when(low.contains("<style"), every(h, P.STYLE)).otherwise(none), lambda b: F.concat(every(b, P.CSS_URL), every(b, P.CSS_IMPORT))))
+            parts.append(_of_rank(F.concat(blocks, F.when(low.contains("url"), every(h, P.CSS_URL)).otherwise(none)), 9, "css"))
+        if options.js_strings and wanted("javascript"):
+            parts.append(_of_rank(F.concat(every(h, P.JS_URL), every(h, P.JS_ENDPOINT)), 10, "javascript"))
+        if options.data_urls and wanted("link"):
+            parts.append(_of_rank(F.when(low.contains("data-"), every(h, P.DATA_URL)).otherwise(none), 11, "link"))
+        return F.filter(F.concat(*parts), lambda x: x.raw != "")
+
+    return let(F.struct(col(html).alias("h"), F.lower(col(html)).alias("low")), lambda p: all_of(p.h, p.low))
 
 
 def base_url(html: Column | str, url: Column | str) -> Column:

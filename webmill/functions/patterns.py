@@ -83,6 +83,18 @@ MAX_SESSION_AGE_MS = 3_600_000
 RATE_WINDOW_MS = 60_000
 
 
+#: Attributes that links are read from.
+LINK_NAMES = ("action", "src", "href", "data", "srcset", "url", "content")
+_CLOSED = rf"(?=[{WS}>]|/>)"
+#: A tag that is not closed plainly: its quotes don't pair up, or one that closes could be taken for one that opens a value.
+UNCLEAR = rf"""(?i)[^>]\z|(?:{"|".join(LINK_NAMES)}){S}*={S}*["'](?:[{WS}>]|/>)"""
+
+
+def any_tag(names: tuple[str, ...]) -> str:
+    """Beginnings of these tags; the whole tag where its quotes pair up and hold no other quotes and no angle brackets."""
+    return rf"""(?i)<(?:{"|".join(names)}){S}+(?:(?:[^<>"']++|"[^"'<>]*+"{_CLOSED}|'[^"'<>]*+'{_CLOSED})*+>)?+"""
+
+
 def of_tag(tag: str, attribute: str) -> str:
     """The tag with a value of the attribute; of several in one tag the last counts. Groups: double-quoted, single-quoted, bare."""
     return rf"(?i)<{tag}{S}+[^>]*{attribute}{VALUE}[^>]*>"

@@ -6,8 +6,11 @@ Everything stays in the JVM. A value that is used more than once is bound by `le
 
 from __future__ import annotations
 
+import functools
+import weakref
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
 
+def built_once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """f, whose expression of columns that are given by name is built once in a context: it takes some thousand calls of the
+    JVM, and a crawl asks for it every round."""
+    made: weakref.WeakKeyDictionary[SparkContext, dict] = weakref.WeakKeyDictionary()
+
+    @functools.wraps(f)
+    def get(*args):
+        if any(isinstance(a, Column) for a in args):
+            return f(*args)
+        known = made.setdefault(SparkContext.getOrCreate(), {})
+        if args not in known:
+            known[args] = f(*args)
+        return known[args]
+
+    return get
+
+
 def trim_ws(c: Column | str) -> Column:
     """Without white space at either end, as the web's trim() has it."""
     return F.regexp_replace(col(c), f"^[{WS}]+|[{WS}]+\\z", "")
@@ -64,6 +84,7 @@ _PLAIN_PATH = "^" + _PLAIN_REST
 _PLAIN_URL = r"^https?+://[a-z0-9-]++(?:\.[a-z0-9-]++)*+" + _PLAIN_REST
 
 
+@built_once
 def parse(url: Column | str) -> Column:
     """struct(scheme, user, host, port, path, query, fragment), null where the URL is invalid. query and fragment hold
     their mark and are empty where absent; port is empty where it is the scheme's own."""
@@ -137,11 +158,13 @@ def href_of(p: Column, fragment: bool = True) -> Column:
     return F.concat(*parts, *([p.fragment] if fragment else []))
 
 
+@built_once
 def url_host(url: Column | str) -> Column:
     """Host name, or null where the URL is invalid."""
     return let(parse(url), lambda p: p.host)
 
 
+@built_once
 def url_origin(url: Column | str) -> Column:
     return let(parse(url), origin_of)
 
@@ -160,11 +183,13 @@ def is_valid(url: Column | str) -> Column:
     return url_host(url).isNotNull()
 
 
+@built_once
 def serialize(url: Column | str) -> Column:
     """The URL with its host in lower case and all other parts as the standard writes them."""
     return let(parse(url), href_of)
 
 
+@built_once
 def normalize(url: Column | str, base: Column | str) -> Column:
     """A link as found on the page `base`: absolute and without a fragment; null where it leads nowhere."""
     return let(parse(base), lambda b: normalize_with(url, b))
@@ -196,6 +221,7 @@ def _decode(x: Column) -> Column:
     return F.coalesce(F.try_url_decode(safe), plus)
 
 
+@built_once
 def unique_key(url: Column | str, method: Column | str = None) -> Column:
     """METHOD:url with query parameters sorted by "name,value" and written anew, without a fragment."""
     verb = F.lit("GET") if method is None else F.upper(col(method))
@@ -211,6 +237,7 @@ def unique_key(url: Column | str, method: Column | str = None) -> Column:
     return F.concat(verb, F.lit(":"), F.coalesce(let(parse(url), lambda p: F.when(p.isNotNull(), key(p))), col(url)))
 
 
+@built_once
 def request_like(url: Column | str, method: Column | str = None) -> Column:
     """struct(host, path with query, url trimmed, method), or null where the URL is invalid."""
     verb = F.lit("GET") if method is None else F.upper(col(method))

@@ -11,36 +11,47 @@ from pyspark.sql import functions as F
 from webmill.functions import html as H
 from webmill.functions import patterns as P
 from webmill.functions.predicates import in_strategy, is_html, matches_filter
-from webmill.functions.urls import let, normalize_with, parse
+from webmill.functions.urls import built_once, let, normalize_with, parse
 
 #: A further extractor: HTML and page URL to an array of struct(rank, raw, source, text).
 Extractor = Callable[[Column, Column], Column]
 
 
-def all_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = (), sources: tuple[str, ...] | None = None) -> DataFrame:
-    """(page_id, page_url, url, source, text, rank, pos) of every link, resolved; those that lead nowhere left out.
+def all_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = (), sources: tuple[str, ...] | None = None, once: bool = False) -> DataFrame:
+    """(page_id, page_url, url, source, text, rank, pos) of every link, resolved; those that lead nowhere left out. once: the
+    first link to each URL of a page only.
 
     sources: only links of these. Each link is resolved once, within its page's array, before the array is spread.
     """
+    rows = pages.select("page_id", F.col("url").alias("page_url"), *keep, F.explode(_resolved(options, extractors, sources, once)).alias("link"))
+    return rows.select("page_id", "page_url", *keep, "link.url", "link.source", "link.text", "link.rank", "link.pos")
+
+
+@built_once
+def _resolved(options: H.Options, extractors: tuple[Extractor, ...], sources: tuple[str, ...] | None, once: bool) -> Column:
+    """A page's links as an array of struct(url, pos, source, text, rank). Links sorted by URL and place are next to each
+    other, so the first to each URL is known without anything leaving the row."""
     found = H.raw_links("html", options, sources)
     if extractors:
         found = F.concat(found, *[e(F.col("html"), F.col("url")) for e in extractors])
-    resolved = let(parse(H.base_url("html", "url")), lambda b: F.transform(found, lambda x: F.struct(normalize_with(x.raw, b).alias("url"), x.source.alias("source"), x.text.alias("text"), x.getField("rank").alias("rank"))))
-    rows = pages.select("page_id", F.col("url").alias("page_url"), *keep, F.posexplode(resolved).alias("pos", "link"))
-    links = rows.select("page_id", "page_url", *keep, "link.url", "link.source", "link.text", "link.rank", "pos")
-    return links.filter("url IS NOT NULL")
+    link = lambda x, i, b: F.struct(normalize_with(x.raw, b).alias("url"), i.alias("pos"), x.source.alias("source"), x.text.alias("text"), x.getField("rank").alias("rank"))
+    resolved = let(parse(H.base_url("html", "url")), lambda b: F.transform(found, lambda x, i: link(x, i, b)))
+    resolved = F.filter(resolved, lambda x: x.url.isNotNull())
+    if not once:
+        return resolved
+    return let(F.array_sort(resolved), lambda a: F.filter(a, lambda x, i: (i == 0) | (x.url != F.get(a, i - 1).url)))
 
 
 def first_links(links: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The first link to each URL of each page: a partial minimum before the shuffle, no sort."""
+    """The first link to each URL of each page, of links that may lie anywhere: a partial minimum before the shuffle, no sort."""
     rest = [c for c in links.columns if c not in ("page_id", "url", "pos")]
     first = F.min(F.struct("pos", *rest)).alias("first")
     return links.groupBy("page_id", "url").agg(first).select("page_id", "url", "first.pos", *[f"first.{c}" for c in rest])
 
 
 def extract_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = (), sources: tuple[str, ...] | None = None) -> DataFrame:
-    """The first link of any source to each URL of each page (sources: the first of these)."""
-    return first_links(all_links(pages, options, extractors, keep, sources))
+    """The first link of any source to each URL of each page (sources: the first of these). A row is a page, so nothing is shuffled."""
+    return all_links(pages, options, extractors, keep, sources, once=True)
 
 
 def navigable(links: DataFrame) -> DataFrame:
@@ -120,11 +131,12 @@ def combine_metadata(results: list[DataFrame]) -> DataFrame:
 def enqueue_links(pages: DataFrame, strategy: str | None = None, same_domain_only: bool = True, query: str | None = None, max_depth: int | None = None, transform: Callable[[DataFrame], DataFrame] | None = None, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = ()) -> DataFrame:
     """Child links of fetched pages (page_id, url, html, depth, status): scoped, filtered, one level deeper.
 
-    One narrow plan up to the choice of each page's first link to a URL.
+    One narrow plan: nothing is shuffled.
     """
     deep = F.lit(True) if max_depth is None else F.col("depth") < max_depth
     parents = html_pages(pages).filter(F.col("status").between(200, 299) & deep)
-    links = all_links(parents, options, extractors, ("depth",))
+    links = all_links(parents, options, extractors, ("depth",), once=True)
+    # Both conditions look at nothing but the link's and the page's URL, so they hold for the first link or for none.
     links = links.filter(in_strategy("url", "page_url", strategy, same_domain_only) & matches_filter("url", query))
-    children = first_links(links).withColumn("depth", F.col("depth") + 1)
+    children = links.withColumn("depth", F.col("depth") + 1)
     return transform(children) if transform else children
