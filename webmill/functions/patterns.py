@@ -42,6 +42,10 @@ RESOURCES = ("script", "link", "image", "css")
 #: Beginnings of links that lead nowhere, as they are written.
 SKIPPED = ("javascript:", "mailto:", "tel:", "data:", "blob:", "#")
 
+# -- fixed values: robots files
+#: Signs of a robots pattern that stand for themselves.
+ROBOTS_LITERAL = r"([.+?^{}()|\[\]\\])"
+
 # -- fixed values: the filter language -------------------------------------------------------------------------
 #: A clause: namespace, field, operator, value.
 CLAUSE = r'(req|resp)\.(host|path|url|method)\.(eq|ne|cont|ncont|regex|nregex|like|nlike)\s*:\s*("(?:[^"\\]|\\.)*"|\S+)'

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webmill.functions.urls import path_and_query, trim_ws, url_host
+from webmill.functions.patterns import ROBOTS_LITERAL
+from webmill.functions.predicates import is_success
+from webmill.functions.urls import path_and_query, trim_ws, unique_key, url_host
+from webmill.sources.tables import fetch
 
 
 def directives(files: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def crawl_delays(files: DataFrame, user_agent: str) -> DataFrame:
 def pattern_regex(value: Column) -> Column:
     """A pattern as a regular expression: * is anything; one that ends in $ is bound at its end only, others at their
     beginning only."""
-    escaped = F.regexp_replace(F.regexp_replace(value, r"([.+?^{}()|\[\]\\])", r"\\$1"), r"\*", ".*")
+    escaped = F.regexp_replace(F.regexp_replace(value, ROBOTS_LITERAL, r"\\$1"), r"\*", ".*")
     inner = lambda x: F.regexp_replace(x, r"\$(?!\z)", r"\\z")
     bound = F.when(escaped.endswith("$"), F.concat(inner(F.regexp_replace(escaped, r"\$\z", "")), F.lit("\\z"))).otherwise(F.concat(F.lit("^"), inner(escaped)))
     return F.concat(F.lit("(?is)"), bound)
@@ -71,19 +74,60 @@ def specificity(value: Column) -> Column:
     return F.length(F.regexp_replace(value, r"\*", ""))
 
 
-def is_allowed(urls: DataFrame, files: DataFrame, user_agent: str, url_col: str = "url") -> DataFrame:
-    """urls with `allowed`. The longest matching pattern of the applicable rules decides, of equal ones the first, in
-    one rule disallow before allow. Rules that name us exclude those for *. Without a file, a match or a readable
-    file everything is allowed. URLs are judged once each, however often they occur.
+def _lower(text: Column) -> Column:
+    """In lower case as far as patterns look away from case: ASCII only."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
-    Rules meet URLs by host; a hot host's URLs may be split, as the join has an exchange on both sides.
+def index(files: DataFrame, user_agent: str) -> DataFrame:
+    """(host, prefix, literal, wild) of the rules that apply to us, by what a path that they match begins with.
+
+    literal: the verdict of the rules that ask for nothing more, the strongest of them; wild: pattern and verdict of each
+    that does. Verdicts are ordered: the longest pattern counts, of equal ones the first, in one rule disallow before
+    allow. Rules that name us exclude those for *. A host has no more rows than its file has rules.
     """
     found = rules(files.filter("fetch_ok") if "fetch_ok" in files.columns else files)
     found = found.withColumn("specific", F.col("user_agent") != "*").filter(~F.col("specific") | F.contains(F.lit(user_agent.lower()), F.col("user_agent")))
     best = found.groupBy("host").agg(F.max("specific").alias("best")).withColumnRenamed("host", "h")
-    found = found.join(best, (F.col("host") == F.col("h")) & (F.col("specific") == F.col("best"))).select("host", "rule_no", "allow", "pattern", "pattern_no", pattern_regex(F.col("pattern")).alias("re"), specificity(F.col("pattern")).alias("spec"))
-    distinct = urls.select(F.col(url_col).alias("_u")).filter("_u IS NOT NULL").distinct().select("_u", url_host("_u").alias("_h"), F.coalesce(path_and_query("_u"), F.col("_u")).alias("_p"))
-    met = distinct.join(found, (F.col("_h") == F.col("host")) & (F.col("pattern").isin("", "/") | F.rlike("_p", F.col("re"))))
-    order = F.struct(F.col("spec"), -F.col("rule_no"), (~F.col("allow")).cast("int"), -F.col("pattern_no"))
-    verdict = met.groupBy("_u").agg(F.max_by("allow", order).alias("_a"))
-    return urls.join(verdict, F.col(url_col) == F.col("_u"), "left").withColumn("allowed", F.coalesce("_a", F.lit(True))).drop("_u", "_a")
+    found = found.join(best, (F.col("host") == F.col("h")) & (F.col("specific") == F.col("best")))
+    value = F.col("pattern")
+    everything = value.isin("", "/")
+    literal = everything | ~value.rlike(r"[*$]")
+    prefix = F.when(everything | value.endswith("$"), "").otherwise(_lower(F.regexp_extract(value, r"(?s)^([^*$]*)", 1)))
+    verdict = F.struct(specificity(value).alias("spec"), (-F.col("rule_no")).alias("rule"), (~F.col("allow")).cast("int").alias("kind"), (-F.col("pattern_no")).alias("place"), "allow")
+    found = found.select("host", prefix.alias("prefix"), literal.alias("literal"), F.struct(pattern_regex(value).alias("re"), verdict.alias("verdict")).alias("rule"))
+    return found.groupBy("host", "prefix").agg(F.max(F.when(F.col("literal"), F.col("rule.verdict"))).alias("literal"), F.collect_list(F.when(~F.col("literal"), F.col("rule"))).alias("wild"))
+
+
+def is_allowed(urls: DataFrame, files: DataFrame, user_agent: str, url_col: str = "url") -> DataFrame:
+    """urls with `allowed`. Without a file, a matching rule or a readable file everything is allowed. URLs are judged once
+    each, however often they occur.
+
+    A path meets the rules that begin as it does: it is spread to its beginnings of those lengths that its host's rules
+    have, and these are join keys. Only rules with wildcards are searched for in it. The joins exchange both sides, so a
+    hot host's URLs may be split.
+    """
+    by_prefix = index(files, user_agent)
+    lengths = by_prefix.groupBy(F.col("host").alias("_k")).agg(F.collect_set(F.length("prefix")).alias("_n"))
+    path = F.coalesce(path_and_query("_u"), F.col("_u"))
+    distinct = urls.select(F.col(url_col).alias("_u")).filter("_u IS NOT NULL").distinct().select("_u", url_host("_u").alias("_h"), path.alias("_p"))
+    met = distinct.join(lengths, F.col("_h") == F.col("_k")).withColumn("_low", _lower(F.col("_p")))
+    met = met.select("_u", "_h", "_p", F.explode(F.transform(F.filter("_n", lambda n: n <= F.length("_p")), lambda n: F.substring(F.col("_low"), F.lit(1), n))).alias("_b"))
+    met = met.join(by_prefix, (F.col("_h") == F.col("host")) & (F.col("_b") == F.col("prefix")))
+    wild = F.transform(F.filter("wild", lambda w: F.rlike(F.col("_p"), w.re)), lambda w: w.verdict)
+    verdict = met.groupBy("_u").agg(F.max(F.array_max(F.concat(F.array("literal"), wild))).alias("_v"))
+    return urls.join(verdict, F.col(url_col) == F.col("_u"), "left").withColumn("allowed", F.coalesce("_v.allow", F.lit(True))).drop("_u", "_v")
+
+
+def look_up(hosts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(host, body, fetch_ok): the robots file of each of these distinct hosts as a corpus has it, at https."""
+    wanted = hosts.select("host", unique_key(F.concat(F.lit("https://"), F.col("host"), F.lit("/robots.txt"))).alias("unique_key"))
+    found = fetch(wanted, corpus)
+    ok = F.coalesce(is_success("status") & F.col("html").isNotNull(), F.lit(False))
+    return found.select("host", F.when(ok, F.col("html")).alias("body"), ok.alias("fetch_ok"))
+
+
+def new_hosts(urls: DataFrame, known: DataFrame | None, url_col: str = "url") -> DataFrame:
+    """(host): hosts of the URLs whose robots file was not looked up yet."""
+    hosts = urls.select(url_host(url_col).alias("host")).filter("host IS NOT NULL").distinct()
+    return hosts if known is None else hosts.join(known.select("host"), "host", "left_anti")

@@ -18,12 +18,16 @@ from webmill.functions.urls import url_host
 from webmill.operators import robots as R
 from webmill.operators.links import Extractor, enqueue_links
 from webmill.operators.queue import after_failure, make_requests, new_requests, next_requests, with_headers
-from webmill.sources.shared import keep
+from webmill.sources.shared import Rounds, keep, let_go
 from webmill.sources.tables import fetch
 
 Hook = Callable[[DataFrame], DataFrame]
 
 
+#: Settings that may be None.
+UNLIMITED = ("max_pages", "max_depth", "strategy", "query")
+
+
 @dataclass(frozen=True)
 class Config:
     """What a crawl may do. None: no limit."""
@@ -53,7 +57,8 @@ class Config:
             raise ValueError("out of bounds: agents 1 to 20, delay and depth 0 or more, pages 1 or more")
 
     def update(self, **changes) -> Config:
-        return replace(self, **{k: v for k, v in changes.items() if v is not None})
+        """With these changes. None lifts a limit; where a setting cannot be None it leaves it as it is."""
+        return replace(self, **{k: v for k, v in changes.items() if v is not None or k in UNLIMITED})
 
     @property
     def per_minute(self) -> int:
@@ -74,6 +79,8 @@ class Result:
     rounds: int
     #: What handlers made of responses, by label.
     records: dict[str, DataFrame] = field(default_factory=dict)
+    #: The robots files that were looked up: host, body, fetch_ok.
+    robots: DataFrame | None = None
 
 
 def crawl(
@@ -91,6 +98,7 @@ def crawl(
     session: DataFrame | None = None,
     go_on: Callable[[int, int], bool] | None = None,
     previous: Result | None = None,
+    at: str | None = None,
 ) -> Result:
     """Crawls from seeds (url) over a corpus (sources.tables.corpus).
 
@@ -102,57 +110,85 @@ def crawl(
     responses of the requests that the router gives their label, and make records of them. session: the sessions that
     requests may go with (the first usable one). go_on is asked before each round, with its number and the requests
     that wait: where it says no the crawl ends, and a later one may go on from its result as `previous`.
+
+    robots: robots files (host, body); without, each host's file is looked up in the corpus once, when its first
+    request comes. at: a folder for the crawl's tables. Each round is committed there, and a crawl of a folder that
+    has rounds goes on after the last of them, in whatever program or session; seeds and previous are then not read.
     """
     scoped = lambda d: d.filter(in_scope(url_host("url"), config.allow, config.deny)) if config.in_scope_only else d
     labelled = lambda d: d.withColumn("label", router.route("url", "label")) if router else d
-    start = labelled(scoped(make_requests(seeds, max_retries=config.max_retries)))
-    if previous is not None:
-        known = previous.requests.select("unique_key")
-        start = previous.requests.filter(F.col("state").isin("pending", "retrying")).unionByName(new_requests(start, known))
-    waiting = keep(start if previous is not None else new_requests(start, start.limit(0)), "waiting")
-    seen = known.unionByName(waiting.select("unique_key")) if previous is not None else waiting.select("unique_key")
-    done, responses, links, records = [], [], [], {label: [] for label in handlers or {}}
-    left, n = config.max_pages, 0
-    while True:
+    rounds = Rounds(corpus.sparkSession, at)
+    begun = rounds.last()
+    if begun is None:
+        _begin(rounds, labelled(scoped(make_requests(seeds, max_retries=config.max_retries))), previous, config.max_pages)
+        begun = rounds.last()
+    n, left = begun[0], begun[1]["left"]
+    waiting = rounds.one("waiting", n)
+    judged = config.respect_robots and robots is None
+    while left is None or left > 0:
         batch = waiting if left is None else next_requests(waiting, left)
         batch = with_headers(batch, config.headers, session)
         batch = keep(before(batch) if before else batch, "batch")
         size = batch.count()
         if not size or (go_on and not go_on(n + 1, size)):
+            let_go(batch)
             break
         n += 1
         rest = waiting.join(batch.select("id"), "id", "left_anti").select(*waiting.columns)
-        allowed = keep(R.is_allowed(batch, robots, config.user_agent) if config.respect_robots and robots is not None else batch.withColumn("allowed", F.lit(True)), "allowed")
+        files = robots
+        if judged:
+            rounds.put("robots", R.look_up(R.new_hosts(batch, rounds.all("robots", n - 1)), corpus), n)
+            files = rounds.all("robots", n)
+        allowed = keep(R.is_allowed(batch, files, config.user_agent) if config.respect_robots else batch.withColumn("allowed", F.lit(True)), "allowed")
         got = fetch(allowed.filter("allowed"), corpus)
         got = keep((after(got) if after else got).withColumn("round", F.lit(n)), "responses")
         retry = should_retry("status") & F.col("no_retry").eqNullSafe(False) & (F.col("retry_count") < F.col("max_retries"))
         moved = after_failure(got.withColumn("state", F.lit("completed")), retry, 2 if config.double_retry else 1).select(*waiting.columns)
         moved = keep(moved, "moved")
         blocked = allowed.filter("NOT allowed").withColumn("state", F.lit("blocked")).select(*waiting.columns)
-        again = moved.filter("state = 'retrying'")
-        done += [moved.filter("state <> 'retrying'"), blocked]
-        responses.append(got.select("id", "url", "unique_key", "status", "content_type", "duration_ms", "depth", "round"))
+        rounds.put("done", moved.filter("state <> 'retrying'").unionByName(blocked), n)
+        rounds.put("responses", got.select(*_columns(RESPONSES)), n)
         if failed:
             failed(moved.filter("state = 'failed'"))
         for label, handle in (handlers or {}).items():
-            records[label].append(keep(handle(got.filter(F.col("label") == label)), "records"))
+            rounds.put(f"records-{label}", handle(got.filter(F.col("label") == label)), n)
         pages = got.filter(is_success("status") & F.col("html").isNotNull()).select(F.col("id").alias("page_id"), "url", "html", "depth", "status", "content_type")
-        found = keep(enqueue_links(pages, config.strategy, config.same_domain_only, config.query, config.max_depth, None, config.options, extractors), "links")
-        links.append(found)
+        found = enqueue_links(pages, config.strategy, config.same_domain_only, config.query, config.max_depth, None, config.options, extractors)
+        found = rounds.put("links", found.select(*_columns(LINKS)), n)
         children = found.select("url", "depth", F.col("page_id").alias("parent_id"), (F.lit(n) * F.lit(1 << 40) + F.col("rank") * F.lit(1 << 20) + F.col("pos")).cast("long").alias("seq"))
         children = labelled(scoped(make_requests(children, max_retries=config.max_retries)))
         if transform:
             children = transform(children)
-        fresh = keep(new_requests(children, seen), "fresh")
-        seen = keep(seen.unionByName(fresh.select("unique_key")), "seen") if n % 8 == 0 else seen.unionByName(fresh.select("unique_key"))
-        waiting = keep(rest.unionByName(again).unionByName(fresh), "waiting")
-        if left is not None:
-            left -= size - blocked.count()
-            if left <= 0:
-                break
-    spark = seeds.sparkSession
-    union = lambda parts, empty: empty if not parts else parts[0] if len(parts) == 1 else union(parts[:-1], empty).unionByName(parts[-1])
-    requests = union([*([previous.requests.filter(~F.col("state").isin("pending", "retrying"))] if previous is not None else []), *done, waiting], waiting)
-    no_responses = spark.createDataFrame([], "id long, url string, unique_key string, status int, content_type string, duration_ms long, depth int, round int")
-    no_links = spark.createDataFrame([], "page_id long, url string, pos int, page_url string, depth int, source string, text string, rank int")
-    return Result(requests, union(responses, no_responses), union(links, no_links), n, {label: union(parts, no_responses) for label, parts in records.items()})
+        fresh = keep(new_requests(children, rounds.all("seen", n - 1)), "fresh")
+        rounds.put("seen", fresh.select("unique_key"), n)
+        waiting = rounds.put("waiting", rest.unionByName(moved.filter("state = 'retrying'")).unionByName(fresh), n)
+        left = None if left is None else left - (size - allowed.filter("NOT allowed").count())
+        rounds.commit(n, left=left)
+        let_go(batch, allowed, got, moved, fresh)
+    records = {label: rounds.all(f"records-{label}", n) for label in handlers or {} if rounds.has(f"records-{label}")}
+    return Result(rounds.all("done", n).unionByName(waiting), rounds.all("responses", n), rounds.all("links", n), n, records, rounds.all("robots", n))
+
+
+RESPONSES = "id long, url string, unique_key string, status int, content_type string, duration_ms long, depth int, round int"
+LINKS = "page_id long, url string, pos int, page_url string, depth int, source string, text string, rank int"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _begin(rounds: Rounds, start: DataFrame, previous: Result | None, left: int | None) -> None:
+    """Round 0: what waits, what was seen, and empty tables."""
+    spark = start.sparkSession
+    if previous is None:
+        waiting, done = new_requests(start, start.limit(0)), start.limit(0)
+    else:
+        over = ~F.col("state").isin("pending", "retrying")
+        done = previous.requests.filter(over)
+        waiting = previous.requests.filter(~over).unionByName(new_requests(start, previous.requests.select("unique_key")))
+    waiting = rounds.put("waiting", waiting, 0)
+    rounds.put("done", done, 0)
+    rounds.put("seen", done.select("unique_key").unionByName(waiting.select("unique_key")), 0)
+    for name, schema in (("responses", RESPONSES), ("links", LINKS), ("robots", "host string, body string, fetch_ok boolean")):
+        rounds.put(name, spark.createDataFrame([], schema), 0)
+    rounds.commit(0, left=left)

@@ -60,6 +60,32 @@ class Store:
         df.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("append").parquet(self._place())
 
 
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(self._place())
+        return jvm.org.apache.hadoop.fs.Path, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def files(self) -> list[str]:
+        """Names of the table's files."""
+        _, fs, place = self._fs()
+        return sorted(f.getPath().toString() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")) if fs.exists(place) else []
+
+    def replace(self, df: DataFrame) -> None:
+        """Puts df, which may come from this table, in place of the files that are there now. Rows that others append
+        meanwhile stay. Whoever reads between the two steps sees rows twice, and never too few."""
+        old = self.files()
+        self.append(df)
+        path, fs, _ = self._fs()
+        for name in old:
+            fs.delete(path(name), False)
+
+    def compact(self) -> None:
+        """The same rows in one file."""
+        old = self.files()
+        if len(old) > 1:
+            self.replace(self.spark.read.schema(self.schema).parquet(*old).coalesce(1))
+
+
 def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
