@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webmill.functions.cookies import all_headers
 from webmill.functions.urls import let, unique_key, url_domain
+from webmill.operators.places import places
 from webmill.operators.sessions import pick
 
 STATES = ("pending", "processing", "completed", "failed", "retrying", "blocked")
@@ -66,7 +67,7 @@ def new_requests(candidates: DataFrame, visited: DataFrame, max_size: int | None
     if max_size is None:
         return fresh
     room = max(0, max_size - visited.select("unique_key").distinct().count())
-    return fresh.orderBy("seq", "unique_key").limit(room)
+    return first_in_order(fresh, [F.asc("seq"), F.asc("unique_key")], room)
 
 
 def accepted(candidates: DataFrame, visited: DataFrame, max_size: int | None = None) -> int:
@@ -80,13 +81,19 @@ def queue_order() -> list[Column]:
 
 
 def next_requests(requests: DataFrame, n: int) -> DataFrame:
-    """The next n of the queue: each task offers its first n, so no sort of all."""
-    return requests.filter(F.col("state").isin("pending", "retrying")).orderBy(*queue_order()).limit(n)
+    """The next n of the queue."""
+    return first_in_order(requests.filter(F.col("state").isin("pending", "retrying")), queue_order(), n)
+
+
+def first_in_order(rows: DataFrame, order: list[Column], n: int, few: int = 1_000) -> DataFrame:
+    """The first n rows. A few are what each task offers as its first, put in order by one; more are told by their places, which
+    ranges of the order are counted for, so that no task takes n rows."""
+    return rows.orderBy(*order).limit(n) if n <= few else places(rows, order, name="_place").filter(F.col("_place") <= n).drop("_place")
 
 
 def positions(requests: DataFrame, partition: str, *order: Column) -> DataFrame:
-    """Place of each request in the queue of its partition (a host, a job)."""
-    return requests.withColumn("place", F.row_number().over(Window.partitionBy(partition).orderBy(*(order or queue_order()))))
+    """Place of each request in the queue of its partition (a host, a job), however many it has."""
+    return places(requests, list(order or queue_order()), [partition])
 
 
 def after_failure(requests: DataFrame, failed: Column, step: int = 1) -> DataFrame:

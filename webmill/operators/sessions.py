@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webmill.functions.cookies import is_expired
 from webmill.functions.patterns import MAX_SESSION_AGE_MS, MAX_SESSIONS, SESSION_BLOCK_SCORE
+from webmill.operators.places import places
+
+#: Outcomes of one session that a window takes at once.
+STRETCH = 8_192
 
 
 def expired(now: Column) -> Column:
@@ -25,17 +29,24 @@ def health(outcomes: DataFrame, key: str = "session_id", order: str = "seq", ok:
     """(key, usage_count, error_score, is_blocked) after outcomes in order: an error adds its weight, a success takes its
     own away down to 0; at SESSION_BLOCK_SCORE or retire_at, whichever is less, the session is blocked for good.
 
-    The score is a sum with a floor, so its value is the running sum less its least value so far (or 0): two window
-    passes, and no list of a session's outcomes is ever held.
+    The score is a sum with a floor, so its value is the running sum less its least value so far (or 0). Outcomes are put
+    in order by ranges, and sums and least values are worked out over stretches of them and carried on from stretch to
+    stretch: a window holds one stretch, or a row for each.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = outcomes.withColumn("_s", F.sum(F.when(F.col(ok), -success_weight).otherwise(error_weight)).over(w))
+    step = F.when(F.col(ok), -success_weight).otherwise(error_weight)
+    rows = places(outcomes.select(F.col(key).alias("_k"), F.col(order).alias("_o"), step.alias("_step"), F.col(ok).alias("_ok")), [F.asc("_o")], ["_k"], "_n")
+    rows = rows.withColumn("_c", F.floor((F.col("_n") - 1) / STRETCH))
+    within = Window.partitionBy("_k", "_c").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_s", F.sum("_step").over(within)).withColumn("_low", F.min("_s").over(within))
+    earlier = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("_k", "_c").agg(F.sum("_step").alias("_sum"), F.min("_s").alias("_least")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    carried = carried.withColumn("_low_before", F.coalesce(F.min(F.col("_before") + F.col("_least")).over(earlier), F.lit(0.0)))
+    carried = carried.select(F.col("_k").alias("_k2"), F.col("_c").alias("_c2"), "_before", "_low_before")
+    rows = rows.join(carried, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_c") == F.col("_c2")))
     # The floor is met at successes only; between them errors add up.
-    rows = rows.withColumn("_score", F.col("_s") - F.least(F.min("_s").over(w), F.lit(0.0)))
-    blocked = ~F.col(ok) & (F.col("_score") >= min(SESSION_BLOCK_SCORE, retire_at))
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("usage_count"), F.max_by("_score", order).alias("error_score"), F.max(blocked).alias("is_blocked"))
+    rows = rows.withColumn("_score", F.col("_before") + F.col("_s") - F.least("_low_before", F.col("_before") + F.col("_low"), F.lit(0.0)))
+    blocked = ~F.col("_ok") & (F.col("_score") >= min(SESSION_BLOCK_SCORE, retire_at))
+    return rows.groupBy(F.col("_k").alias(key)).agg(F.count(F.lit(1)).alias("usage_count"), F.max_by("_score", "_n").alias("error_score"), F.max(blocked).alias("is_blocked"))
 
 
 def clean_up(sessions: DataFrame, now: Column, max_age_ms: int = MAX_SESSION_AGE_MS) -> DataFrame:

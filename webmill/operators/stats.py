@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webmill.functions.patterns import LOG_LINES, RATE_WINDOW_MS
+from webmill.operators.places import places
 
 
 def response_stats(responses: DataFrame, duration: str = "duration_ms") -> DataFrame:
@@ -82,27 +83,46 @@ def session_pool_stats(sessions: DataFrame, usable: Column) -> DataFrame:
 
 
 def trailing_counts(requests: DataFrame, key: str, ts_ms: str, windows: tuple[int, ...] = (1000, RATE_WINDOW_MS)) -> DataFrame:
-    """requests with in_<ms> for each window: requests of the same key in the last so many ms, both ends included."""
-    w = Window.partitionBy(key).orderBy(ts_ms)
-    return requests.withColumns({f"in_{ms}": F.count(F.lit(1)).over(w.rangeBetween(-ms, 0)) for ms in windows})
+    """requests with in_<ms> for each window: requests of the same key in the last so many ms, both ends included.
 
-
-def rate_check(requests: DataFrame, limits: DataFrame, key: str = "domain", ts_ms: str = "ts_ms", seq: str = "seq", window_ms: int = RATE_WINDOW_MS) -> DataFrame:
+    Requests are counted by key and millisecond first. These counts go to the stretch of time, as long as the window, that
+    they lie in, and to the next, so a window has all it needs in one stretch: a task takes stretches, not keys, and a
+    stretch has two rows for each of its milliseconds at most.
+    """
+    t = F.col("_t")
+    counts = requests.groupBy(F.col(key).alias("_k"), F.col(ts_ms).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    for ms in windows:
+        here = F.floor(t / ms)
+        both = F.array(F.struct(here.alias("s"), F.lit(True).alias("own")), F.struct((here + 1).alias("s"), F.lit(False).alias("own")))
+        spread = counts.select("*", F.explode(F.when(t.isNull(), F.slice(both, 1, 1)).otherwise(both)).alias("_b"))
+        last = Window.partitionBy("_k", "_b.s").orderBy("_t").rangeBetween(-ms, 0)
+        counts = spread.withColumn(f"in_{ms}", F.sum("_n").over(last)).filter("_b.own").drop("_b")
+    return requests.join(counts, F.col(key).eqNullSafe(F.col("_k")) & F.col(ts_ms).eqNullSafe(t)).drop("_k", "_t", "_n")
+
+
+def rate_check(requests: DataFrame, limits: DataFrame, key: str = "domain", ts_ms: str = "ts_ms", seq: str = "seq", window_ms: int = RATE_WINDOW_MS, shortest_ms: int = 0, longest_ms: int | None = None) -> DataFrame:
     """requests with in_window (of their key, in the last window, both ends included), over (more than the limit), and
-    wait_ms: how long a request that is over would have to wait until fewer than the limit lie within the window.
+    wait_ms: how long a request that is over would have to wait until fewer than the limit lie within the window, no
+    shorter than shortest_ms and no longer than longest_ms.
 
-    limits: (key, per_window); keys without a limit are never over. Ties of time go by seq.
+    limits: (key, per_window); keys without a limit are never over. Ties of time go by seq. Places and counts are had
+    by ranges and stretches of time, so one key's requests are dealt to many tasks.
     """
-    order = Window.partitionBy(key).orderBy(ts_ms, seq)
-    counted = requests.withColumns({"in_window": F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(ts_ms).rangeBetween(-window_ms, 0)), "_n": F.row_number().over(order)})
+    counted = places(trailing_counts(requests, key, ts_ms, (window_ms,)).withColumnRenamed(f"in_{window_ms}", "in_window"), [F.asc(ts_ms), F.asc(seq)], [key], "_n")
     counted = counted.join(limits.select(F.col(key).alias("_k"), "per_window"), F.col(key) == F.col("_k"), "left").drop("_k")
     earlier = counted.select(F.col(key).alias("_k"), F.col("_n").alias("_m"), F.col(ts_ms).alias("_t"))
     met = counted.join(earlier, (F.col(key) == F.col("_k")) & (F.col("_n") - F.col("per_window") == F.col("_m")), "left")
     over = F.coalesce(F.col("in_window") > F.col("per_window"), F.lit(False))
-    wait = F.when(over, F.greatest(F.lit(0), F.col("_t") + window_ms + 1 - F.col(ts_ms))).otherwise(0).cast("long")
+    wait = F.greatest(F.lit(shortest_ms), F.col("_t") + window_ms + 1 - F.col(ts_ms))
+    wait = F.when(over, wait if longest_ms is None else F.least(wait, F.lit(longest_ms))).otherwise(0).cast("long")
     return met.withColumns({"over": over, "wait_ms": wait}).drop("_k", "_m", "_t", "_n")
 
 
+def limiter_stats(checked: DataFrame, key: str = "domain") -> DataFrame:
+    """A row for each key of rate_check()'s rows: requests, how many were over, the fullest window, the longest and mean wait."""
+    return checked.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("over").alias("n_over"), F.max("in_window").alias("fullest"), F.max("wait_ms").alias("longest_wait_ms"), F.avg("wait_ms").alias("mean_wait_ms"))
+
+
 def last_lines(logs: DataFrame, most: int = LOG_LINES, agent_id: int | None = None) -> DataFrame:
     """The last lines of each job; an agent's are chosen from those, so there may be fewer."""
     w = Window.partitionBy("job_id").orderBy(F.desc("ts"), F.desc("seq"))
