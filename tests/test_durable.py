@@ -162,3 +162,57 @@ def test_prefix_index_agrees_with_every_rule(spark):
     by_host = {f[0]: f[2] for f in files}
     assert got == {u: verdict(u, by_host[u.split("/")[2]]) for u in set(urls)}
     assert len(set(got.values())) == 2
+
+
+def test_errors_of_a_fetch_are_tried_again(spark):
+    from webmill.plans.crawl import events
+
+    rows = [(1, "https://a.org/", a("/x", "/ok"), None), (2, "https://a.org/x", a("/never"), "timed out"), (3, "https://a.org/ok", "", None)]
+    corpus = tables.corpus(spark.createDataFrame(rows, "page_id long, url string, html string, error string"))
+    sent = []
+
+    def look(batch):
+        sent.extend(r.headers for r in batch.select("headers").collect())
+        return batch
+
+    r = crawl(spark.createDataFrame([("https://a.org/",)], "url string"), corpus, Config(max_retries=2, respect_robots=False, user_agent="me"), before=look)
+    assert {x.url[14:]: (x.state, x.retry_count) for x in r.requests.collect()} == {"": ("completed", 0), "x": ("failed", 2), "ok": ("completed", 0)}
+    assert sent[0] == {"User-Agent": "me"}
+    seen = sorted((e.type, e.url[14:], e.detail) for e in events(r).filter("type in ('request:error', 'request:retried', 'request:failed', 'links:found')").collect() if e.url)
+    assert seen == [("links:found", "", "2"), ("request:error", "x", "timed out"), ("request:error", "x", "timed out"), ("request:failed", "x", None), ("request:retried", "x", "1")]
+
+
+def test_seen_hosts_are_listed_and_forgotten(spark, tmp_path):
+    from webmill.streaming import live
+
+    schema = "host string, port int, tls boolean, path string, in_scope boolean"
+    src, seen, started = str(tmp_path / "in"), live.SeenHosts(spark, str(tmp_path / "seen")), []
+    none = spark.createDataFrame([], "host string")
+
+    def batch(*rows, **more):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        live.watch(stream, more.get("active", lambda: none), more.get("start", started.append), more.get("at", str(tmp_path / "ck")), seen, query="req.url.ncont:zzz", enabled=lambda: more.get("enabled", True)).awaitTermination(120)
+
+    batch(("a.org", 443, True, "/", True), ("a.org", 443, True, "/x", True), ("js.org", 443, True, "/x.js", True), ("out.org", 443, True, "/", False), ("zzz.org", 443, True, "/", True), ("busy.org", 443, True, "/", True), active=lambda: spark.createDataFrame([("busy.org",)], "host string"))
+    assert started == ["https://a.org"] and sorted(r.host for r in seen.list().collect()) == ["a.org", "busy.org", "zzz.org"]
+    batch(("a.org", 443, True, "/", True), ("busy.org", 443, True, "/", True), ("off.org", 443, True, "/", True), enabled=False)
+    assert started == ["https://a.org"] and not seen.has("off.org")
+    seen.clear("a.org")
+    seen.add("new.org")
+    batch(("a.org", 443, True, "/", True), ("busy.org", 443, True, "/", True), ("new.org", 443, True, "/", True))
+    assert started == ["https://a.org"] * 2
+    seen.clear()
+    assert seen.list().isEmpty()
+
+    def dies(url):
+        started.append(url)
+        if url.endswith("q.org"):
+            raise RuntimeError("lost")
+
+    try:
+        batch(("p.org", 443, True, "/", True), ("q.org", 443, True, "/", True), start=dies)
+    except Exception:  # noqa: BLE001
+        pass
+    batch(("p.org", 443, True, "/y", True))  # the batch is given again: p.org was started, q.org was not
+    assert started[2:] == ["https://p.org", "https://q.org", "https://q.org"]

@@ -79,3 +79,19 @@ def test_enqueue_links_filters_scopes_and_deepens(spark):
     assert urls(query="req.host.ne:h.org") == {("https://sub.h.org/b", 2)}
     assert L.enqueue_links(p.withColumn("status", F.lit(404))).count() == 0
     assert L.enqueue_links(p, transform=lambda d: d.limit(1)).count() == 1
+
+
+def test_all_that_a_page_holds_at_once(spark):
+    p = pages(spark, PAGE, '<a href="x">t</a> a@b.org')
+    got = L.extract(p)
+    same = lambda one, two: sorted(map(repr, one.select(*sorted(one.columns)).collect())) == sorted(map(repr, two.select(*sorted(two.columns)).collect()))
+    assert same(got.links, L.extract_links(p)) and same(got.forms, L.extract_forms(p)) and same(got.emails, L.extract_emails(p)) and same(got.metadata, L.extract_metadata(p))
+    assert L.extract(p, Options(forms=False, emails=False, metadata=False)).forms is None
+
+
+def test_results_of_extractors_are_combined(spark):
+    one, two = pages(spark, PAGE), pages(spark, '<form action="/second"></form> x@y.zz late@z.org').withColumn("page_id", F.lit(0))
+    forms = L.combine_forms([L.extract_forms(one), L.extract_forms(two)]).orderBy("form_no").collect()
+    assert [(f.form_no, f.action) for f in forms] == [(0, "https://h.org/go"), (1, "https://h.org/second")]
+    emails = L.combine_emails([L.extract_emails(one), L.extract_emails(two)]).orderBy("n").collect()
+    assert [(e.n, e.email) for e in emails] == [(0, "x@y.zz"), (1, "foo.bar@example.com"), (2, "x@y.org"), (3, "late@z.org")]

@@ -5,26 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webmill.functions import html as H
 from webmill.functions import patterns as P
 from webmill.functions.predicates import in_strategy, is_html, matches_filter
 from webmill.functions.urls import built_once, let, normalize_with, parse
+from webmill.sources.shared import keep
 
 #: A further extractor: HTML and page URL to an array of struct(rank, raw, source, text).
 Extractor = Callable[[Column, Column], Column]
 
 
-def all_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = (), sources: tuple[str, ...] | None = None, once: bool = False) -> DataFrame:
+def all_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), carry: tuple[str, ...] = (), sources: tuple[str, ...] | None = None, once: bool = False) -> DataFrame:
     """(page_id, page_url, url, source, text, rank, pos) of every link, resolved; those that lead nowhere left out. once: the
     first link to each URL of a page only.
 
     sources: only links of these. Each link is resolved once, within its page's array, before the array is spread.
     """
-    rows = pages.select("page_id", F.col("url").alias("page_url"), *keep, F.explode(_resolved(options, extractors, sources, once)).alias("link"))
-    return rows.select("page_id", "page_url", *keep, "link.url", "link.source", "link.text", "link.rank", "link.pos")
+    rows = pages.select("page_id", F.col("url").alias("page_url"), *carry, F.explode(_resolved(options, extractors, sources, once)).alias("link"))
+    return rows.select("page_id", "page_url", *carry, "link.url", "link.source", "link.text", "link.rank", "link.pos")
 
 
 @built_once
@@ -42,16 +43,16 @@ def _resolved(options: H.Options, extractors: tuple[Extractor, ...], sources: tu
     return let(F.array_sort(resolved), lambda a: F.filter(a, lambda x, i: (i == 0) | (x.url != F.get(a, i - 1).url)))
 
 
-def first_links(links: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def first_links(links: DataFrame) -> DataFrame:
     """The first link to each URL of each page, of links that may lie anywhere: a partial minimum before the shuffle, no sort."""
     rest = [c for c in links.columns if c not in ("page_id", "url", "pos")]
     first = F.min(F.struct("pos", *rest)).alias("first")
     return links.groupBy("page_id", "url").agg(first).select("page_id", "url", "first.pos", *[f"first.{c}" for c in rest])
 
 
-def extract_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), keep: tuple[str, ...] = (), sources: tuple[str, ...] | None = None) -> DataFrame:
+def extract_links(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = (), carry: tuple[str, ...] = (), sources: tuple[str, ...] | None = None) -> DataFrame:
     """The first link of any source to each URL of each page (sources: the first of these). A row is a page, so nothing is shuffled."""
-    return all_links(pages, options, extractors, keep, sources, once=True)
+    return all_links(pages, options, extractors, carry, sources, once=True)
 
 
 def navigable(links: DataFrame) -> DataFrame:
@@ -95,14 +96,18 @@ class Extracted:
 
 
 def extract(pages: DataFrame, options: H.Options = H.Options(), extractors: tuple[Extractor, ...] = ()) -> Extracted:
-    """All of html_pages(pages) at once; options turn forms, e-mail addresses and metadata off."""
-    pages = html_pages(pages)
-    return Extracted(
-        extract_links(pages, options, extractors),
-        extract_forms(pages) if options.forms else None,
-        extract_emails(pages) if options.emails else None,
-        extract_metadata(pages) if options.metadata else None,
-    )
+    """All of html_pages(pages) at once; options turn forms, e-mail addresses and metadata off. Pages are read and searched
+    once: what they hold is written as a table, of which each part reads its own columns."""
+    base = H.base_url("html", "url")
+    held = [_resolved(options, extractors, None, True).alias("links")]
+    held += [H.forms("html", base).alias("forms")] if options.forms else []
+    held += [H.emails("html").alias("emails")] if options.emails else []
+    held += [H.metadata("html").alias("metadata")] if options.metadata else []
+    table = keep(html_pages(pages).select("page_id", F.col("url").alias("page_url"), *held), "extracted")
+    links = table.select("page_id", "page_url", F.explode("links").alias("link")).select("page_id", "page_url", "link.url", "link.source", "link.text", "link.rank", "link.pos")
+    forms = table.select("page_id", F.posexplode("forms").alias("form_no", "form")).select("page_id", "form_no", "form.action", "form.method", "form.id", "form.name", "form.inputs") if options.forms else None
+    emails = table.select("page_id", F.posexplode("emails").alias("n", "email")).select("page_id", "email", "n") if options.emails else None
+    return Extracted(links, forms, emails, table.select("page_id", "metadata.*") if options.metadata else None)
 
 
 def html_pages(pages: DataFrame) -> DataFrame:
@@ -119,6 +124,25 @@ def combine(results: list[DataFrame]) -> DataFrame:
     return first_links(out)
 
 
+def combine_forms(results: list[DataFrame]) -> DataFrame:
+    """Forms of several extractors, all of the first before all of the second, numbered anew within their page."""
+    out = results[0].withColumn("_o", F.lit(0))
+    for i, r in enumerate(results[1:], 1):
+        out = out.unionByName(r.withColumn("_o", F.lit(i)))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("_o", "form_no")) - 1
+    return out.withColumn("form_no", place).drop("_o")
+
+
+def combine_emails(results: list[DataFrame]) -> DataFrame:
+    """(id, email, n) of several extractors: each address of a text once, where it comes first."""
+    id_col = results[0].columns[0]
+    out = results[0].withColumn("_o", F.lit(0))
+    for i, r in enumerate(results[1:], 1):
+        out = out.unionByName(r.withColumn("_o", F.lit(i)))
+    first = out.groupBy(id_col, "email").agg(F.min(F.struct("_o", "n")).alias("f"))
+    return first.select(id_col, "email", (F.row_number().over(Window.partitionBy(id_col).orderBy("f")) - 1).alias("n"))
+
+
 def combine_metadata(results: list[DataFrame]) -> DataFrame:
     """Later extractors' metadata overrides earlier ones', field by field."""
     fields = [c for c in results[0].columns if c != "page_id"]

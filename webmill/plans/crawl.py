@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webmill.functions import html as H
@@ -104,7 +104,8 @@ def crawl(
 
     Requests are taken in the queue's order, no more in all than max_pages; robots-disallowed ones are `blocked` and
     count for nothing. A status that asks for a retry sends the request back; out of retries it counts as completed
-    if it was so from the start, else as failed. Links of successful HTML pages, and what extractors find in them,
+    if it was so from the start, else as failed. A fetch with an error (corpus column `error`) sends the request back
+    too, and fails it when it is out of retries. Links of successful HTML pages, and what extractors find in them,
     become requests one level deeper. before and after change requests before, and responses after the fetch;
     transform changes or drops new requests; failed gets the requests that failed for good. handlers take the
     responses of the requests that the router gives their label, and make records of them. session: the sessions that
@@ -127,7 +128,7 @@ def crawl(
     judged = config.respect_robots and robots is None
     while left is None or left > 0:
         batch = waiting if left is None else next_requests(waiting, left)
-        batch = with_headers(batch, config.headers, session)
+        batch = with_headers(batch, {"User-Agent": config.user_agent} | config.headers, session)
         batch = keep(before(batch) if before else batch, "batch")
         size = batch.count()
         if not size or (go_on and not go_on(n + 1, size)):
@@ -142,8 +143,10 @@ def crawl(
         allowed = keep(R.is_allowed(batch, files, config.user_agent) if config.respect_robots else batch.withColumn("allowed", F.lit(True)), "allowed")
         got = fetch(allowed.filter("allowed"), corpus)
         got = keep((after(got) if after else got).withColumn("round", F.lit(n)), "responses")
-        retry = should_retry("status") & F.col("no_retry").eqNullSafe(False) & (F.col("retry_count") < F.col("max_retries"))
-        moved = after_failure(got.withColumn("state", F.lit("completed")), retry, 2 if config.double_retry else 1).select(*waiting.columns)
+        broken = F.col("error").isNotNull()
+        retry = ~broken & should_retry("status") & F.col("no_retry").eqNullSafe(False) & (F.col("retry_count") < F.col("max_retries"))
+        moved = after_failure(got.withColumn("state", F.lit("completed")), retry, 2 if config.double_retry else 1)
+        moved = after_failure(moved, broken).select(*waiting.columns)
         moved = keep(moved, "moved")
         blocked = allowed.filter("NOT allowed").withColumn("state", F.lit("blocked")).select(*waiting.columns)
         rounds.put("done", moved.filter("state <> 'retrying'").unionByName(blocked), n)
@@ -152,7 +155,7 @@ def crawl(
             failed(moved.filter("state = 'failed'"))
         for label, handle in (handlers or {}).items():
             rounds.put(f"records-{label}", handle(got.filter(F.col("label") == label)), n)
-        pages = got.filter(is_success("status") & F.col("html").isNotNull()).select(F.col("id").alias("page_id"), "url", "html", "depth", "status", "content_type")
+        pages = got.filter(~broken & is_success("status") & F.col("html").isNotNull()).select(F.col("id").alias("page_id"), "url", "html", "depth", "status", "content_type")
         found = enqueue_links(pages, config.strategy, config.same_domain_only, config.query, config.max_depth, None, config.options, extractors)
         found = rounds.put("links", found.select(*_columns(LINKS)), n)
         children = found.select("url", "depth", F.col("page_id").alias("parent_id"), (F.lit(n) * F.lit(1 << 40) + F.col("rank") * F.lit(1 << 20) + F.col("pos")).cast("long").alias("seq"))
@@ -169,7 +172,7 @@ def crawl(
     return Result(rounds.all("done", n).unionByName(waiting), rounds.all("responses", n), rounds.all("links", n), n, records, rounds.all("robots", n))
 
 
-RESPONSES = "id long, url string, unique_key string, status int, content_type string, duration_ms long, depth int, round int"
+RESPONSES = "id long, url string, unique_key string, status int, content_type string, duration_ms long, depth int, round int, error string"
 LINKS = "page_id long, url string, pos int, page_url string, depth int, source string, text string, rank int"
 
 
@@ -192,3 +195,19 @@ def _begin(rounds: Rounds, start: DataFrame, previous: Result | None, left: int
     for name, schema in (("responses", RESPONSES), ("links", LINKS), ("robots", "host string, body string, fetch_ok boolean")):
         rounds.put(name, spark.createDataFrame([], schema), 0)
     rounds.commit(0, left=left)
+
+
+def events(result: Result) -> DataFrame:
+    """(type, round, url, detail) of what a crawl's requests went through, told from its tables: request:completed,
+    request:failed and request:blocked once for each request, request:started and request:retried for each attempt and each
+    further one, response:received with its status, request:error with the error, links:found with their number."""
+    tries = result.responses.select("url", "round", "status", "error", F.row_number().over(Window.partitionBy("unique_key").orderBy("round")).alias("n"))
+    last = result.responses.groupBy("unique_key").agg(F.max("round").alias("round"))
+    ended = result.requests.filter(F.col("state").isin("completed", "failed", "blocked")).join(last, "unique_key", "left")
+    counts = result.links.groupBy("page_url").agg(F.count(F.lit(1)).cast("string").alias("n"), F.max("depth").alias("d"))
+    row = lambda kind, detail: F.struct(F.lit(kind).alias("type"), "round", "url", detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    of_try = F.array(row("request:started", F.col("n").cast("string")), F.when(F.col("n") > 1, row("request:retried", (F.col("n") - 1).cast("string"))), F.when(F.col("error").isNull(), row("response:received", F.col("status").cast("string"))), F.when(F.col("error").isNotNull(), row("request:error", F.col("error"))))
+    out = tries.select(F.explode(F.array_compact(of_try)).alias("e")).select("e.*")
+    out = out.unionByName(ended.select(F.concat(F.lit("request:"), F.col("state")).alias("type"), "round", "url", none.alias("detail")))
+    return out.unionByName(counts.select(F.lit("links:found").alias("type"), F.lit(None).cast("int").alias("round"), F.col("page_url").alias("url"), F.col("n").alias("detail")))

@@ -13,6 +13,7 @@ from webmill.functions import cookies as K
 from webmill.operators import links, queue, robots, sessions, stats
 from webmill.plans import jobs
 from webmill.plans.crawl import Config, crawl
+from webmill.plans.crawl import events as crawl_events
 from webmill.sources import tables
 
 QUERIES: dict = {}
@@ -694,3 +695,88 @@ def f10_display_name(spark, d):
 def t14_autoscaled(spark, d):
     k = F.col("o_orderkey") % 3
     return _read(spark, d, "orders").select("o_orderkey", stats.autoscaled(F.lit(10), stats.queue_load(F.when(k == 0, 30.0).otherwise(5.0), F.lit(10)), F.when(k == 1, 0.4).otherwise(0.95), F.lit(100.0)).alias("agents"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(split_part(url, '#', 1), '^https?://[^/?#]+(.*)$', 1) AS path FROM pages),
+h AS (SELECT host, min(page_id) AS m, min(regexp_extract(path, '^/[^/?]*')) AS top FROM p GROUP BY host)
+SELECT page_id, CASE m % 4
+  WHEN 0 THEN NOT starts_with(lower(path), lower(top)) OR (starts_with(lower(path), lower(top) || '/') AND contains(substr(path, length(top) + 2), '5'))
+  WHEN 1 THEN NOT contains(path, '?')
+  WHEN 2 THEN NOT (ends_with(lower(path), '.html') OR starts_with(lower(path), lower(top) || '/9'))
+  ELSE true END AS allowed
+FROM p JOIN h ON p.host = h.host
+""")
+def r9_robots_by_host(spark, d):
+    """Hosts with files of their own: a longer pattern with * that allows, an agent's own group before that for *, patterns that end in $."""
+    pages = _read(spark, d, "pages").select("page_id", "url")
+    hosts = pages.groupBy(U.url_host("url").alias("host")).agg(F.min("page_id").alias("m"), F.min(F.regexp_extract(U.path_and_query("url"), "^/[^/?]*", 0)).alias("top"))
+    bodies = ("User-agent: *\nDisallow: {0}\nAllow: {0}/*5\n", "User-agent: *\nDisallow: /\n\nUser-agent: WebMill # ours\nDisallow: /*?\n", "User-agent: other\nDisallow: /\nUser-agent: *\nDisallow: /*.html$\nDisallow: {0}/9\n", "Disallow: /\nSitemap: https://x.org/s.xml\n")
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("m") % 4 + 1).cast("int"))
+    files = hosts.select("host", F.replace(body, F.lit("{0}"), F.col("top")).alias("body"))
+    return robots.is_allowed(pages, files, "webmill").select("page_id", "allowed")
+
+
+#: A site of the pages' ids: page k leads to pages 16 k + 1 to 16 k + 16; ids that end in 5 are disallowed, each seventh page is not to be had.
+_SQL_SITE = """
+WITH RECURSIVE t(id, depth) AS (
+  SELECT 0::BIGINT, 0 UNION ALL
+  SELECT 16 * t.id + j.j, depth + 1 FROM t JOIN pages ON page_id = t.id, (SELECT unnest(range(1, 17)) AS j) j WHERE t.id % 10 <> 5 AND t.id % 7 <> 3),
+s AS (SELECT t.id, depth, page_id IS NOT NULL AS there, CASE WHEN t.id % 10 = 5 THEN 'blocked' WHEN page_id IS NOT NULL AND t.id % 7 = 3 THEN 'failed' ELSE 'completed' END AS state FROM t LEFT JOIN pages ON page_id = t.id)
+"""
+
+
+def _site_crawl(spark, d):
+    pages = _read(spark, d, "pages").select("page_id")
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: F.concat(F.lit('<a href="/p/'), F.col("page_id") * 16 + j, F.lit('">t</a>'))), " ")
+    site = pages.select("page_id", F.concat(F.lit("https://site.org/p/"), F.col("page_id")).alias("url"), links.alias("html"), F.when(F.col("page_id") % 7 == 3, 503).otherwise(200).alias("status"))
+    robots_file = spark.createDataFrame([(-1, "https://site.org/robots.txt", "User-agent: *\nDisallow: /p/*5$\n", 200)], site.schema)
+    return crawl(spark.createDataFrame([("https://site.org/p/0",)], "url string"), tables.corpus(site.unionByName(robots_file)), Config(max_pages=None, max_depth=None, max_retries=2))
+
+
+@query(_SQL_SITE + "SELECT 'https://site.org/p/' || id AS url, depth, state, CASE state WHEN 'failed' THEN 2 ELSE 0 END AS retry_count FROM s")
+def t1_site_crawl(spark, d):
+    """A crawl of several rounds: pages that lead to pages, a robots file that is looked up, retries, and pages that are not there."""
+    return _site_crawl(spark, d).requests.select("url", "depth", "state", "retry_count")
+
+
+@query(_SQL_SITE + """, c AS (SELECT 'request:' || state AS type, count(*) AS n FROM s GROUP BY state
+  UNION ALL SELECT unnest(['request:started', 'response:received']), count(*) + count(*) FILTER (WHERE state = 'failed') FROM s WHERE state <> 'blocked'
+  UNION ALL SELECT 'request:retried', count(*) FROM s WHERE state = 'failed' UNION ALL SELECT 'links:found', count(*) FROM s WHERE state = 'completed' AND there)
+SELECT type, n FROM c WHERE n > 0""")
+def t16_event_counts(spark, d):
+    return crawl_events(_site_crawl(spark, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' OR o_orderkey % 9 = 0
+ORDER BY o_orderkey % 9 = 0 DESC, CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey % 50 END, substr(o_orderpriority, 1, 1), o_orderkey % 50, o_orderkey::VARCHAR LIMIT 1200
+""")
+def l2_many_requests(spark, d):
+    """More of the queue than one task puts in order: retries first, with ties of priority and of place."""
+    r = _orders_as_requests(spark, d).withColumn("seq", F.col("seq") % 50)
+    r = r.withColumn("state", F.when(F.col("id") % 9 == 0, "retrying").otherwise(F.col("state")))
+    return queue.next_requests(r, 1200).select(F.col("id").alias("o_orderkey"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events),
+c AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) AS w FROM e)
+SELECT user_id AS domain, count(*) AS n, count(*) FILTER (WHERE w > 1 + user_id % 3) AS n_over, max(w) AS fullest FROM c GROUP BY user_id
+""")
+def a10_limiter_summary(spark, d):
+    e = _read(spark, d, "events").select(F.col("user_id").alias("domain"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    limits = e.select("domain").distinct().withColumn("per_window", 1 + F.col("domain") % 3)
+    return stats.limiter_stats(stats.rate_check(e, limits, window_ms=86_400_000)).select("domain", "n", "n_over", "fullest")
+
+
+@query("""
+SELECT c_name AS customer, NULL::VARCHAR AS nation, c_acctbal::DOUBLE AS balance, c_nationkey::BIGINT AS key FROM customer
+UNION ALL SELECT NULL, n_name, NULL, n_nationkey::BIGINT FROM nation UNION ALL SELECT NULL, NULL, NULL, NULL FROM part
+""")
+def s10_records_of_many_shapes(spark, d):
+    """Records of three shapes in one dataset, read by path and type; one field has another name in each."""
+    pushed = [tables.push_data(_read(spark, d, t).select(*c)) for t, c in (("customer", ("c_name", "c_acctbal", "c_nationkey")), ("nation", ("n_name", "n_nationkey")), ("part", ("p_name",)))]
+    kept = pushed[0].unionByName(pushed[1]).unionByName(pushed[2])
+    got = tables.record_fields(tables.read_records(kept), customer="$.c_name string", nation="$.n_name string", balance="$.c_acctbal double", c="$.c_nationkey bigint", n="$.n_nationkey bigint")
+    return got.select("customer", "nation", "balance", F.coalesce("c", "n").alias("key"))

@@ -14,17 +14,19 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus(pages_df: DataFrame) -> DataFrame:
-    """A page corpus by key: what a fetch joins with. Of pages of one key the first counts. status, content_type and
-    duration_ms are taken where the corpus has them."""
+    """A page corpus by key: what a fetch joins with. Of pages of one key the first counts. status, content_type,
+    duration_ms and error (what went wrong with a fetch) are taken where the corpus has them."""
     has = lambda c, other: F.col(c) if c in pages_df.columns else F.lit(other)
-    rows = pages_df.select(unique_key("url").alias("unique_key"), "page_id", F.col("url").alias("page_url"), "html", has("status", 200).cast("int").alias("status"), has("content_type", "text/html").alias("content_type"), has("duration_ms", 0).cast("long").alias("duration_ms"))
-    first = rows.groupBy("unique_key").agg(F.min_by(F.struct("page_id", "page_url", "html", "status", "content_type", "duration_ms"), "page_id").alias("p"))
+    rows = pages_df.select(unique_key("url").alias("unique_key"), "page_id", F.col("url").alias("page_url"), "html", has("status", 200).cast("int").alias("status"), has("content_type", "text/html").alias("content_type"), has("duration_ms", 0).cast("long").alias("duration_ms"), has("error", None).cast("string").alias("error"))
+    first = rows.groupBy("unique_key").agg(F.min_by(F.struct("page_id", "page_url", "html", "status", "content_type", "duration_ms", "error"), "page_id").alias("p"))
     return first.select("unique_key", "p.*")
 
 
 def fetch(requests: DataFrame, pages_by_key: DataFrame) -> DataFrame:
-    """requests with page_id, html, status, content_type, duration_ms: a left join with the corpus; 404 where it has none."""
+    """requests with page_id, html, status, content_type, duration_ms, error: a left join with the corpus; 404 where it has none."""
     found = requests.join(pages_by_key, "unique_key", "left")
+    if "error" not in found.columns:
+        found = found.withColumn("error", F.lit(None).cast("string"))
     return found.withColumn("status", F.coalesce("status", F.lit(404)))
 
 
@@ -98,3 +100,15 @@ def sitemap_entries(requests: DataFrame, job_id: str) -> DataFrame:
 def push_data(data: DataFrame) -> DataFrame:
     """Records of any shape as JSON, for a dataset that is appended to."""
     return data.select(F.to_json(F.struct("*")).alias("record"))
+
+
+def read_records(pushed: DataFrame) -> DataFrame:
+    """Records of push_data(), of whatever shapes, as variants; what is no JSON is null."""
+    return pushed.select(F.try_parse_json("record").alias("record"))
+
+
+def record_fields(records: DataFrame, **fields: str) -> DataFrame:
+    """Fields of read_records() by a path and a type each ("$.a.b string"): the schema is chosen on reading. A record that has
+    no such field, or one that the type does not take, has null there."""
+    parts = {name: of.rsplit(" ", 1) for name, of in fields.items()}
+    return records.select(*[F.try_variant_get("record", path, kind).alias(name) for name, (path, kind) in parts.items()])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from webmill.functions.patterns import SESSION_BLOCK_SCORE
 from webmill.functions.predicates import is_static_resource, matches_filter
 from webmill.functions.urls import build_url
+from webmill.sources.shared import keep, let_go
+from webmill.sources.tables import Store
 
 
 def first_hosts(intercepted: DataFrame, in_scope_only: bool = True) -> DataFrame:
@@ -45,6 +47,57 @@ def start_crawls(stream: DataFrame, start: Callable[[str], object], checkpoint:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+class SeenHosts:
+    """Hosts that were seen, as a table that is appended to, so that they can be listed and forgotten."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.store = spark, Store(spark, path, "host string, batch long, started boolean")
+
+    def list(self) -> DataFrame:
+        return self.store.load().select("host").distinct()
+
+    def has(self, host: str) -> bool:
+        return not self.store.load().filter(F.col("host") == host).isEmpty()
+
+    def add(self, host: str, batch: int = -1, started: bool = False) -> None:
+        self.store.append(self.spark.createDataFrame([(host, batch, started)], self.store.schema))
+
+    def clear(self, *hosts: str) -> None:
+        """Forgets these hosts, or all: their next request is a first one again."""
+        rows = self.store.load()
+        self.store.replace(rows.filter(~F.col("host").isin(*hosts)) if hosts else rows.limit(0))
+
+
+def watch(intercepted: DataFrame, active_hosts: Callable[[], DataFrame], start: Callable[[str], object], checkpoint: str, seen: SeenHosts, query: str | None = None, in_scope_only: bool = True, enabled: Callable[[], bool] = lambda: True, once: bool = True) -> StreamingQuery:
+    """Calls start(origin) at the first request of each host that is not in `seen`, no static resource and, if asked, in scope.
+
+    Such a host is seen from then on, whether it is crawled or not: one with an active job, or whose origin fails the
+    filter, is not. While not enabled nothing is looked at. Hosts are marked with their batch, so a batch that Spark
+    gives again, as after a lost driver, finds them new again, but for those that it has started.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        if not enabled():
+            return
+        rows = batch.filter(~is_static_resource("path"))
+        rows = rows.filter("in_scope") if in_scope_only else rows
+        rows = rows.withColumn("url", build_url("host", "port", "tls"))
+        first = rows.groupBy("host").agg(F.min_by("url", "ts") if "ts" in rows.columns else F.min("url").alias("url")).toDF("host", "url")
+        marks = keep(seen.store.load(), "seen")
+        new = keep(first.join(marks.filter(F.col("batch") != n).select("host").distinct(), "host", "left_anti"), "new-hosts")
+        seen.store.append(new.select("host", F.lit(n).cast("long").alias("batch"), F.lit(False).alias("started")).coalesce(1))
+        go = new.join(marks.filter((F.col("batch") == n) & F.col("started")).select("host").distinct(), "host", "left_anti")
+        go = go.join(active_hosts().select("host").distinct(), "host", "left_anti").filter(matches_filter("url", query))
+        for row in go.orderBy("url").toLocalIterator():
+            start(row.url)
+            seen.add(row.host, n, True)
+        seen.store.compact()
+        let_go(marks, new)
+
+    writer = intercepted.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def sliding_counts(requests: DataFrame, key: str, ts: str = "ts", window: str = "1 minute", slide: str = "1 second", late: str = "1 minute") -> DataFrame:
     """(window, key, n): requests by sliding window of event time. Rows later than `late` are let go."""
     t = F.col(ts).cast("timestamp")
