@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from webmill.llm import substrings as S
 
@@ -98,3 +99,21 @@ def test_words_whose_polynomial_hashes_agree_are_different(spark):
         assert [r._s_removed for r in got] == [0, 0] == [x[1] for x in brute_words(list(enumerate(texts)))]
         got = S.suffix_dedup(docs, group=group, digests=True).orderBy("doc_id").collect()
         assert [(r._s_size, r._s_removed, r._s_spans, r._s_kept) for r in got] == brute_bytes(texts)
+
+
+def test_many_equal_rows(spark):
+    """Work and memory follow the number of rows, not its square: alone, beside a text that shares theirs, and beside an earlier copy."""
+    rnd = random.Random(9)
+    text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(600))
+    many = spark.range(3_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    other = spark.createDataFrame([(3, "before " + text[1000:2500] + " after")], "doc_id long, text string")
+    for docs in (many, many.unionByName(other)):
+        got = S.suffix_dedup(docs, digests=True).groupBy("doc_id", "_s_removed", "_s_spans").count().collect()
+        assert {(r.doc_id, r._s_removed, r["count"]) for r in got if r.doc_id == 7} == {(7, len(text), 3_000)}
+        assert [(r._s_removed, r._s_spans) for r in got if r.doc_id == 3] in ([], [(1500, 1)])
+        got = S.seed_and_extend(docs, digests=True).groupBy("doc_id", "_s_removed").count().collect()
+        shared = brute_words([(3, f"before {text[1000:2500]} after"), (7, text)])[1][1] if docs is not many else 0
+        assert {r._s_removed: r["count"] for r in got if r.doc_id == 7} == {shared: 3_000}
+    early = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = S.seed_and_extend(many.unionByName(early), digests=True).groupBy("doc_id", "_s_removed").count().collect()
+    assert {(r.doc_id, r._s_removed, r["count"]) for r in got} == {(1, 0, 1), (7, 600, 3_000)}

@@ -93,6 +93,20 @@ def _names(row: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return C.fold(C.fold(C.mix(row.astype(np.uint64)), a.view(np.uint64)), c.view(np.uint64))
 
 
+class _Once:
+    """Which names a task has not had yet. Every task gets it as it was made, with none."""
+
+    def __init__(self):
+        self.had: set[int] = set()
+
+    def new(self, names: np.ndarray) -> np.ndarray:
+        """Places of these names' first occurrences."""
+        some, one = np.unique(names, return_index=True)
+        fresh = np.array([x not in self.had for x in some.tolist()], bool)
+        self.had.update(some[fresh].tolist())
+        return one[fresh]
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with _s_k, the key of a row, and _s_text. Rows of one id and text have one key and one result."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
@@ -138,12 +152,14 @@ def _by_row(contexts: DataFrame) -> DataFrame:
 
 
 def _spans(texts: DataFrame, contexts: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
-    """(a, c, lo, back, span) of contexts (a, c, k, lo): where the anchor is, and the bytes, or words joined by spaces."""
+    """(a, c, lo, back, span) of contexts (a, c, k, lo): where the anchor is, and the bytes, or words joined by spaces. Rows
+    that are equal have a key in common: a task gives a context once, however many of its rows have it."""
+    given = _Once()
 
     def work(batch):
         r = Runs(batch.column("_s_text"), unit, window, gram)
         run, place, flat = r.wanted(batch.column("_s_v"))
-        _, one = np.unique(_names(np.zeros(len(run), np.int64), r.anchor[run], r.context[run]), return_index=True)
+        one = given.new(_names(np.zeros(len(run), np.int64), r.anchor[run], r.context[run]))
         run, place = run[one], place[one]
         first, last = r.first[run].tolist(), r.last[run].tolist()
         data = r.buf.tobytes()
@@ -162,10 +178,13 @@ def _spans(texts: DataFrame, contexts: DataFrame, unit: str, window: int, gram:
 
 def _windows(texts: DataFrame, contexts: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
     """(a, c, off, w, x, lo) of each window of these contexts: its place and 128 bits of hash."""
+    given = _Once()
 
     def work(batch):
         r = Runs(batch.column("_s_text"), unit, window, gram)
         run, place, flat = r.wanted(batch.column("_s_v"))
+        one = given.new(_names(np.zeros(len(run), np.int64), r.anchor[run], r.context[run]))
+        run, place = run[one], place[one]
         n = r.n[run]
         off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(r.first[run], n) + off
@@ -347,7 +366,8 @@ def _apply(texts, dup, found, unit, window, gram, digests, columns) -> DataFrame
     at = dup.join(named, (_other("a") == F.col("a2")) & (F.col("c") == F.col("c2")))
     if unit == "words":
         at = at.filter("id >= from")
-    verdicts = at.groupBy(F.col("k").alias("_s_j")).agg(F.collect_list(F.struct("a", "c", "lo", "hi")).alias("_s_v"))
+    # A set: rows that are equal have one key and the same verdicts, which need not be gathered for each of them.
+    verdicts = at.groupBy(F.col("k").alias("_s_j")).agg(F.collect_set(F.struct("a", "c", "lo", "hi")).alias("_s_v"))
     return _cut(texts, verdicts, unit, window, gram, digests, columns)
 
 
