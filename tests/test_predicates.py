@@ -57,3 +57,29 @@ def test_kinds(spark):
     assert one(spark, P.url_class(F.lit("https://a/sitemap-1.xml"), "SITEMAP")) and one(spark, P.in_scope(F.lit("a.x"), ["*.x"], ["b.*"]))
     assert one(spark, P.retry_delay(F.lit(2))) == 4000 and one(spark, P.retry_delay(F.lit(9))) == 30_000 and one(spark, P.remaining_retries(F.lit(4), F.lit(3))) == 0
     assert one(spark, P.can_retry(F.lit(1), F.lit(3), F.lit(False))) and not one(spark, P.can_retry(F.lit(1), F.lit(3), F.lit(True)))
+
+
+def test_a_table_of_routes_is_the_router(spark):
+    import random
+
+    from webmill.operators import routes
+
+    rnd = random.Random(12)
+    bit = lambda: rnd.choice(["a", "B", "/", "*", "**", "?", ".", "$", "é", "(", "+", "x=1", "[", "\\"])
+    globs = [rnd.choice(["http://h/", "http://H/a", ""]) + "".join(bit() for _ in range(rnd.randint(0, 4))) for _ in range(300)]
+    urls = ["http://h/" + "".join(rnd.choice(["a", "b", "/", ".", "é", "x=1", "(", "$", "[", "+"]) for _ in range(rnd.randint(0, 5))) for _ in range(200)] + [None]
+    router = P.Router().label("L", "by label").otherwise("rest")
+    for i, g in enumerate(globs):
+        router.glob(g, f"r{i}")
+    table = spark.createDataFrame([(i, None, g, f"r{i}") for i, g in enumerate(globs)] + [(900, "L", None, "by label")], "ord long, label string, glob string, handler string")
+    df = spark.createDataFrame([(u, "L" if i % 9 == 0 else None) for i, u in enumerate(urls)], "url string, label string")
+    want = sorted(map(repr, df.filter("url IS NOT NULL").select("url", "label", router.route("url", "label").alias("handler")).collect()))
+    got = routes.route(df, table, label_col="label", default="rest")
+    assert sorted(map(repr, got.filter("url IS NOT NULL").collect())) == want and got.count() == len(urls)
+    none = routes.route(df, table.limit(0), label_col="label", default="rest")
+    assert {r.handler for r in none.collect()} == {"rest"}
+
+
+def test_patterns_of_callers_are_checked(spark):
+    one = lambda *p: spark.range(1).select(P.matches_any(F.lit("https://a.org/X"), p)).first()[0]
+    assert one("(?i)/x$") and one("[", "/X") and not one("[") and not one("/x$") and not one()

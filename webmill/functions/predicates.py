@@ -180,17 +180,24 @@ def url_class(url: Column | str, name: str) -> Column:
 
 
 def matches_any(url: Column | str, patterns: Sequence[str]) -> Column:
+    """Whether one of these patterns, in the web's syntax, is found; (?i) may come first, and \\z is the end, as $ is. What is
+    no pattern is found nowhere."""
+    made = [(p.startswith("(?i)"), checked(p.removeprefix("(?i)").replace(r"\z", "$"))) for p in patterns]
+    return _any_of(url, [("(?i)" if flag else "") + p for flag, p in made if p is not None])
+
+
+def _any_of(url: Column | str, patterns: Sequence[str]) -> Column:
     return col(url).rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
 def is_resource_url(url: Column | str) -> Column:
     """By the end of the whole URL, so a query hides an extension."""
-    return matches_any(url, ["(?i)" + P.URL_CLASSES[c] for c in P.RESOURCE_CLASSES])
+    return _any_of(url, ["(?i)" + P.URL_CLASSES[c] for c in P.RESOURCE_CLASSES])
 
 
 def is_page_url(url: Column | str) -> Column:
     """No dot in the path, or a path that ends in a slash, or a page's extension; null where the URL is invalid."""
-    pages = matches_any(url, ["(?i)" + P.URL_CLASSES[c] for c in P.PAGE_CLASSES])
+    pages = _any_of(url, ["(?i)" + P.URL_CLASSES[c] for c in P.PAGE_CLASSES])
     return let(parse(url), lambda p: F.when(p.isNotNull(), ~p.path.contains(".") | p.path.endswith("/") | pages))
 
 
@@ -236,8 +243,8 @@ def retry_delay(retry_count: Column | str, base: float = 1000, most: float = 30_
 
 def in_scope(host: Column | str, allow: Sequence[str] = (), deny: Sequence[str] = ()) -> Column:
     """Hosts that a glob of allow takes (all, if there is none) and no glob of deny."""
-    yes = matches_any(host, [glob_pattern(g) for g in allow]) if allow else F.lit(True)
-    return yes & ~matches_any(host, [glob_pattern(g) for g in deny])
+    yes = _any_of(host, [glob_pattern(g) for g in allow]) if allow else F.lit(True)
+    return yes & ~_any_of(host, [glob_pattern(g) for g in deny])
 
 
 def host_is(url: Column | str, host: str) -> Column:

@@ -51,6 +51,11 @@ def trim_ws(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^[{WS}]+|[{WS}]+\\z", "")
 
 
+def ascii_lower(text: Column) -> Column:
+    """ASCII letters in lower case, as patterns that look away from case have it."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _encode(text: Column, ascii_set: str) -> Column:
     """Percent-encoded where not ASCII, and where one of ascii_set (a character class without brackets)."""
     parts = F.regexp_extract_all(text, F.lit(f"[^\\x00-\\x7f]+|[{ascii_set}]+|[^{ascii_set}]".replace("|[^", "|(?:(?![^\\x00-\\x7f])[^") + ")+"), 0)

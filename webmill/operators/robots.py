@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webmill.functions.patterns import ROBOTS_LITERAL
 from webmill.functions.predicates import is_success
-from webmill.functions.urls import path_and_query, trim_ws, unique_key, url_host
+from webmill.functions.urls import ascii_lower, path_and_query, trim_ws, unique_key, url_host
 from webmill.sources.tables import fetch
 
 
@@ -74,11 +74,6 @@ def specificity(value: Column) -> Column:
     return F.length(F.regexp_replace(value, r"\*", ""))
 
 
-def _lower(text: Column) -> Column:
-    """In lower case as far as patterns look away from case: ASCII only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def index(files: DataFrame, user_agent: str) -> DataFrame:
     """(host, prefix, literal, wild) of the rules that apply to us, by what a path that they match begins with.
 
@@ -93,7 +88,7 @@ def index(files: DataFrame, user_agent: str) -> DataFrame:
     value = F.col("pattern")
     everything = value.isin("", "/")
     literal = everything | ~value.rlike(r"[*$]")
-    prefix = F.when(everything | value.endswith("$"), "").otherwise(_lower(F.regexp_extract(value, r"(?s)^([^*$]*)", 1)))
+    prefix = F.when(everything | value.endswith("$"), "").otherwise(ascii_lower(F.regexp_extract(value, r"(?s)^([^*$]*)", 1)))
     verdict = F.struct(specificity(value).alias("spec"), (-F.col("rule_no")).alias("rule"), (~F.col("allow")).cast("int").alias("kind"), (-F.col("pattern_no")).alias("place"), "allow")
     found = found.select("host", prefix.alias("prefix"), literal.alias("literal"), F.struct(pattern_regex(value).alias("re"), verdict.alias("verdict")).alias("rule"))
     return found.groupBy("host", "prefix").agg(F.max(F.when(F.col("literal"), F.col("rule.verdict"))).alias("literal"), F.collect_list(F.when(~F.col("literal"), F.col("rule"))).alias("wild"))
@@ -111,7 +106,7 @@ def is_allowed(urls: DataFrame, files: DataFrame, user_agent: str, url_col: str
     lengths = by_prefix.groupBy(F.col("host").alias("_k")).agg(F.collect_set(F.length("prefix")).alias("_n"))
     path = F.coalesce(path_and_query("_u"), F.col("_u"))
     distinct = urls.select(F.col(url_col).alias("_u")).filter("_u IS NOT NULL").distinct().select("_u", url_host("_u").alias("_h"), path.alias("_p"))
-    met = distinct.join(lengths, F.col("_h") == F.col("_k")).withColumn("_low", _lower(F.col("_p")))
+    met = distinct.join(lengths, F.col("_h") == F.col("_k")).withColumn("_low", ascii_lower(F.col("_p")))
     met = met.select("_u", "_h", "_p", F.explode(F.transform(F.filter("_n", lambda n: n <= F.length("_p")), lambda n: F.substring(F.col("_low"), F.lit(1), n))).alias("_b"))
     met = met.join(by_prefix, (F.col("_h") == F.col("host")) & (F.col("_b") == F.col("prefix")))
     wild = F.transform(F.filter("wild", lambda w: F.rlike(F.col("_p"), w.re)), lambda w: w.verdict)

@@ -10,7 +10,7 @@ from webmill.functions import predicates as Q
 from webmill.functions import urls as U
 from webmill.functions.patterns import NAVIGABLE, URL_CLASSES
 from webmill.functions import cookies as K
-from webmill.operators import links, queue, robots, sessions, stats
+from webmill.operators import links, queue, robots, routes, sessions, stats
 from webmill.plans import jobs
 from webmill.plans.crawl import Config, crawl
 from webmill.plans.crawl import events as crawl_events
@@ -780,3 +780,18 @@ def s10_records_of_many_shapes(spark, d):
     kept = pushed[0].unionByName(pushed[1]).unionByName(pushed[2])
     got = tables.record_fields(tables.read_records(kept), customer="$.c_name string", nation="$.n_name string", balance="$.c_acctbal double", c="$.c_nationkey bigint", n="$.n_nationkey bigint")
     return got.select("customer", "nation", "balance", F.coalesce("c", "n").alias("key"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+', 0) AS site, regexp_extract(url, '^https?://[^/?#]+/[^/?#]*', 0) AS top FROM pages),
+h AS (SELECT site, min(page_id) AS m FROM p GROUP BY site), t AS (SELECT top, min(page_id) AS m FROM p GROUP BY top)
+SELECT page_id, CASE WHEN page_id % 50 = 7 THEN 'labelled' WHEN starts_with(url, p.top || '/') AND NOT contains(substr(url, length(p.top) + 2), '/') THEN 'top ' || t.m WHEN starts_with(url, p.site || '/') THEN 'site ' || h.m ELSE 'none' END AS handler
+FROM p JOIN h ON h.site = p.site JOIN t ON t.top = p.top
+""")
+def p11_routes_of_a_table(spark, d):
+    """Two routes for each site and section of `pages`: as many routes as the table has of these."""
+    pages = _read(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 50 == 7, "special").alias("label"))
+    part = lambda pattern, tail, name, first: pages.groupBy(F.regexp_extract("url", pattern, 0).alias("s")).agg(F.min("page_id").alias("m")).select((F.lit(first) + F.col("m")).alias("ord"), F.lit(None).cast("string").alias("label"), F.concat("s", F.lit(tail)).alias("glob"), F.concat(F.lit(name), F.col("m")).alias("handler"))
+    table = part("^https?://[^/?#]+/[^/?#]*", "/*", "top ", 0).unionByName(part("^https?://[^/?#]+", "/**", "site ", 1 << 40))
+    table = table.unionByName(spark.createDataFrame([(0, "special", None, "labelled")], table.schema))
+    return routes.route(pages, table, label_col="label", default="none").select("page_id", "handler")

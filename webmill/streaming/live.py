@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,12 +110,12 @@ def session_health(outcomes: DataFrame, error_weight: float = 1.0, success_weigh
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, score, blocked = state.get if state.exists else (0, 0.0, False)
-        for ok in pd.concat(list(frames)).sort_values("seq").ok:
-            n += 1
-            score = max(0.0, score - success_weight) if ok else score + error_weight
-            blocked = blocked or (not ok and score >= SESSION_BLOCK_SCORE)
-        state.update((n, score, bool(blocked)))
-        yield pd.DataFrame({"session_id": [key[0]], "usage_count": [n], "error_score": [score], "is_blocked": [bool(blocked)]})
+        ok = pd.concat(list(frames)).sort_values("seq", kind="stable").ok.to_numpy(bool)
+        total = score + np.cumsum(np.where(ok, -success_weight, error_weight))
+        scores = total - np.minimum(np.minimum.accumulate(total), 0.0)  # a sum with a floor: less its least value so far
+        n, score, blocked = n + len(ok), float(scores[-1]), bool(blocked or (~ok & (scores >= SESSION_BLOCK_SCORE)).any())
+        state.update((n, score, blocked))
+        yield pd.DataFrame({"session_id": [key[0]], "usage_count": [n], "error_score": [score], "is_blocked": [blocked]})
 
     schema = "usage_count long, error_score double, is_blocked boolean"
     return outcomes.groupBy("session_id").applyInPandasWithState(step, "session_id string, " + schema, schema, "update", GroupStateTimeout.NoTimeout)
