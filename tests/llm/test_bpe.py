@@ -38,3 +38,11 @@ def test_operators_over_edge_cases(docs, nothing, cases, library):
     got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.encode(docs, PATH).collect())
     assert got == Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids), t or "") for i, t, *_ in cases)
     assert bpe.token_counts(nothing, PATH).count() == bpe.encode(nothing, PATH, digests=True).count() == 0
+
+
+def test_long_pieces_are_counted_as_the_library_does(library):
+    v, rnd = bpe.vocabulary(PATH), random.Random(2)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (1_001, 5_000, 60_000)]
+    words += ["a" * 10_001, "ab" * 4_000 + "a", "é" * 3_000, "=" * 5_000, "".join(rnd.choice("aab") for _ in range(20_000)), "the" * 3_000 + "z", "日本語" * 1_000]
+    for w in words:
+        assert v.count([b"", w.encode(), b"x"]).tolist() == [0, len(library.encode(w, add_special_tokens=False).ids), 1]

@@ -7,6 +7,7 @@ worked out once, for whole batches at a time in numpy. Both operators are maps o
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from functools import lru_cache
 from itertools import chain
@@ -22,6 +23,8 @@ from webmill.llm import common as C
 REMEMBERED = 200_000
 #: Pre-tokens of more bytes than this go through the scalar form of the same dynamic program.
 PADDED = 48
+#: Pre-tokens of more bytes than this are counted one by one, each rank going to its own places instead of to all.
+LONG = 1_000
 #: The pattern of this vocabulary's pre-tokenizer (a fixed value), with white space written out as Unicode has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -104,12 +107,15 @@ class Vocabulary:
     def count(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols left of each piece when in every round each piece merges its lowest-ranked pair, everywhere at once.
 
-        The pieces lie in one ragged array. A piece without a pair to merge leaves it with its count.
+        The pieces lie in one ragged array. A piece without a pair to merge leaves it with its count. Long pieces, which
+        have very many ranks, are merged by count_long().
         """
         out = np.zeros(len(pieces), np.int64)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i], size[i] = self.count_long(pieces[i]), 0
         who = np.flatnonzero(size)
-        symbols = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        symbols = self.byte_id[np.frombuffer(b"".join([pieces[i] for i in who.tolist()]), np.uint8)]
         owner = np.repeat(who, size[who])
         while len(symbols):
             same = owner[1:] == owner[:-1]
@@ -133,6 +139,57 @@ class Vocabulary:
             symbols, owner = symbols[keep], owner[keep]
         return out
 
+    def count_long(self, piece: bytes) -> int:
+        """Symbols left of one piece, by the same rounds: ranks in their order, each merged at all its places at once.
+
+        Places are kept by rank. A round looks at the places of its rank alone, and afterwards ranks the pairs anew that
+        it has touched; a pair with a merged symbol always ranks later than that. So each rank has one round, and all
+        rounds together look at a few places for each merge, however long the piece is.
+        """
+        n = len(piece)
+        symbol = self.byte_id[np.frombuffer(piece, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.append(self.merged(symbol[:-1], symbol[1:]), self.none)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Puts places under their ranks."""
+            at = at[rank[at] < self.none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cut = [0, *(np.flatnonzero(np.diff(rank[at])) + 1).tolist(), len(at)]
+            for r, i, j in zip(rank[at[cut[:-1]]].tolist() if len(at) else (), cut, cut[1:], strict=False):
+                if r in places:
+                    places[r].append(at[i:j])
+                else:
+                    places[r] = [at[i:j]]
+                    heapq.heappush(ranks, r)
+
+        note(np.arange(n - 1))
+        left = n
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]  # others have been merged or touched since
+            run = np.flatnonzero(after[at[:-1]] == at[1:]) + 1
+            if len(run):  # a symbol can't be in two merges: of pairs that overlap, every other one counts
+                begins = np.concatenate(([True], np.diff(run) > 1))
+                first = np.maximum.accumulate(np.where(begins, np.arange(len(run)), 0))
+                at = np.delete(at, run[(np.arange(len(run)) - first) % 2 == 0])
+            if not len(at):
+                continue
+            gone = after[at]
+            symbol[at], rank[gone], after[at] = r, self.none, after[gone]
+            left -= len(at)
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            touched = np.unique(np.concatenate((at, before[at][before[at] >= 0])))
+            rank[touched] = self.none
+            touched = touched[after[touched] < n]
+            rank[touched] = self.merged(symbol[touched], symbol[after[touched]])
+            note(touched)
+        return left
+
     # -- operator 2 ------------------------------------------------------------------------------------------
 
     def automaton(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
