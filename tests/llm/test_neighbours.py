@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from webmill.llm import neighbours
 
@@ -30,7 +31,7 @@ def brute(rows, cosine):
     return Counter((rows[k][0], n[k], least[find(k)], rows[k][0] is not None and rows[k][0] == least[find(k)]) for k in range(len(rows)))
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rnd = np.random.default_rng(1)
     rows = []
     for family in range(12):
@@ -42,6 +43,26 @@ def test_against_brute_force(spark):
     rows += [(6005, [float("nan")] + [1.0] * 11, 1), (6006, [None] + [1.0] * 11, 1), (6007, [float("inf")] + [1.0] * 11, 1), (6008, [1.0, 1.0], 1), (6009, [1.0, 1.0], 1), (None, [1.0] * 12, 1), (6010, [1.0] * 12, 2), (6010, [1.0] * 12, 2)]
     schema = "vec_id long, embedding array<float>, label int"
     df = spark.createDataFrame(rows, schema)
-    for chunk in (400, 7):
-        assert Counter(map(tuple, neighbours.near(df, chunk=chunk).collect())) == brute(rows, 0.93)
+    more = df.selectExpr("*", "label AS g", "label AS s", "label AS h1", "label AS n", "label AS root", "vec_id AS id", "label AS x")
+    for chunk, small in ((400, neighbours.SMALL), (7, neighbours.SMALL), (400, 0)):
+        monkeypatch.setattr(neighbours, "SMALL", small)
+        assert Counter(map(tuple, neighbours.near(more, chunk=chunk).collect())) == brute(rows, 0.93)
     assert neighbours.near(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pairs_at_the_limit_are_settled_by_the_vectors_as_given(spark):
+    """93, 36, 7, 2, 1, 1 has length 100, so its cosine with the first axis is 0.93; a little more beside it is too much."""
+    axis, at, below, above = (list(map(float, v)) for v in ([1.0, 0, 0, 0, 0, 0], [93.0, 36, 7, 2, 1, 1], [93.0, 36, 7, 2, 1, 1.000001], [93.0, 36, 7, 2, 1, 0.999999]))
+    rows = [(1, axis, 0), (2, axis, 0), (3, at, 0), (4, axis, 1), (5, below, 1), (6, axis, 2), (7, above, 2), (8, above, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert Counter(map(tuple, neighbours.near(df).collect())) == brute(rows, 0.93)
+
+
+def test_whole_tiles_whatever_the_batches():
+    rows = [(g, i, j, k) for g, i, j, n in ((1, 0, 0, 3), (1, 0, 1, 1), (2, 0, 0, 7), (3, 1, 1, 2)) for k in range(n)]
+    for size in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + size], strict=True)], ["g", "i", "j", "k"]) for a in range(0, len(rows), size)]
+        tables = list(neighbours._whole(batches))
+        assert [tuple(r.values()) for t in tables for r in t.to_pylist()] == rows
+        ends = [{(r["g"], r["i"], r["j"]) for r in t.to_pylist()} for t in tables]
+        assert all(not a & b for n, a in enumerate(ends) for b in ends[:n])
