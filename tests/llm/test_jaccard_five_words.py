@@ -74,3 +74,39 @@ def test_linked_sets_share_a_signature_at_80_percent():
         row, sig = J.signatures(grams, np.array([0, len(base), len(base) + len(other)]), 80)
         assert set(sig[row == 0]) & set(sig[row == 1])
     assert linked > 300
+
+
+def test_near_copies_cost_their_number_not_its_square(spark, monkeypatch):
+    """Near copies whose signatures all have one odd set as their least, which links with none of them."""
+    rnd, pairs = random.Random(4), []
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"odd{i}" for i in range(200))] + [" ".join(base[:k] + [f"v{k}"] + base[k + 1 :]) for k in (rnd.randrange(200) for _ in range(90))]
+    far = [" ".join([f"u{x}" for x in range(40 * k)] + base[40 * k :]) for k in (1, 2)]  # these share signatures, but link with none
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + far)], "doc_id long, text string").coalesce(1)
+    nodes = spark.range(len(texts + far)).withColumnRenamed("id", "node")
+    shared = nodes.crossJoin(spark.range(5).withColumnRenamed("id", "sig")).selectExpr("sig", "node", "0L AS rep")
+    monkeypatch.setattr(J, "_met", lambda *_: J.C.table(shared))
+    verified = J._verified
+    monkeypatch.setattr(J, "_verified", lambda p, *a: pairs.append(p.count()) or verified(p, *a))
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs, size=5, percent=80).collect()}
+    assert got == {0: 0} | dict.fromkeys(range(1, 91), 1) | {91: 91, 92: 92}
+    assert sum(pairs) < 500  # 90 * 89 / 2 pairs link
+
+
+def test_a_tree_joins_what_any_pair_joins():
+    rnd = np.random.default_rng(3)
+    for n, m, kinds in ((1, 1, 2), (6, 4, 5), (30, 20, 12), (40, 40, 60)):
+        left, right = rnd.integers(0, kinds, n), rnd.integers(0, kinds, m)
+        may = (rnd.random((n, m)) < 0.1) & (left[:, None] != right[None, :])
+        x, y = J._tree(may, left, right)
+        assert may[x, y].all()
+
+        def groups(pairs):
+            root = list(range(kinds))
+            for a, b in pairs:
+                a, b = root[a], root[b]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+            return root
+
+        all_ = groups(zip(left[np.nonzero(may)[0]], right[np.nonzero(may)[1]], strict=True))
+        assert groups(zip(left[x], right[y], strict=True)) == all_ and len(x) == kinds - len(set(all_))

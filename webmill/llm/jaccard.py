@@ -4,8 +4,10 @@
 2. A second map signs the sets; signatures are packed by part of their domain and meet in tasks.
 3. Each set is compared with the least set that it shares a signature with. Rows of one least set are dealt to tasks
    in chunks, so no group is held whole. What links so far is contracted to components.
-4. Signatures whose sets are in several components are looked at once more: pairs across components whose bitmaps
-   differ in no more bits than linked sets may differ in elements are compared as well. No pair within a component is.
+4. Signatures whose sets are in several components are looked at again: pairs across components whose bitmaps differ in
+   no more bits than linked sets may differ in elements are compared as well. No pair within a component is. The first
+   times, ROUNDS at most, a signature gives only so many pairs as join its components, so a group of near copies costs
+   its size, not its square; what signatures then still hold apart is compared pair by pair.
 
 A bitmap's bits are parities of hashed elements, so two sets differ in at least as many elements as their bitmaps in
 bits: what the bitmaps rule out can't link. All that remains is verified on the sets themselves.
@@ -37,6 +39,9 @@ MET = 1_500_000
 CHUNK = 256
 #: Sets of one signature whose bitmaps are compared in one task; more are compared block by block.
 BLOCK = 4_000
+#: How often signatures give only pairs that would join their components, while such pairs link, before they give all
+#: pairs across these.
+ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,12 +307,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     return found
 
 
-def _across(shared: DataFrame, first: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (u, v) of sets that share a signature, are in different components of `first` and whose bitmaps
-    leave a link possible."""
-    of = first.select(_other("node").alias("node2"), "root")
-    placed = shared.join(of, _other("node") == F.col("node2"), "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
-    placed = C.table(placed)
+def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, node, comp): the sets of each signature with their components."""
+    of = roots.select(_other("node").alias("node2"), "root")
+    return C.table(shared.join(of, _other("node") == F.col("node2"), "left").select("sig", "node", F.coalesce("root", "node").alias("comp")))
+
+
+def _across(shared: DataFrame, roots: DataFrame, rows: DataFrame, percent: int, joining: bool) -> DataFrame:
+    """(u, v, sig): pairs of sets that share a signature, are in different components of `roots` and whose bitmaps leave a
+    link possible. All of them, or of each signature (block by block) only `joining` ones."""
+    placed = _placed(shared, roots)
     several = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")).filter("lo < hi")
     open_ = placed.join(several.select(_other("sig").alias("sig2"), "nb"), _other("sig") == F.col("sig2")).select("sig", "node", "comp", "nb")
     bits = rows.select(_other("_j_row").alias("row2"), F.col("_j_n").alias("n"), F.col("_j_bits").alias("bits"))
@@ -320,24 +329,30 @@ def _across(shared: DataFrame, first: DataFrame, rows: DataFrame, percent: int)
             for x in batches:
                 yield from zip(*(x.column(c).to_pylist() for c in ("sig", "i", "j", "b", "node", "comp", "n", "bits")), strict=True)
 
-        for (_, i, j), group in groupby(members(), lambda r: r[:3]):
+        for (sig, i, j), group in groupby(members(), lambda r: r[:3]):
             group = list(group)
-            yield from possible([g for g in group if g[3] == i], [g for g in group if g[3] == j], i == j, percent)
+            for found in possible([g for g in group if g[3] == i], [g for g in group if g[3] == j], i == j, percent, joining):
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array([sig] * found.num_rows, pa.int64())], ["u", "v", "sig"])
         C.tidy()
 
-    found = tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, "u long, v long")
-    found = C.table(found.distinct())
+    found = C.table(tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, "u long, v long, sig long"))
     C.drop(placed)
     return found
 
 
-def possible(left: list, right: list, same: bool, percent: int):
-    """Batches of pairs (u < v) across components whose bitmaps leave a link possible. Rows end with node, comp, n, bits."""
+def possible(left: list, right: list, same: bool, percent: int, joining: bool = False):
+    """Batches of pairs (u < v) across components whose bitmaps leave a link possible. Rows end with node, comp, n, bits.
+
+    With `joining` only as many as join all components that any of the pairs do: a tree over components, found from the
+    least on, so signatures with much the same sets give much the same pairs.
+    """
     if not left or not right:
         return
     width = min(len(r[-1]) for r in (*left, *right))
 
     def arrays(rows):
+        if joining:
+            rows = sorted(rows, key=lambda r: r[-4])
         node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (-4, -3, -2))
         bits = np.zeros((len(rows), width // 8), np.uint64)
         for k, r in enumerate(rows):  # a wider bitmap is folded: its halves, laid over each other, are the narrower one
@@ -346,16 +361,72 @@ def possible(left: list, right: list, same: bool, percent: int):
 
     a, b = arrays(left), arrays(right)
     step = max(1, 2_000_000 // (len(right) * (width // 8)))
+    may = np.zeros((len(left), len(right)) if joining else (0, 0), bool)
     for k in range(0, len(left), step):
         node, comp, n, bits = (x[k : k + step] for x in a)
         apart = np.bitwise_count(bits[:, None, :] ^ b[3][None, :, :]).sum(2, dtype=np.int64)
         ok = (apart <= most(n[:, None], b[2][None, :], percent)) & (comp[:, None] != b[1][None, :])
+        if joining:
+            may[k : k + step] = ok
+            continue
         if same:
             ok &= node[:, None] < b[0][None, :]
         x, y = np.nonzero(ok)
         if len(x):
-            u, v = node[x], b[0][y]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            yield _pairs(node[x], b[0][y])
+    if joining and may.any():
+        x, y = _tree(may, a[1], b[1])
+        yield _pairs(a[0][x], b[0][y])
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def _tree(may: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) in `may` of pairs that join all components (of its rows: left, of its columns: right) that its pairs
+    join, one fewer for each group so joined than it has components."""
+    comps, of = np.unique(np.concatenate((left, right)), return_inverse=True)
+    sides = [(may, of[: len(left)], of[len(left) :]), (may.T, of[len(left) :], of[: len(left)])]
+    by = [np.argsort(rows, kind="stable") for _, rows, _ in sides]
+    ends = [np.searchsorted(rows[k], np.arange(len(comps) + 1)) for k, (_, rows, _) in zip(by, sides, strict=True)]
+    seen, out = np.zeros(len(comps), bool), [[], []]
+    for first in range(len(comps)):
+        if seen[first]:
+            continue
+        seen[first], reached = True, [first]
+        for c in reached:
+            for side, (ok, _, to) in enumerate(sides):
+                for x in by[side][ends[side][c] : ends[side][c + 1]].tolist():
+                    hits = np.flatnonzero(ok[x] & ~seen[to])
+                    if len(hits):
+                        new, at = np.unique(to[hits], return_index=True)
+                        seen[new] = True
+                        reached += new.tolist()
+                        out[side].append(np.full(len(new), x))
+                        out[1 - side].append(hits[at])
+    # Each side's list has, in one order, the row and the column of every pair.
+    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+
+
+def _linked(shared: DataFrame, links: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join all sets which links of any kind join, given the first of them: (node, root) of components."""
+    roots, tried, joining, turn = components(links), None, True, 1
+    while not (found := _across(shared, roots, rows, percent, joining)).isEmpty():
+        pairs = found.select("u", "v").distinct()
+        pairs = C.table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        again = _verified(pairs, rows, size, percent)
+        grown = not again.isEmpty()
+        if grown:
+            links = links.unionByName(again)
+            roots = components(links)
+        if not joining:
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        # A signature without such a pair has none later on: components only grow.
+        shared = shared.join(found.select(_other("sig").alias("sig2")).distinct(), _other("sig") == F.col("sig2"), "left_semi")
+        joining, turn = grown and turn < ROUNDS, turn + 1
+    return roots
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -367,10 +438,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     shared = _met(rows, total, size, percent)
     stars = shared.groupBy("node").agg(F.min("rep").alias("u")).filter("u < node").select("u", F.col("node").alias("v"))
     links = _verified(stars, rows, size, percent)
-    across = _across(shared, components(links), rows, percent)
+    roots = _linked(shared, links, rows, size, percent)
     C.drop(shared)
-    again = _verified(across, rows, size, percent)
-    roots = components(links.unionByName(again))
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = info.filter("n > 0").groupBy("s", "t").agg(F.min("row").alias("node"), F.min(best).alias("best"))
     nodes = C.table(nodes.join(roots.select(_other("node").alias("node2"), "root"), _other("node") == F.col("node2"), "left").select("s", "t", F.coalesce("root", "node").alias("root"), "best"))
