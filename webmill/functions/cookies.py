@@ -19,29 +19,34 @@ def parse_set_cookie(header: Column | str, now: Column | str, default_domain: Co
     key = lambda x: F.lower(trim_ws(F.substring_index(x, "=", 1)))
     value = lambda x: trim_ws(F.regexp_extract(x, r"(?s)^[^=]*=(.*)\z", 1))
 
-    def read(p: Column) -> Column:
-        attrs = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
-        last = lambda *names: F.element_at(F.concat(F.array(F.lit(None).cast("struct<k:string,v:string>")), F.filter(attrs, lambda a: a.k.isin(*names))), -1)
+    none = F.lit(None).cast("struct<k:string,v:string>")
+    age = lambda v: F.regexp_extract(v, r"^([+-]?[0-9]+)", 1).try_cast("long")
+
+    def attributes(p: Column) -> Column:
+        return F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
+
+    def ends(until: Column) -> Column:
+        date = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(until.v, "^[A-Za-z]+, *", ""), "-", " "), F.lit("d MMM yyyy HH:mm:ss zzz"))
+        return F.when(until.k == "max-age", F.timestamp_millis(F.unix_millis(col(now).cast("timestamp")) + age(until.v) * 1000)).when(until.k == "expires", date)
+
+    def read(p: Column, attrs: Column) -> Column:
+        last = lambda *names: F.element_at(F.concat(F.array(none), F.filter(attrs, lambda a: a.k.isin(*names))), -1)
         has = lambda name: F.when(F.exists(attrs, lambda a: a.k == name), True)
-        age = lambda v: F.regexp_extract(v, r"^([+-]?[0-9]+)", 1).try_cast("long")
         usable = F.filter(attrs, lambda a: (a.k == "expires") | (a.k == "max-age") & age(a.v).isNotNull())
-        until = F.element_at(F.concat(F.array(F.lit(None).cast("struct<k:string,v:string>")), usable), -1)
-        date = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(until.v, "^[A-Za-z]+, *", ""), "-", " "), F.lit("d MMM yyyy HH:mm:ss zzz"))
-        expires = F.when(until.k == "max-age", F.timestamp_millis(F.unix_millis(col(now).cast("timestamp")) + age(until.v) * 1000)).when(until.k == "expires", date)
         same_site = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(attrs, lambda a: (a.k == "samesite") & F.lower(a.v).isin("strict", "lax", "none")), lambda a: F.initcap(a.v))), -1)
         cookie = F.struct(
             trim_ws(F.substring_index(p[0], "=", 1)).alias("name"),
             value(p[0]).alias("value"),
             F.coalesce(F.regexp_replace(last("domain").v, r"^\.", ""), domain).alias("domain"),
             last("path").v.alias("path"),
-            expires.alias("expires"),
+            let(F.element_at(F.concat(F.array(none), usable), -1), ends).alias("expires"),
             has("httponly").alias("http_only"),
             has("secure").alias("secure"),
             same_site.alias("same_site"),
         )
         return F.when(p[0].contains("=") & (trim_ws(F.substring_index(p[0], "=", 1)) != ""), cookie)
 
-    return let(parts, read)
+    return let(parts, lambda p: let(attributes(p), lambda attrs: read(p, attrs)))
 
 
 def is_expired(cookie: Column, now: Column | str) -> Column:
@@ -59,9 +64,8 @@ def cookie_header(cookies: Column | str, domain: Column | str, now: Column | str
 
 def all_headers(headers: Column | str, cookies: Column | str, domain: Column | str, now: Column | str) -> Column:
     """The session's headers, and Cookie where one holds."""
-    line = cookie_header(cookies, domain, now)
     rest = F.map_filter(F.coalesce(col(headers), F.create_map().cast("map<string,string>")), lambda k, _: k != "Cookie")
-    return F.when(line == "", col(headers)).otherwise(F.map_concat(rest, F.create_map(F.lit("Cookie"), line)))
+    return let(cookie_header(cookies, domain, now), lambda line: F.when(line == "", col(headers)).otherwise(F.map_concat(rest, F.create_map(F.lit("Cookie"), line))))
 
 
 def set_cookie(cookies: Column | str, cookie: Column) -> Column:
