@@ -181,3 +181,14 @@ def test_stateful_streams_agree_with_batches(spark, tmp_path):
     q = live.session_health(stream).writeStream.format("memory").queryName("health").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert tuple(spark.table("health").first()) == tuple(sessions.health(outcomes).first())
+
+
+def test_a_crawl_works_out_the_keys_of_its_corpus_once(spark, monkeypatch):
+    from webmill.plans import crawl as module
+
+    plans, fetch = [], tables.fetch
+    monkeypatch.setattr(module, "fetch", lambda r, c: plans.append(c._jdf.queryExecution().optimizedPlan().toString()) or fetch(r, c))
+    pages = spark.createDataFrame([(1, "https://a.org/", '<a href="/b">t</a>', 200), (2, "https://a.org/b", "", 200)], "page_id long, url string, html string, status int")
+    got = crawl(spark.createDataFrame([("https://a.org/",)], "url string"), tables.corpus(pages), Config(respect_robots=False))
+    assert sorted(r.url for r in got.requests.collect()) == ["https://a.org/", "https://a.org/b"]
+    assert len(plans) == 2 and not any("Aggregate" in p for p in plans)

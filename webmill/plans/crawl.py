@@ -126,6 +126,7 @@ def crawl(
     n, left = begun[0], begun[1]["left"]
     waiting = rounds.one("waiting", n)
     judged = config.respect_robots and robots is None
+    corpus = keep(corpus, "corpus")  # its keys are worked out once, not twice a round
     while left is None or left > 0:
         batch = waiting if left is None else next_requests(waiting, left)
         batch = with_headers(batch, {"User-Agent": config.user_agent} | config.headers, session)
@@ -168,6 +169,7 @@ def crawl(
         left = None if left is None else left - (size - allowed.filter("NOT allowed").count())
         rounds.commit(n, left=left)
         let_go(batch, allowed, got, moved, fresh)
+    let_go(corpus)
     records = {label: rounds.all(f"records-{label}", n) for label in handlers or {} if rounds.has(f"records-{label}")}
     return Result(rounds.all("done", n).unionByName(waiting), rounds.all("responses", n), rounds.all("links", n), n, records, rounds.all("robots", n))
 
