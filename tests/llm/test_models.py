@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from webmill.llm import common, ctw, toxicity
@@ -184,3 +185,91 @@ def test_training_input_is_bounded_whatever_repeats(spark):
     finally:
         toxicity.Model.fit = old
     assert seen[0][1] <= 20_000 and seen[0][0] < 60 and seen[1][0] <= 10
+
+
+def test_every_labelled_row_teaches(spark):
+    """The word that tells is in rows only that a sample of 9,000, those of least hash, leaves out."""
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"))).alias("place"))
+    rows = rows.select("doc_id", (F.col("place") > 9_500).cast("int").alias("toxic"), (F.col("doc_id") % 97).alias("w")).cache()
+    text = F.concat(F.lit("some plain words w"), F.col("w"), F.when(F.col("toxic") == 1, " rotten").otherwise(""))
+    docs = rows.select("doc_id", text.alias("text"), F.lit("en").alias("lang"))
+    model = toxicity.train(docs, rows.select("doc_id", "toxic"))
+    probe = spark.createDataFrame([(i, f"words w{i}" + " rotten" * (i % 2), "en") for i in range(40)], docs.schema)
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.classify(probe, model).collect())
+
+
+def test_shards_hold_every_text_once_and_thresholds_are_exact(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices(["ab", "cd", "ef", "vile", "é"], k=rnd.randint(0, 9))), rnd.choice(["en", "fr", None]), int(i % 7 == 0)) for i in range(2_000)]
+    rows += rows[:50] * 20
+    found = spark.createDataFrame(rows, "_t_id long, t string, l string, _t_y int").withColumn("h", F.xxhash64("_t_id", "t")).repartition(5)
+    table = toxicity.shards(toxicity.bucketed(found).join(found.select("_t_id", "_t_y").distinct(), "_t_id"), 12)
+    kept = table.collect()
+    assert len(kept) > 5 and sum(r.rows for r in kept) == len({r[:2] for r in rows})
+    held = []
+    model = toxicity.Model(seed=3)
+    for r in kept:
+        ids, at, y, back = toxicity.opened(r.asDict())
+        scores = model.trained_score(*toxicity.texts_of(ids, at, np.ones(len(y), bool)))
+        held += [(s, label, lang) for s, label, lang, b in zip(scores, y, r.l, back) if b]
+    model.calibrate(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held])
+    assert toxicity.thresholds(table, model) == model.cuts
+
+
+def test_shards_learn_together_and_reruns_agree(spark):
+    """A word of one shard's texts alone is learned as well as one of all."""
+    rnd = random.Random(6)
+    plain = [f"word{i}" for i in range(200)]
+    rows = []
+    for i in range(2_000):
+        w = rnd.choices(plain, k=20)
+        if i % 5 == 0:
+            w[rnd.randrange(20)] = "vile"
+        rows.append((i, " ".join(w), "en", int(i % 5 == 0)))
+    found = spark.createDataFrame(rows, "_t_id long, t string, l string, _t_y int").withColumn("h", F.xxhash64("_t_id", "t"))
+    models = []
+    for parts in (3, 7):
+        table = toxicity.shards(toxicity.bucketed(found.repartition(parts)).join(found.select("_t_id", "_t_y"), "_t_id"), 7)
+        assert table.count() > 3
+        models.append(toxicity.train_shards(table))
+    a, b = models
+    assert (a.embed == b.embed).all() and (a.out == b.out).all() and a.cuts == b.cuts
+    texts = pa.array([r[1] for r in rows])
+    assert np.mean((a.score(a.tables(), texts) >= 0.3) == np.array([r[3] for r in rows])) > 0.97
+
+
+def test_changes_are_averaged_by_the_steps_that_made_them():
+    one, two = np.zeros(2, toxicity.CHANGE), np.zeros(1, toxicity.CHANGE)
+    one["word"], one["n"], one["gain"] = [1025, 1030], [1, 2], [4, 5]
+    one["by"][:] = [[2], [3]]
+    two["word"], two["n"], two["gain"], two["by"][:] = 1025, 3, 8, 6
+    got = np.frombuffer(toxicity.merge(1, [one.tobytes(), two.tobytes()]), toxicity.CHANGE)
+    assert got["word"].tolist() == [1025, 1030] and got["gain"].tolist() == [7, 5]
+    assert got["by"].tolist() == [[5.0] * toxicity.SIZE, [3.0] * toxicity.SIZE]
+
+
+def test_peaks_are_those_of_the_tables_whatever_is_held_at_a_time():
+    model = toxicity.Model(seed=5)
+    rnd = random.Random(3)
+    texts = pa.array([" ".join(rnd.choices("abcdefgh", k=k)) for k in (0, 1, 2, 3, 0, 40, 5, 1, 300, 2)])
+    ids, at = toxicity.word_ids(texts)
+    best, where = model.pool(model.tables(), ids, at, places=True)
+    old = toxicity.CHUNK
+    try:
+        for toxicity.CHUNK in (1, 7, 64, old):
+            got, places = model.peaks(ids, at)
+            assert np.allclose(got, best, atol=1e-6) and ((places >= 0) == (where >= 0)).all()
+    finally:
+        toxicity.CHUNK = old
+
+
+def test_ids_that_may_have_a_label_hold_all_that_do(spark):
+    texts = spark.range(5_000).select(F.col("id").alias("_t_id"), F.lit("t").alias("t"))
+    chosen = spark.range(0, 9_000, 3).select(F.col("id").cast("int").alias("_t_id"), F.lit(1).alias("_t_y"))
+    old = toxicity.ID_BITS
+    try:
+        for toxicity.ID_BITS, most in ((old, 1_700), (64 * 16, 5_000)):
+            got = [r._t_id for r in toxicity.possible(texts, chosen).collect()]
+            assert len(got) == len(set(got)) <= most and set(got) >= set(range(0, 5_000, 3))
+    finally:
+        toxicity.ID_BITS = old
